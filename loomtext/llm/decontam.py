@@ -90,14 +90,16 @@ def hit_spans(text: bytes, plain: bytes, hit: np.ndarray) -> list[dict[str, int]
     return [{"start": int(chars[ws[a]]), "stop": int(chars[we[b - 1]])} for a, b in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1), strict=True)]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated and the hit spans of the original.
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns (doc_id) of each row with n_words, n_hit, n_items, items_sha256, contaminated and hit spans.
 
-    The item windows are collected: a benchmark is a stated, bounded query set (200 items here), not corpus data.
+    The spans are offsets of the original text. The item windows are collected: a benchmark is a stated, bounded query
+    set (200 items here), not corpus data. Kept columns must not bear the names of the results.
     """
+    keep = keep or ["doc_id"]
     rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null").toLocalIterator()]
     windows = docs.sparkSession.sparkContext.broadcast(item_windows(rows, size))
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}"
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +108,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: s
             _MADE[key] = automata(windows.value)
         machines = _MADE[key]
         out_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), out_type]
+        names = [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"]
         for b in batches:
-            offsets, data = utf8(b.column(1))
+            offsets, data = utf8(b.column(len(keep)))
             rows = []
             for i in range(b.num_rows):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 n, hit, ids, plain = scan(text, machines)
                 rows.append((n, 0 if hit is None else int(hit.sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit is not None, [] if hit is None else hit_spans(text, plain, hit)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), out_type]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(run, schema)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,28 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 Kernel. Two words are compared by their common subsequences of three letters, each occurrence weighted by
-``decay ** span`` (span: characters from its first to its last, at most ``SPAN``), normalised to 1 for equal words.
-Characters that are no letters are gaps, not symbols; runs of three or more single letters are read as one word. So
-``i-d-i-o-t``, ``i d i o t`` and ``idxiot`` stay near ``idiot``, and unseen inflections stay near their stem. The kernel
-of two sentences is the sum over their pairs of words.
-
-Nystroem. Landmarks are words of the training sentences: those that most favour toxic sentences, thinned of near
-copies, and frequent clean ones. A word's features are its kernel values with the landmarks times K(landmarks)^-1/2; a
-sentence's are the sum of its words'. A linear machine with squared hinge loss is trained on them by Newton steps.
-
-Labels are on texts, sentences are what is learned: a toxic text has at least one toxic sentence, so training
-alternates between the machine and the labels of the sentences of toxic texts (those scored negative become clean, the
-highest one stays toxic). A text's raw score is its highest sentence score; a logistic curve fitted on the training texts maps it to 0..1.
-
-As the machine is linear in sums of kernel values, it is folded into one weight for each three-letter subsequence, so a
+``decay ** span`` (span: characters from its first to its last, at most ``SPAN``), normalised to 1 for equal words. A
+mark stands before and after each word. Characters that are no letters are gaps, not symbols; runs of three or more
+single letters are read as one word. So ``i-d-i-o-t``, ``i d i o t`` and ``idiiot`` stay near ``idiot``, and unseen
+inflections stay near their stem.
+
+Nystroem. Landmarks are words of the training sentences: those that most favour toxic texts, thinned of near copies,
+and frequent clean ones. A word's features are its kernel values with the landmarks times K(landmarks)^-1/2. A linear
+machine with squared hinge loss is trained on them by Newton steps.
+
+Labels are on texts; what is learned are their sentences and in those their words. A toxic text has a toxic sentence, a
+sentence is toxic by its highest word, so training alternates between the machine and the labels of the words of toxic texts:
+those scored negative become clean, the highest stays toxic. Disguised forms (characters inserted or doubled, gaps
+between letters) of the landmarks found toxic join the last step. A text's raw score is that of its highest word; a
+logistic curve fitted on the training texts maps it to 0..1.
+
+As the machine is linear in kernel values, it is folded into one weight for each three-letter subsequence, so a
 word costs the same whatever the number of landmarks. Words are scored once in each worker's bounded cache.
 
 Training uses a bounded sample of labelled rows (``per_class`` texts of each label, the first in a hash order of
 doc_id, ``max_chars`` characters in all); scoring takes whole texts and nothing but the text.
 
-Defined results: null, empty and wordless texts get the score of a sentence without words; repeated rows get equal
+Defined results: null, empty and wordless texts get the score of a text without known letters; repeated rows get equal
 scores; rows whose label is null are not used; without a toxic or without a clean training text every score is 0.
 """
 
@@ -38,15 +40,16 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import table
 
-DECAY, SPAN = 0.8, 8
-PER_CLASS = 1500
+DECAY, SPAN = 0.55, 7
+PER_CLASS = 1000
 MAX_CHARS = 40_000_000
 LANDMARKS, CLEAN_LANDMARKS = 112, 48
+RIDGE, TOXIC_WEIGHT = 1e-7, 1.0
+#: The weight of a word's disguised forms in all, as a share of the word's own.
+DISGUISED = 1.0
 #: Letters a-z, then the lower-case letters of Latin-1; all other letters share the last code, non-letters are 0.
 CODES = 64
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){2,}(?!\S)")
-_BREAK = "\x1e"
-_END = 1000.0
 CACHE = 400_000
 _LONGEST = 64
 
@@ -70,7 +73,9 @@ def codes(words: list[str], length: int) -> np.ndarray:
     if not _table:
         _table.append(_code_table())
     flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length)
-    return _table[0][np.minimum(flat, 0xFFFF)]
+    inner = _table[0][np.minimum(flat, 0xFFFF)]
+    edge = np.ones((len(words), 1), np.uint8)
+    return np.concatenate([61 * edge, inner, 62 * edge], axis=1)
 
 
 _triples: dict[int, tuple] = {}
@@ -87,7 +92,7 @@ def triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def occurrences(words: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, weights, norms) for words of one length: each subsequence of each word, 0 where a character is no letter."""
     c = codes(words, length).astype(np.int32)
-    i, j, k, w = triples(length)
+    i, j, k, w = triples(length + 2)
     a, b, d = c[:, i], c[:, j], c[:, k]
     ids = np.where((a > 0) & (b > 0) & (d > 0), (a * CODES + b) * CODES + d, 0)
     order = np.argsort(ids, axis=1, kind="stable")
@@ -125,23 +130,25 @@ def pieces(word: str) -> list[str]:
     return [word[a : a + _LONGEST] for a in range(0, max(1, len(word) - SPAN), _LONGEST - SPAN)]
 
 
+def prepared(text: str | None) -> str:
+    t = (text or "").lower()
+    return _SPACED.sub(lambda m: m[0].replace(" ", ""), t) if _SPACED.search(t) else t
+
+
 def sentences(text: str | None) -> list[list[str]]:
-    """Words (trimmed, lower-cased) by sentence: a token ending in . ! or ? and a line feed end one."""
-    out, now = [], []
-    for t in prepared(text).split():
-        if t != _BREAK:
-            w = trim(t)
-            if w:
+    """Trimmed lower-case words by sentence: a token that ends in . ! or ? and a line feed end one."""
+    out = []
+    for line in prepared(text).split("\n"):
+        now = []
+        for t in line.split():
+            if w := trim(t):
                 now.append(w)
-        if now and (t == _BREAK or t[-1] in ".!?"):
+            if now and t[-1] in ".!?":
+                out.append(now)
+                now = []
+        if now:
             out.append(now)
-            now = []
-    return out + ([now] if now else [])
-
-
-def prepared(text: str | None) -> str:
-    t = (text or "").lower().replace("\n", f" {_BREAK} ")
-    return _SPACED.sub(lambda m: m[0].replace(" ", ""), t) if _SPACED.search(t) else t
+    return out
 
 
 @dataclass
@@ -152,7 +159,7 @@ class Model:
     offset: float
 
     def words(self, words: list[str]) -> np.ndarray:
-        """The part of each word in its sentence's score."""
+        """Each word's score less the bias."""
         out = np.zeros(len(words))
         for at, part, length in by_length(words):
             ids, w, norm = occurrences(part, length)
@@ -198,99 +205,104 @@ def _landmark_rows(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids_of, rows
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
-    """Squared hinge loss by Newton steps; the last column of x is the bias."""
-    v = np.zeros(x.shape[1])
-    reg = ridge * np.eye(x.shape[1])
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
+    """Weighted squared hinge loss by Newton steps; the last column of x is the bias."""
+    reg = ridge * weight.sum() * np.eye(x.shape[1])
     reg[-1, -1] = 1e-9
-    active = np.ones(len(y), bool)
+    active, v = np.ones(len(y), bool), np.zeros(x.shape[1])
     for _ in range(steps):
         xa = x[active] * weight[active, None]
-        new = np.linalg.solve(reg + xa.T @ x[active], xa.T @ y[active])
-        now = y * (x @ new) < 1
-        v = new
+        v = np.linalg.solve(reg + xa.T @ x[active], xa.T @ y[active])
+        now = y * (x @ v) < 1
         if (now == active).all():
             break
         active = now
     return v
 
 
-def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean_landmarks: int = CLEAN_LANDMARKS, ridge: float = 1e-3, rounds: int = 6) -> Model:
+def disguises(word: str, insert: str = "xzq") -> list[str]:
+    """The word with a gap between all letters, with one inserted character or one doubled letter at each inner place."""
+    out = ["-".join(word)]
+    for k in range(1, len(word)):
+        out += [f"{word[:k]}{c}{word[k:]}" for c in (insert[k % len(insert)], word[k - 1], "*")]
+    return out
+
+
+def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean_landmarks: int = CLEAN_LANDMARKS, ridge: float = RIDGE, rounds: int = 8, toxic_weight: float = TOXIC_WEIGHT) -> Model:
     flat = Model(np.zeros(CODES**3, np.float32), 0.0, 0.0, -35.0)
     if len({y for _, y in texts}) < 2:
         return flat
     vocab: dict[str, int] = {}
-    word_at, sent_start, doc_of, doc_y = [], [], [], []
-    in_pos, in_neg = {}, {}
-    for d, (text, y) in enumerate(texts):
-        seen = set()
-        for s in sentences(text) or [[]]:
-            sent_start.append(len(word_at))
-            doc_of.append(d)
-            for w in s:
-                w = w[:_LONGEST]
-                word_at.append(vocab.setdefault(w, len(vocab)))
-                seen.add(w)
-        doc_y.append(y)
-        for w in seen:
-            (in_pos if y else in_neg)[w] = (in_pos if y else in_neg).get(w, 0) + 1
-    words, doc_of, doc_y = list(vocab), np.array(doc_of), np.array(doc_y)
-    n_pos, n_neg = int(doc_y.sum()), int((1 - doc_y).sum())
-
-    def favour(w: str) -> float:
-        p, q = in_pos.get(w, 0) / n_pos, in_neg.get(w, 0) / n_neg
-        return (p - q) / (p * (1 - p) / n_pos + q * (1 - q) / n_neg + 1 / (n_pos * n_neg)) ** 0.5
-
-    candidates = [w for w in sorted(in_pos, key=lambda w: (-favour(w), w)) if len(w) >= 3 and favour(w) > 1.5][: 6 * landmarks]
-    chosen: list[str] = []
-    if candidates:
-        ids_of, rows = _landmark_rows(candidates)
+    toxic_docs: list[np.ndarray] = []
+    doc_words: list[np.ndarray] = []
+    for text, y in texts:
+        own = {vocab.setdefault(p, len(vocab)) for s in sentences(text) for w in s for p in pieces(w)}
+        doc_words.append(np.fromiter(own, np.int64, len(own)))
+        if y:
+            toxic_docs.append(doc_words[-1])
+    words, doc_y = list(vocab), np.array([y for _, y in texts])
+    count = lambda docs: np.bincount(np.concatenate([*docs, np.zeros(0, np.int64)]), minlength=len(words)).astype(float)
+    in_toxic, in_clean = count(toxic_docs), count([w for w, y in zip(doc_words, doc_y, strict=True) if not y])
+    n_toxic, n_clean = len(toxic_docs), len(texts) - len(toxic_docs)
+    p, q = in_toxic / n_toxic, in_clean / n_clean
+    favour = (p - q) / np.sqrt(p * (1 - p) / n_toxic + q * (1 - q) / n_clean + 1 / (n_toxic * n_clean))
+    long_enough = np.array([len(w) >= 3 for w in words], bool)
+    by_favour = [int(w) for w in np.lexsort((np.arange(len(words)), -favour)) if long_enough[w] and favour[w] > 1.5][: 6 * landmarks]
+    chosen: list[int] = []
+    if by_favour:
+        _, rows = _landmark_rows([words[w] for w in by_favour])
         like = rows @ rows.T
         taken: list[int] = []
-        for c in range(len(candidates)):
+        for c in range(len(by_favour)):
             if len(taken) < landmarks and (not taken or like[c, taken].max() < 0.92):
                 taken.append(c)
-        chosen = [candidates[c] for c in taken]
-    chosen += [w for w in sorted(in_neg, key=lambda w: (-in_neg[w], w)) if len(w) >= 4 and w not in chosen][:clean_landmarks]
+        chosen = [by_favour[c] for c in taken]
+    common = [int(w) for w in np.lexsort((np.arange(len(words)), -in_clean)) if len(words[w]) >= 4 and in_clean[w] and w not in set(chosen)]
+    chosen += common[:clean_landmarks]
     if not chosen:
         return flat
-    ids_of, rows = _landmark_rows(chosen)
+    ids_of, rows = _landmark_rows([words[w] for w in chosen])
     val, vec = np.linalg.eigh((rows @ rows.T).astype(np.float64))
     good = val > 1e-4 * val.max()
     white = (vec[:, good] / np.sqrt(val[good])) @ vec[:, good].T  # K(landmarks)^-1/2
     phi = _kernel(words, ids_of, rows) @ white.astype(np.float32)
-    starts = np.array(sent_start)
-    # Sums over each sentence's words; an empty sentence has the zero vector.
-    sums = np.zeros((len(starts), phi.shape[1]), np.float32)
-    ends = np.append(starts[1:], len(word_at))
-    at = np.array(word_at, np.int64)
-    for a in range(0, len(starts), 20_000):
-        z = min(a + 20_000, len(starts))
-        lo, hi = starts[a], ends[z - 1]
-        filled = np.flatnonzero(ends[a:z] > starts[a:z])
-        if len(filled):
-            sums[a + filled] = np.add.reduceat(phi[at[lo:hi]], starts[a:z][filled] - lo, axis=0)
-    x = np.concatenate([sums, np.ones((len(sums), 1), np.float32)], axis=1).astype(np.float64)
-    toxic_doc = doc_y[doc_of] == 1
-    label = toxic_doc.copy()
-    cuts = np.flatnonzero(np.concatenate([[True], doc_of[1:] != doc_of[:-1]]))
-    v = None
+    x = np.concatenate([phi, np.ones((len(phi), 1), np.float32)], axis=1).astype(np.float64)
+    toxic, v = in_toxic.copy(), np.zeros(x.shape[1])
     for _ in range(rounds):
-        y = np.where(label, 1.0, -1.0)
-        weight = np.where(label, 0.5 / max(1, label.sum()), 0.5 / max(1, (~label).sum()))
-        v = _svm(x, y, weight, ridge * 1e-1)
+        # A word of a toxic text is toxic if it scores so or is that text's highest; its other words are clean.
+        clean = in_clean + (in_toxic - toxic)
+        first = v.any() == 0
+        weight = np.concatenate([toxic * (clean.sum() / toxic.sum() if first else toxic_weight), clean])
+        own = np.concatenate([np.flatnonzero(toxic), len(words) + np.flatnonzero(clean)])
+        v = _svm(x[own % len(words)], np.where(own < len(words), 1.0, -1.0), weight[own], ridge)
         score = x @ v
-        top = np.maximum.reduceat(score, cuts)[doc_of] <= score
-        new = toxic_doc & ((score > 0) | top)
-        if (new == label).all():
+        new = np.where(score > 0, in_toxic, 0.0)
+        for w in toxic_docs:
+            if len(w) and score[w].max() <= 0:
+                new[w[score[w].argmax()]] += 1
+        if (new == toxic).all():
             break
-        label = new
-    raw = np.maximum.reduceat(x @ v, cuts)
+        toxic = new
+    # Once more with disguised forms of the words found toxic: characters inserted or doubled, gaps between all letters.
+    hard = [w for w in np.flatnonzero((x @ v > 0) & (in_toxic > 0)) if w in set(chosen) and len(words[w]) >= 4]
+    forms, heavy = [], []
+    for w in hard:
+        made = disguises(words[w])
+        forms += made
+        heavy += [in_toxic[w] * DISGUISED / len(made)] * len(made)
+    if forms:
+        more = np.concatenate([_kernel(forms, ids_of, rows) @ white.astype(np.float32), np.ones((len(forms), 1), np.float32)], axis=1)
+        clean = np.maximum(in_clean + in_toxic - toxic, 0)
+        weight = np.concatenate([toxic * toxic_weight, clean, np.array(heavy)])
+        y = np.concatenate([np.ones(len(words)), -np.ones(len(words)), np.ones(len(forms))])
+        own = np.flatnonzero(weight)
+        v = _svm(np.concatenate([x, x, more])[own], y[own], weight[own], ridge)
+    score = x @ v
+    raw = np.array([score[w].max() if len(w) else v[-1] for w in doc_words])
     slope, offset = _logistic(raw, doc_y)
-    beta = white @ v[:-1]
     folded = np.zeros(CODES**3, np.float32)
     every = np.flatnonzero(ids_of)
-    folded[every] = (beta @ rows)[ids_of[every]]
+    folded[every] = ((white @ v[:-1]) @ rows)[ids_of[every]]
     return Model(folded, float(v[-1]), slope, offset)
 
 
@@ -331,12 +343,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return out
 
 
-#: The caches of this worker by model: token -> its words' score, plus _END where it ends a sentence.
+#: The caches of this worker by model: token -> its score.
 _CACHES: dict[str, dict[str, float]] = {}
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns with score and predicted for each row."""
+    """The ``keep`` columns (doc_id) with score and predicted for each row; kept columns must not bear those names."""
     keep = keep or ["doc_id"]
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int"])
@@ -345,7 +357,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, te
         m = shared.value
         if key not in _CACHES:
             _CACHES.clear()
-            _CACHES[key] = {_BREAK: _END}
+            _CACHES[key] = {}
         cache = _CACHES[key]
         for b in batches:
             raw = np.full(b.num_rows, m.bias)
@@ -357,16 +369,10 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, te
                     if len(cache) + len(new) > CACHE:
                         cache.clear()
                         new = list({t for ts in tokens for t in ts})
-                    values = m.words([trim(t) for t in new])
-                    cache.update((t, float(v) + (_END if t[-1] in ".!?" else 0.0)) for t, v in zip(new, values, strict=True))
-                    cache[_BREAK] = _END
+                    cache.update(zip(new, m.words([trim(t) for t in new]).tolist(), strict=True))
                 for r, ts in enumerate(tokens, a):
                     if ts:
-                        v = np.array([cache[t] for t in ts])
-                        end = v > _END / 2
-                        v[end] -= _END
-                        starts = np.flatnonzero(np.concatenate([[True], end[:-1]]))
-                        raw[r] = m.bias + np.add.reduceat(v, starts).max()
+                        raw[r] = m.bias + max(map(cache.__getitem__, ts))
             p = m.probability(raw)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
