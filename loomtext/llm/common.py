@@ -6,9 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +47,24 @@ def buckets(spark: SparkSession, least: int = 64) -> int:
     return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """``df`` (materialised, narrow) with a broadcast hint only if it has at most ``most_rows`` rows."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+#: Bounds of a side that may be broadcast; beyond either Spark joins by sorting or shuffled hashing.
+MOST_ROWS, MOST_BYTES = 500_000, 64 << 20
+
+
+def _width(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + F.octet_length(x) + 16), F.lit(0))
+    return F.lit(16)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` (materialised) with a broadcast hint, if its counted rows and bytes are within the bounds."""
+    width = reduce(lambda x, y: x + y, (_width(f) for f in df.schema.fields))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= MOST_ROWS and size <= MOST_BYTES else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     reps = state.where(F.col("kind") == CLASS).select("gid", F.col("doc_id").alias("_id"))
 
     def verified(e: DataFrame, name: str) -> DataFrame:
-        want = small_side(stored(reps.join(ends(e), "gid"), f"{name}-ends"), 500_000)
+        want = small_side(stored(reps.join(ends(e), "gid"), f"{name}-ends"))
         sets = d.join(want, d["doc_id"].eqNullSafe(want["_id"])).select("text", "gid").mapInArrow(_sets(k), "gid long, elements binary")
         sets = stored(sets.dropDuplicates(["gid"]) if d.schema["doc_id"].nullable and _repeated(want, d) else sets, f"{name}-sets")
         both = e.join(sets.select(F.col("gid").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("gid").alias("a"), F.col("elements").alias("x")), "a")
@@ -403,10 +403,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             links = links.unionByName(verified(cross, "jaccard-2").where("ok").select("a", "b"))
     comp = stored(connected(links, "jaccard-cc"), "jaccard-components")
     # Classes of several rows or in a component of several classes: the smallest doc_id by aggregation.
-    tagged = members.join(comp, members["gid"] == comp["node"], "left").select("doc_id", "n", F.coalesce("component", "gid").alias("_c"))
-    least = tagged.where("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("_c", "_l")
-    out = tagged.join(least, tagged["_c"] == least["_l"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    tagged = stored(members.join(comp, members["gid"] == comp["node"], "left").select("doc_id", "n", F.coalesce("component", "gid").alias("_c")), "jaccard-tagged")
+    several = tagged.where("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")).where("_n > 1")
+    several = small_side(stored(several.select(F.col("_c").alias("_l"), "least"), "jaccard-least"))
+    out = tagged.join(several, tagged["_c"] == several["_l"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_l").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def _repeated(want: DataFrame, d: DataFrame) -> bool:

@@ -307,7 +307,8 @@ def sorted_strings(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.n
         shift = np.uint64(8 * (SYMBOL - i))
         equal &= ((a >> shift) & np.uint64(255)) == ((b >> shift) & np.uint64(255))
         extra += equal & (i < most)
-    out = shared * SYMBOL + extra
+    size = (back & np.uint64(255)).sum(1).astype(np.int64)
+    out = np.minimum(shared * SYMBOL + extra, np.minimum(size[x], size[y]))
     out[:1] = 0
     return order, out
 
@@ -404,7 +405,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     state = d.mapInArrow(_anchored(pieces), schema).repartition("bucket").mapInArrow(_judged(pieces), schema).repartition("bucket").mapInArrow(_by_text, schema)
     state = stored(state, "suffix-state")
     whole = state.where(F.col("kind") == SPANS).select(F.col("bucket").alias("t"), F.col("blob").alias("spans"))
-    wants = small_side(state.where(F.col("kind") == WANTS).select(F.col("bucket").alias("t"), F.col("blob").alias("wants")), 500_000)
+    wants = small_side(state.where(F.col("kind") == WANTS).select(F.col("bucket").alias("t"), F.col("blob").alias("wants")))
     texts = d.withColumn("t", text_key_column(F.col("text"))).join(wants, "t").select("text", "t", "wants")
     merged = texts.mapInArrow(_shards(pieces), SHARDS).repartition("bucket").mapInArrow(_merged, schema)
     partial = stored(merged, "suffix-partial").select(F.col("bucket").alias("t"), F.col("blob").alias("spans"))
@@ -416,7 +417,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
     keep = keep or ["doc_id"]
     spans = stored(repeated_spans(docs).groupBy("t").agg(F.collect_list("spans").alias("spans")), "suffix-spans")
     d = docs.select(*keep, "text").withColumn("_t", text_key_column(F.col("text")))
-    both = d.join(small_side(spans, 500_000), F.col("_t") == F.col("t"), "left").select(*keep, "text", "spans")
+    both = d.join(small_side(spans), F.col("_t") == F.col("t"), "left").select(*keep, "text", "spans")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

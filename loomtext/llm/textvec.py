@@ -100,7 +100,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, i: int, j: int, k: int)
     out = []
     m = np.uint64(0xD1342543DE82EF95)
     s = h.copy()
-    for d in range(1, k):
+    for d in range(1, min(k, len(h))):
         s[: len(h) - d] = s[: len(h) - d] * m + h[d:]
     s = mix(s)
     for a, b in zip(first[:-1], first[1:], strict=True):

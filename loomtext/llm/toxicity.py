@@ -44,7 +44,7 @@ DECAY, SPAN = 0.55, 7
 PER_CLASS = 1000
 MAX_CHARS = 40_000_000
 LANDMARKS, CLEAN_LANDMARKS = 112, 48
-RIDGE, TOXIC_WEIGHT = 1e-7, 1.0
+RIDGE, TOXIC_WEIGHT = 1e-7, 0.2
 #: The weight of a word's disguised forms in all, as a share of the word's own.
 DISGUISED = 1.0
 #: Letters a-z, then the lower-case letters of Latin-1; all other letters share the last code, non-letters are 0.
@@ -247,7 +247,7 @@ def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean
     p, q = in_toxic / n_toxic, in_clean / n_clean
     favour = (p - q) / np.sqrt(p * (1 - p) / n_toxic + q * (1 - q) / n_clean + 1 / (n_toxic * n_clean))
     long_enough = np.array([len(w) >= 3 for w in words], bool)
-    by_favour = [int(w) for w in np.lexsort((np.arange(len(words)), -favour)) if long_enough[w] and favour[w] > 1.5][: 6 * landmarks]
+    by_favour = [int(w) for w in np.lexsort((np.arange(len(words)), -favour)) if long_enough[w] and favour[w] > 2.5][: 6 * landmarks]
     chosen: list[int] = []
     if by_favour:
         _, rows = _landmark_rows([words[w] for w in by_favour])
