@@ -32,7 +32,7 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row whose doc_id names its component stays; rows without doc_id stay, a doc_id on several rows stays once."""
     found = stored(near_duplicates(docs, k=5, num=80, den=100), "pipeline-near")
     losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(small_side(stored(losers, "pipeline-losers"), 500_000), F.col("doc_id") == F.col("_id"), "left_anti")
+    kept = docs.join(small_side(stored(losers, "pipeline-losers")), F.col("doc_id") == F.col("_id"), "left_anti")
     repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
     if repeated.isEmpty():
         return kept
