@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import table
 
 DECAY, SPAN = 0.55, 7
-PER_CLASS = 1000
+PER_CLASS = 700
 MAX_CHARS = 40_000_000
 LANDMARKS, CLEAN_LANDMARKS = 112, 48
 RIDGE, TOXIC_WEIGHT = 1e-7, 0.2
@@ -177,7 +177,7 @@ def _kernel(words: list[str], ids_of: np.ndarray, rows: np.ndarray) -> np.ndarra
     """Normalised kernel of words with landmarks; ids_of: compact number of each subsequence, rows: landmarks x numbers."""
     out = np.zeros((len(words), len(rows)), np.float32)
     n = rows.shape[1]
-    for at, part, length in by_length(words, 1000):
+    for at, part, length in by_length(words, 400):
         ids, w, norm = occurrences(part, length)
         cols = ids_of[ids] + n * np.arange(len(part))[:, None]
         dense = np.bincount(cols.ravel(), np.broadcast_to(w, ids.shape).ravel(), n * len(part)).reshape(len(part), n).astype(np.float32)
@@ -205,18 +205,29 @@ def _landmark_rows(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids_of, rows
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
-    """Weighted squared hinge loss by Newton steps; the last column of x is the bias."""
-    reg = ridge * weight.sum() * np.eye(x.shape[1])
+def _svm(parts: list[tuple[np.ndarray, np.ndarray, float, np.ndarray]], ridge: float, steps: int = 30, block: int = 8192) -> np.ndarray:
+    """Weighted squared hinge loss by Newton steps over parts (matrix, its rows, their label, their weights).
+
+    The last column of a matrix is the bias. Rows are taken in blocks, so memory beyond the matrices is bounded.
+    """
+    width = parts[0][0].shape[1]
+    reg = ridge * sum(float(w.sum()) for *_, w in parts) * np.eye(width)
     reg[-1, -1] = 1e-9
-    active, v = np.ones(len(y), bool), np.zeros(x.shape[1])
+    blocks = [(m, rows[k : k + block], y, w[k : k + block]) for m, rows, y, w in parts for k in range(0, len(rows), block)]
+    active, v = [np.ones(len(rows), bool) for _, rows, _, _ in blocks], np.zeros(width)
     for _ in range(steps):
-        xa = x[active] * weight[active, None]
-        v = np.linalg.solve(reg + xa.T @ x[active], xa.T @ y[active])
-        now = y * (x @ v) < 1
-        if (now == active).all():
-            break
+        left, right = reg.copy(), np.zeros(width)
+        for (m, rows, y, w), on in zip(blocks, active, strict=True):
+            x = m[rows[on]].astype(np.float64)
+            xw = x * w[on, None]
+            left += xw.T @ x
+            right += y * xw.sum(0)
+        v = np.linalg.solve(left, right)
+        now = [y * (m[rows] @ v) < 1 for m, rows, y, _ in blocks]
+        same = all((p == q).all() for p, q in zip(now, active, strict=True))
         active = now
+        if same:
+            break
     return v
 
 
@@ -266,15 +277,15 @@ def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean
     good = val > 1e-4 * val.max()
     white = (vec[:, good] / np.sqrt(val[good])) @ vec[:, good].T  # K(landmarks)^-1/2
     phi = _kernel(words, ids_of, rows) @ white.astype(np.float32)
-    x = np.concatenate([phi, np.ones((len(phi), 1), np.float32)], axis=1).astype(np.float64)
+    x = np.concatenate([phi, np.ones((len(phi), 1), np.float32)], axis=1)
+    del phi
     toxic, v = in_toxic.copy(), np.zeros(x.shape[1])
     for _ in range(rounds):
         # A word of a toxic text is toxic if it scores so or is that text's highest; its other words are clean.
         clean = in_clean + (in_toxic - toxic)
-        first = v.any() == 0
-        weight = np.concatenate([toxic * (clean.sum() / toxic.sum() if first else toxic_weight), clean])
-        own = np.concatenate([np.flatnonzero(toxic), len(words) + np.flatnonzero(clean)])
-        v = _svm(x[own % len(words)], np.where(own < len(words), 1.0, -1.0), weight[own], ridge)
+        weight = clean.sum() / toxic.sum() if not v.any() else toxic_weight
+        on, off = np.flatnonzero(toxic), np.flatnonzero(clean)
+        v = _svm([(x, on, 1.0, toxic[on] * weight), (x, off, -1.0, clean[off])], ridge)
         score = x @ v
         new = np.where(score > 0, in_toxic, 0.0)
         for w in toxic_docs:
@@ -293,10 +304,8 @@ def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean
     if forms:
         more = np.concatenate([_kernel(forms, ids_of, rows) @ white.astype(np.float32), np.ones((len(forms), 1), np.float32)], axis=1)
         clean = np.maximum(in_clean + in_toxic - toxic, 0)
-        weight = np.concatenate([toxic * toxic_weight, clean, np.array(heavy)])
-        y = np.concatenate([np.ones(len(words)), -np.ones(len(words)), np.ones(len(forms))])
-        own = np.flatnonzero(weight)
-        v = _svm(np.concatenate([x, x, more])[own], y[own], weight[own], ridge)
+        on, off = np.flatnonzero(toxic), np.flatnonzero(clean)
+        v = _svm([(x, on, 1.0, toxic[on] * toxic_weight), (x, off, -1.0, clean[off]), (more, np.arange(len(more)), 1.0, np.array(heavy))], ridge)
     score = x @ v
     raw = np.array([score[w].max() if len(w) else v[-1] for w in doc_words])
     slope, offset = _logistic(raw, doc_y)
