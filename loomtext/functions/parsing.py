@@ -16,7 +16,7 @@ EXPLICIT = (
 )
 #: Fixed pattern of a last line that is a verdict by itself.
 STANDALONE = r"(?U)^\s*(?:[`*_~]+\s*)*(?:\\boxed\s*\{\s*)?([01])(?:\s*\})?(?:\s*[.!])?(?:\s*[`*_~]+)?\s*$"
-LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _matches(text: Column, rule: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode-aware text tools see it: Java's ``\s`` alone lacks some of these.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+NOT_WS = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
 def collapse(c: Column) -> Column:
@@ -48,8 +49,7 @@ def matches_any(c: Column, patterns: Iterable[str]) -> Column:
 
 
 def count_words(c: Column) -> Column:
-    t = collapse(c)
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
+    return F.regexp_count(F.coalesce(c.cast("string"), F.lit("")), F.lit(NOT_WS + "+"))
 
 
 #: The end of a sentence: a fixed pattern.
@@ -82,9 +82,7 @@ def clean_skill(c: Column) -> Column:
     """A leading heading goes, white space collapses, one pair of equal quotes around all goes."""
     t = strip_ends(c)
     t = F.regexp_replace(t, rf"(?iU)^\s*(?:#{{1,4}}\s*)?(?:skill description|skills?)\s*:\s*", "")
-    t = collapse(t)
-    quoted = (F.length(t) >= 2) & F.substring(t, 1, 1).isin('"', "'") & (F.substring(t, 1, 1) == F.substring(t, -1, 1))
-    return F.when(quoted, strip_ends(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    return collapse(F.regexp_replace(collapse(t), r"""^(["'])(.*)\1$""", "$2"))
 
 
 def skill_checks(c: Column, least: int = 12, most: int = 40) -> Column:
