@@ -373,15 +373,8 @@ def _shards(pieces: int):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of a partition's buckets -> (SPANS, t, spans) rows."""
-    right, left, wants = [], [], []
-    for b in batches:
-        right += [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(1)]
-        left += [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(2)]
-        wants += [np.frombuffer(x.as_buffer(), WANT) for x in b.column(3)]
-    if not wants:
-        return
+def merged_spans(right: list[np.ndarray], left: list[np.ndarray], wants: list[np.ndarray]) -> np.ndarray:
+    """SPAN records of the repeated windows of the wanted contexts of one bucket's shards."""
     w = np.concatenate(wants)
     hit = repeated(sorted_strings(right, R_SYMBOLS), sorted_strings(left, L_SYMBOLS), w["lo"].astype(np.int64), w["hi"].astype(np.int64))
     hit &= (w["need"] == 1)[:, None]
@@ -390,8 +383,21 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, stop = np.nonzero(edge == -1)
     spans = np.empty(len(row), SPAN)
     spans["t"], spans["a"], spans["z"] = w["t"][row], w["p"][row] - (stop - 1), w["p"][row] - first + WINDOW
+    return spans
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of a partition's buckets, one bucket merged at a time -> (SPANS, t, spans) rows."""
+    shards: dict[int, list[tuple]] = {}
+    for b in batches:
+        for r, bucket in enumerate(b.column(0).to_pylist()):
+            shards.setdefault(bucket, []).append(tuple(np.frombuffer(b.column(c)[r].as_buffer(), t) for c, t in ((1, "<u8"), (2, "<u8"), (3, WANT))))
+    found = []
+    while shards:
+        _, rows = shards.popitem()
+        found.append(merged_spans(*(list(c) for c in zip(*rows, strict=True))))
     t_of, blobs = [], []
-    for t, rows in by_value(spans, "t"):
+    for t, rows in by_value(np.concatenate(found) if found else np.zeros(0, SPAN), "t"):
         t_of.append(t - (1 << 64) if t >> 63 else t)
         blobs.append(np.stack([rows["a"], rows["z"]], 1).astype("<u4").tobytes())
     yield _rows([SPANS] * len(t_of), t_of, blobs)
