@@ -16,6 +16,9 @@ from loomtext.operators import metrics as A
 from loomtext.operators import routing as R
 from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
+from loomtext.sources import readers, writers
+from loomtext.sources.scratch import fresh_path
+from loomtext.streaming.resume import run_pending
 from loomtext.plans.relations import CASES, DILEMMAS, PREDICTIONS, RAW_OUTPUTS, SKILLS, derived
 
 QUERIES: dict = {}
@@ -547,3 +550,64 @@ def generated_and_parsed(spark, sf):
     return g.select("target_id", v["prediction"].alias("prediction"), v["parse_method"].alias("parse_method"), "input_token_count", "generated_token_count", "hit_max_new_tokens")
 
 
+
+
+# ---- sources, sinks, resume
+
+
+@query("csv_roundtrip", "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents")
+def csv_roundtrip(spark, sf):
+    """Texts with line feeds, quotes and backslashes written as CSV and read back."""
+    path = fresh_path(spark, "csv")
+    table(spark, sf, "documents").select("doc_id", "lang", "text").write.csv(path, header=True, escape='"', quoteAll=True)
+    d = readers.read_csv(spark, path, ("doc_id", "text"))
+    return d.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+
+
+@query("jsonl_roundtrip", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS role, text FROM conversations")
+def jsonl_roundtrip(spark, sf):
+    path = fresh_path(spark, "jsonl")
+    writers.write_jsonl(table(spark, sf, "conversations").withColumn("role", F.when(F.col("turn") % 2 == 0, F.col("role"))), path)
+    return readers.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
+
+
+@query("null_keys_written", "SELECT conv_id, turn, 'conv_id,role,text,turn' AS keys FROM conversations")
+def null_keys_written(spark, sf):
+    path = fresh_path(spark, "keys")
+    writers.write_jsonl(table(spark, sf, "conversations").withColumn("role", F.lit(None).cast("string")), path)
+    j = readers.read_raw_json(spark, path)
+    keys = F.array_join(F.array_sort(C.present_keys(F.col("json"), None)), ",")
+    return j.select(F.get_json_object("json", "$.conv_id").cast("long").alias("conv_id"), F.get_json_object("json", "$.turn").cast("long").alias("turn"), keys.alias("keys"))
+
+
+@query("fan_out_counts", f"WITH {_MATCHED} SELECT category, count(*) AS n FROM n GROUP BY 1")
+def fan_out_counts(spark, sf):
+    path = fresh_path(spark, "fan")
+    writers.fan_out(categorized(spark, sf).select("scenario_id", "moral_categories"), path, "moral_categories")
+    return spark.read.json(path).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("idempotent_write", "SELECT doc_id, toxic, FALSE AS written_again FROM labels")
+def idempotent_write(spark, sf):
+    path, t = fresh_path(spark, "once"), table(spark, sf, "labels").select("doc_id", "toxic")
+    writers.ensure_written(t, path)
+    again = writers.ensure_written(t.repartition(3), path)
+    return spark.read.parquet(path).withColumn("written_again", F.lit(again))
+
+
+@query("manifest_counts", "SELECT 'documents' AS name, (SELECT count(*) FROM documents) AS rows UNION ALL SELECT 'labels', (SELECT count(*) FROM labels)")
+def manifest_counts(spark, sf):
+    m = writers.manifest({n: table(spark, sf, n) for n in ("documents", "labels")})
+    return spark.createDataFrame([(n, v["rows"]) for n, v in m["tables"].items()], "name string, rows long")
+
+
+@query("resumed_scoring", ORACLES["scored_with_fake"])
+def resumed_scoring(spark, sf):
+    """Scored in two runs, the second of which finds the first's rows in the checkpoint table."""
+    path = fresh_path(spark, "scores")
+    p = public(spark, sf).withColumnRenamed("block", "prompt")
+    score = lambda d: S.score_verdicts(d, S.Deterministic, M.SYSTEM)
+    run_pending(p.where("source_idx % 3 = 0"), path, "target_id", score)
+    done = run_pending(p, path, "target_id", score)
+    out = J.late_labels(done, R.split_views(routed(spark, sf))["private"])
+    return out.select("target_id", "predicted_verdict", "correct", F.round("gold_probability", 9).alias("gold_probability"))
