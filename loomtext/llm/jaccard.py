@@ -11,7 +11,7 @@ digest of the set; everything below works on classes, so copies are never paired
    class whose prefix consists of such shingles, as of nearly all documents that are no near copies, is settled there.
 2. Candidates. The remaining prefix entries are dealt by shingle. In each shingle's list classes with equal prefix and
    size form one group; pairs of groups pass the size filter and the positional filter, the members of passing groups
-   are expanded and pass a 256-bit parity filter, an upper bound of the overlap. What is emitted is a spanning
+   are expanded and pass a 1024-bit parity filter, an upper bound of the overlap. What is emitted is a spanning
    forest of the passing pairs of each list, never all pairs.
 3. Verification. Each forest edge is verified on the two whole sets. Where edges fail, the lists are gone through once
    more and all passing pairs between different verified components are verified, so that no link is lost.
@@ -43,7 +43,7 @@ from loomtext.llm.textvec import chunks, mix, shingle_sets, utf8
 TOKENS, CLASS, DOC, PREFIX = 0, 1, 2, 3
 PAIR = np.dtype([("token", "<u8"), ("gid", "<u8")])
 COUNTED = np.dtype([("gid", "<u8"), ("token", "<u8"), ("df", "<u4")])
-ENTRY = np.dtype([("token", "<u8"), ("gid", "<u8"), ("group", "<u8"), ("n", "<u4"), ("rank", "<u4"), ("rest", "<u4"), ("_", "<u4"), ("bits", "<u8", 4)])
+ENTRY = np.dtype([("token", "<u8"), ("gid", "<u8"), ("group", "<u8"), ("n", "<u4"), ("rank", "<u4"), ("rest", "<u4"), ("_", "<u4"), ("bits", "<u8", 16)])
 FLUSH = 1 << 20
 
 
@@ -59,8 +59,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """256 bits: the parity of the set's elements in each of 256 hash classes."""
-    return np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).tobytes()
+    """1024 bits: the parity of the set's elements in each of 1024 hash classes."""
+    return np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).tobytes()
 
 
 class _Rows:
@@ -221,8 +221,8 @@ def _prefixes(num: int, den: int, pieces: int):
     return run
 
 
-def _passes(e: np.ndarray, x: int, others: np.ndarray, groups: np.ndarray, of: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which of ``others`` may reach the similarity with x: filters of group pairs, then of their members."""
+def _passes(e: np.ndarray, x: int, others: np.ndarray, groups: np.ndarray, of: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``others`` may reach the similarity with x (filters of group pairs, then of their members), and how far these are."""
     g, h = e[x], groups
     n = h["n"].astype(np.int64) + int(g["n"])
     most = np.minimum(h["rank"], g["rank"]).astype(np.int64) + 1 + np.minimum(h["rest"], g["rest"])
@@ -230,8 +230,9 @@ def _passes(e: np.ndarray, x: int, others: np.ndarray, groups: np.ndarray, of: n
     ok = group_ok[of[others]]
     far = np.bitwise_count(e["bits"][others[ok]] ^ g["bits"]).sum(1, dtype=np.int64)
     both = e["n"][others[ok]].astype(np.int64) + int(g["n"])
-    ok[ok] = (both - far) // 2 * (num + den) >= num * both
-    return ok
+    near = (both - far) // 2 * (num + den) >= num * both
+    ok[ok] = near
+    return ok, far[near]
 
 
 def _lists(e: np.ndarray) -> Iterator[np.ndarray]:
@@ -256,7 +257,7 @@ def forest(e: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            ok = _passes(e, x, left, groups, of, num, den)
+            ok, _ = _passes(e, x, left, groups, of, num, den)
             if ok.any():
                 new = left[ok]
                 edges += [(int(gid[x]), int(gid[y])) for y in new if gid[x] != gid[y]]
@@ -292,8 +293,11 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*cols, bits], ["token", "gid", "group", "n", "rank", "rest", "bits"])
 
 
-def _cross(num: int, den: int):
-    """All passing pairs of different components in each token's list; rows come with their component."""
+def _cross(num: int, den: int, nearest: bool):
+    """Passing pairs of different components in each token's list; rows come with their component.
+
+    ``nearest``: for each class only the one with the fewest differing bits, a linear number; else all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -304,20 +308,23 @@ def _cross(num: int, den: int):
                 e[c] = t[c].to_numpy().astype(np.uint64)
             for c in ("n", "rank", "rest"):
                 e[c] = t[c].to_numpy()
-            e["bits"] = np.frombuffer(b"".join(t["bits"].to_pylist()), "<u8").reshape(-1, 4)
-            comp = t["component"].to_numpy()
-            _, comp = np.unique(comp, return_inverse=True)
-            e["_"] = comp
+            e["bits"] = np.frombuffer(b"".join(t["bits"].to_pylist()), "<u8").reshape(-1, 16)
+            _, e["_"] = np.unique(t["component"].to_numpy(), return_inverse=True)
             for lst in _lists(e):
                 if (lst["_"] == lst["_"][0]).all():
                     continue
                 groups, of = _grouped(lst)
-                for x in range(len(lst) - 1):
-                    others = np.arange(x + 1, len(lst))
+                for x in range(len(lst)):
+                    others = np.arange(0 if nearest else x + 1, len(lst))
                     others = others[lst["_"][others] != lst["_"][x]]
-                    if len(others):
-                        g = int(lst["gid"][x])
-                        found.update((min(g, y), max(g, y)) for y in lst["gid"][others[_passes(lst, x, others, groups, of, num, den)]].tolist())
+                    if not len(others):
+                        continue
+                    ok, far = _passes(lst, x, others, groups, of, num, den)
+                    partners = lst["gid"][others[ok]]
+                    if nearest and len(partners):
+                        partners = partners[np.lexsort((partners, far))[:1]]
+                    g = int(lst["gid"][x])
+                    found.update((min(g, y), max(g, y)) for y in partners.tolist())
                 if len(found) > FLUSH:
                     yield _pairs(found)
                     found = set()
@@ -391,16 +398,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         both = e.join(sets.select(F.col("gid").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("gid").alias("a"), F.col("elements").alias("x")), "a")
         return stored(both.select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long, ok boolean"), f"{name}-checked")
 
-    checked = verified(edges, "jaccard-1")
-    links = checked.where("ok").select("a", "b")
-    if not checked.where("NOT ok").isEmpty():
-        comp = connected(links, "jaccard-cc1")
-        known = ends(edges).join(comp, F.col("gid") == comp["node"], "left").select("gid", F.coalesce("component", "gid").alias("component"))
-        rows = lists.mapInArrow(_unpack, "token long, gid long, group long, n long, rank long, rest long, bits binary").join(known, "gid")
-        cross = rows.select("token", "gid", "group", "n", "rank", "rest", "bits", "component").repartition("token").mapInArrow(_cross(num, den), "a long, b long").distinct()
-        cross = stored(cross.join(edges, ["a", "b"], "left_anti"), "jaccard-cross")
-        if not cross.isEmpty():
-            links = links.unionByName(verified(cross, "jaccard-2").where("ok").select("a", "b"))
+    done = verified(edges, "jaccard-1")
+    links = done.where("ok").select("a", "b")
+    if not done.where("NOT ok").isEmpty():
+        known = stored(ends(edges), "jaccard-known")
+        rows = lists.mapInArrow(_unpack, "token long, gid long, group long, n long, rank long, rest long, bits binary").join(known, "gid", "left_semi")
+        # First what is nearest, which joins most of what belongs together; then all that is still apart.
+        for step in (2, 3):
+            comp = connected(links, f"jaccard-cc{step}")
+            own = known.join(comp, F.col("gid") == comp["node"], "left").select("gid", F.coalesce("component", "gid").alias("component"))
+            apart = rows.join(own, "gid").select("token", "gid", "group", "n", "rank", "rest", "bits", "component").repartition("token")
+            cross = apart.mapInArrow(_cross(num, den, nearest=step == 2), "a long, b long").distinct()
+            cross = stored(cross.join(done.select("a", "b"), ["a", "b"], "left_anti"), f"jaccard-cross{step}")
+            if not cross.isEmpty():
+                done = done.unionByName(verified(cross, f"jaccard-{step}"))
+                links = done.where("ok").select("a", "b")
     comp = stored(connected(links, "jaccard-cc"), "jaccard-components")
     # Classes of several rows or in a component of several classes: the smallest doc_id by aggregation.
     tagged = stored(members.join(comp, members["gid"] == comp["node"], "left").select("doc_id", "n", F.coalesce("component", "gid").alias("_c")), "jaccard-tagged")
