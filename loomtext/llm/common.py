@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local runs) a temporary
-    folder is made and set as the checkpoint folder of the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    made = tempfile.mkdtemp(prefix="loomtext-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(made)
-    return shared_dir(spark)
+from loomtext.sources.scratch import fresh_path
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

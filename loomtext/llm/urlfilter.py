@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import ascii_lower, shared_dir, table
+from loomtext.llm.common import ascii_lower, table
+from loomtext.sources.scratch import shared_folder
 
 #: The production rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -57,7 +58,7 @@ def sweep(points: DataFrame, intervals: DataFrame) -> DataFrame:
     point = points.select("key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("of"), F.lit(None).cast(intervals.schema["rule"].dataType).alias("rule"))
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     events = start.unionByName(end).unionByName(point).repartitionByRange(n, "key", "kind").withColumn("part", F.spark_partition_id())
-    shared_dir(points.sparkSession)
+    shared_folder(points.sparkSession)
     events = events.checkpoint()
     ends = events.where("kind <> 1").groupBy("of").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("rule").alias("rule"))
     carried = ends.where("b > a").select("of", "rule", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("part"))

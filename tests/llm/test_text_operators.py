@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomtext.llm import decontam, jaccard, linededup, suffixdedup, textvec
+from loomtext.llm import common, decontam, jaccard, linededup, mixing, suffixdedup, textvec
 
 DOCS = "doc_id long, text string, source string, lang string"
 WORDS = ["ab", "Cd", "ef", "gh", "ij", "kl", "mn", "ôp", "qr", "st"]
@@ -195,7 +195,7 @@ def test_contexts_own_every_window_once():
 
 
 def brute_lines(rows, min_sites, most_share):
-    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\f\r"))
+    key = lambda x: x.strip(" \t\n\x0b\f\r").lower()
     sites = {}
     for _, t, s, *_ in rows:
         for x in (t or "").split("\n") if t is not None else []:
@@ -232,3 +232,17 @@ def test_line_dedup_keeps_columns_and_takes_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a\nb", "s", "en", 3)], "doc_id long, text string, source string, site string, n_lines int")
     assert set(docs.columns) <= set(linededup.remove_boilerplate(docs).columns)
     assert linededup.remove_boilerplate(docs.limit(0)).collect() == []
+
+
+def test_results_are_the_same_beyond_the_broadcast_bounds(spark, monkeypatch):
+    rows = made(11, n=80) + [(500, "w " * 300, "s1", "en"), (501, "x " + "w " * 300, "s2", "en")]
+    docs = spark.createDataFrame(rows, DOCS)
+    key = lambda df: sorted(map(str, df.collect()))
+    run = lambda: [key(suffixdedup.remove_repeats(docs)), key(jaccard.near_duplicates(docs, k=3)), key(linededup.remove_boilerplate(docs, min_sites=2)), key(mixing.mix(docs))]
+    want = run()
+    monkeypatch.setattr(common, "MOST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
