@@ -62,9 +62,15 @@ def first_non_empty(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in columns))
 
 
-def named_label(*columns: Column) -> Column:
-    """The first non-empty of several label columns; only whole 0 and 1 count."""
-    value = strip_ends(first_non_empty(*columns)).try_cast("int")
+def named_label(*columns: Column, numeric: bool = False) -> Column:
+    """The first non-empty of several label columns; only whole 0 and 1 count.
+
+    ``numeric``: the columns hold numbers or booleans, whose fraction is cut off (0.7 is 0, true is 1).
+    """
+    if numeric:
+        value = F.coalesce(*(c.cast("double") for c in columns)).cast("int")
+    else:
+        value = strip_ends(first_non_empty(*columns)).try_cast("int")
     return F.when(value.isin(0, 1), value)
 
 

@@ -13,6 +13,7 @@ from loomtext.operators import constraints as C
 from loomtext.operators import joins as J
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as A
+from loomtext.operators import normalize as N
 from loomtext.operators import routing as R
 from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
@@ -369,6 +370,26 @@ def response_problems(spark, sf):
     return d.select("o_orderkey", p.alias("problem")).where("problem IS NOT NULL")
 
 
+_RAW_INPUTS = """SELECT o_orderkey AS ordinal, CASE o_orderkey % 5
+    WHEN 0 THEN concat('{"source_idx": ', CAST(o_orderkey + 7 AS STRING), ', "target_id": "T1", "input_format": "role/duty", "scenario": " s ", "excuse": "e", "label": null}')
+    WHEN 1 THEN '{"task_type": "Duty-Role", "scenario": "a", "excuse": "b", "gold": 1, "gold_label": 0}'
+    WHEN 2 THEN '{"scenario": "c", "excuse": "d"}'
+    WHEN 3 THEN '{"input_format": "request", "task_type": "duty", "scenario": "e", "excuse": "f"}'
+    ELSE '{"scenario": "  ", "excuse": "g"}' END AS json
+FROM orders"""
+
+
+@query("normalized_inputs", f"WITH k AS ({_RAW_INPUTS}) SELECT ordinal, CASE WHEN ordinal % 5 = 0 THEN ordinal + 7 ELSE ordinal END AS source_idx, CASE WHEN ordinal % 5 = 0 THEN 'T1' END AS target_id, CASE WHEN ordinal % 5 = 3 THEN 'request' ELSE 'duty_role' END AS input_format, ['s', 'a', 'c', 'e', ''][ordinal % 5 + 1] AS scenario, ['label', 'gold,gold_label', '', '', ''][ordinal % 5 + 1] AS private_fields FROM k")
+def normalized_inputs(spark, sf):
+    d, _ = N.normalize_inputs(derived(spark, sf, _RAW_INPUTS), "duty_role", "cases")
+    return d.select("ordinal", "source_reference.source_idx", "source_reference.target_id", "input_format", "input.scenario", F.array_join("private_fields_present_in_source", ",").alias("private_fields"))
+
+
+@query("input_violations", f"WITH k AS ({_RAW_INPUTS}) SELECT ordinal, CASE ordinal % 5 WHEN 3 THEN 'wrong_type' ELSE 'missing_text' END AS problem FROM k WHERE ordinal % 5 IN (3, 4)")
+def input_violations(spark, sf):
+    return N.normalize_inputs(derived(spark, sf, _RAW_INPUTS), "duty_role", "cases")[1]
+
+
 # ---- prompts
 
 _BLOCK = "CASE input_format WHEN 'request' THEN 'Case format: request or excuse' || chr(10) || 'Scenario: ' || s || chr(10) || 'Proposed excuse: ' || e ELSE 'Case format: role or responsibility' || chr(10) || 'Role or context: ' || s || chr(10) || 'Proposed responsibility: ' || e END"

@@ -94,3 +94,8 @@ def read_cases(spark: SparkSession, path: str, source_format: str, prefix: str,
     text = own.select("target_id", "source_idx", collapse(F.col(scenario)).alias("scenario"), collapse(F.col(response)).alias("excuse"))
     r = route_folded(F.col("scenario"), F.col("excuse"))
     return text.withColumn("input_format", r["input_format"]).withColumn("scenario_group_id", group_id(F.col("scenario")))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, sha256) of each file under ``path``; the bytes stay on the executors."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

@@ -11,6 +11,7 @@ from loomtext.operators import constraints as C
 from loomtext.operators import joins as J
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as A
+from loomtext.operators import normalize
 from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
 from loomtext.plans import jobs
@@ -249,3 +250,17 @@ def test_results_do_not_depend_on_partitions(spark):
     d = spark.createDataFrame(rows, "source_idx long, input_format string")
     views = [sorted(map(str, O.audit_sample(x, 7, 1).collect())) for x in (d.coalesce(1), d.repartition(9))]
     assert views[0] == views[1] and list(itertools.chain(*views))
+
+
+def test_inputs_are_normalised(spark, tmp_path):
+    import hashlib
+
+    lines = ['{"source_idx": 3, "scenario": "s", "excuse": "e", "label": null}', '{"source_idx": 3, "scenario": "t", "excuse": "e"}', '{"target_id": null, "scenario": "u", "excuse": "e"}', '{"input_format": null, "scenario": "u", "excuse": "e"}']
+    d, bad = normalize.normalize_inputs(spark.createDataFrame(list(enumerate(lines)), "ordinal long, json string"), "request", "cases")
+    assert sorted(tuple(r) for r in bad.collect()) == [(1, "duplicate_reference"), (3, "duplicate_reference"), (3, "wrong_type")]
+    assert [(r.source_reference.source_idx, r.private_fields_present_in_source) for r in d.orderBy("ordinal").collect()] == [(3, ["label"]), (3, []), (2, []), (3, [])]
+    j = spark.createDataFrame([('{"source_idx": null, "source_reference": {"source_idx": 5}}',), ('{"source_reference": {"source_idx": 5}}',)], "j string")
+    assert [r[0] for r in j.select(normalize.present_or_nested(F.col("j"), "source_idx")).collect()] == [None, "5"]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.bin").write_bytes(b"abc" * 1000)
+    assert [(r.size, r.sha256) for r in readers.file_digests(spark, str(tmp_path / "f")).collect()] == [(3000, hashlib.sha256(b"abc" * 1000).hexdigest())]
