@@ -1,6 +1,6 @@
 """Cross-site boilerplate lines by distinct-site spread.
 
-Lines are the pieces of a text between line feeds, compared after trimming ASCII white space and lower-casing A-Z, by a
+Lines are the pieces of a text between line feeds, compared after trimming ASCII white space and lower-casing, by a
 128-bit hash. For each line hash a HyperLogLog sketch of the sites (``source``) it stands on is merged by partial and
 final aggregation; a hot line is a sketch of fixed size in every task. Lines whose estimate is far above ``min_sites``
 are boilerplate, those far below are not, and lines near the threshold get exact distinct counts. Boilerplate lines of at
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import ascii_lower, small_side, stored, table
+from loomtext.llm.common import small_side, stored, table
 
 MIN_SITES = 8
 MIN_CHARS = 1
@@ -31,25 +31,24 @@ NEAR = 0.25
 
 
 def key(line: Column) -> Column:
-    """The line as compared: trimmed of ASCII white space, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
+    """The line as compared: trimmed of ASCII white space, in lower case."""
+    return F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
 
 
-def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b, site) of each line that is long enough."""
-    lines = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
+def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, text_hash, pos, a, b, site) of each line that is long enough; lines by hash only, written once."""
+    lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", key(F.col("line"))).where(F.length("line") >= max(1, min_chars))
-    return lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), "site")
+    return stored(lines.select("id", "text_hash", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), "site"), "line-table")
 
 
-def spread(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(a, b, estimate, sites) of the boilerplate lines; ``sites`` is exact where the estimate was near the threshold."""
-    lines = line_hashes(docs, min_chars)
     # One row for each line and site, so that the sketch takes each site once; repeats collapse before the exchange.
-    pairs = stored(lines.groupBy("a", "b", "site").agg(F.count("*").alias("n")).select("a", "b", "site"), "line-sites")
+    pairs = stored(lines.select("a", "b", "site").distinct(), "line-sites")
     sketches = pairs.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     est = sketches.select("a", "b", F.hll_sketch_estimate("sketch").alias("estimate"))
-    est = est.where(F.col("estimate") >= min_sites * (1 - NEAR))
+    est = stored(est.where(F.col("estimate") >= min_sites * (1 - NEAR)), "line-estimates")
     near = est.where(F.col("estimate") <= min_sites * (1 + NEAR)).select("a", "b")
     exact = pairs.join(near, ["a", "b"]).groupBy("a", "b").agg(F.count_distinct("site").alias("sites"))
     far = est.where(F.col("estimate") > min_sites * (1 + NEAR)).withColumn("sites", F.lit(None).cast("long"))
@@ -58,11 +57,9 @@ def spread(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHA
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, most_share: float = MOST_SHARE) -> DataFrame:
     """``docs`` with ``text`` cut and n_lines, n_removed added; all rows and columns are kept."""
-    boiler = small_side(stored(spread(docs, min_sites, min_chars).select("a", "b"), "boilerplate"))
-    tag = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t")]
-    lines = docs.select(*tag, F.posexplode(F.split("text", "\n")).alias("_pos", "_line")).withColumn("_line", key(F.col("_line")))
-    lines = lines.where(F.length("_line") >= max(1, min_chars)).select("_id", "_t", "_pos", F.xxhash64("_line").alias("a"), F.xxhash64(F.lit(7), "_line").alias("b"))
-    cut = lines.join(boiler, ["a", "b"]).groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_cut"))
+    lines = line_table(docs, min_chars)
+    boiler = small_side(stored(spread(lines, min_sites).select("a", "b"), "boilerplate"))
+    cut = lines.join(boiler, ["a", "b"]).groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_t")).agg(F.collect_set("pos").alias("_cut"))
     d = docs.withColumn("_xt", F.xxhash64("text"))
     out = d.join(cut, d["doc_id"].eqNullSafe(cut["_id"]) & (d["_xt"] == cut["_t"]), "left")
     every = F.split("text", "\n")
@@ -82,7 +79,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = rf"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+k AS (SELECT *, lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS key FROM l),
 b AS (SELECT key FROM k WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT coalesce(source, '')) >= {MIN_SITES}),
 m AS (SELECT k.*, b.key IS NOT NULL AS boiler FROM k LEFT JOIN b ON k.key = b.key),
 s AS (SELECT doc_id, text, coalesce(sum(length(line)) FILTER (boiler), 0) <= {MOST_SHARE} * length(text) AS cuts FROM m GROUP BY doc_id, text)
