@@ -44,7 +44,9 @@ TOKENS, CLASS, DOC, PREFIX = 0, 1, 2, 3
 PAIR = np.dtype([("token", "<u8"), ("gid", "<u8")])
 COUNTED = np.dtype([("gid", "<u8"), ("token", "<u8"), ("df", "<u4")])
 ENTRY = np.dtype([("token", "<u8"), ("gid", "<u8"), ("group", "<u8"), ("n", "<u4"), ("rank", "<u4"), ("rest", "<u4"), ("_", "<u4"), ("bits", "<u8", 16)])
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+#: Bytes of a parity bitmap.
+BITS = 128
 
 
 def prefix_length(n: np.ndarray | int, num: int, den: int):
@@ -289,7 +291,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for e in _blobs(b, PREFIX, ENTRY):
             cols = [pa.array(e[c].astype(np.int64)) for c in ("token", "gid", "group", "n", "rank", "rest")]
-            bits = pa.array([x.tobytes() for x in e["bits"]], pa.binary())
+            ends = pa.py_buffer(np.arange(0, BITS * (len(e) + 1), BITS, dtype=np.int32))
+            bits = pa.Array.from_buffers(pa.binary(), len(e), [None, ends, pa.py_buffer(np.ascontiguousarray(e["bits"]))])
             yield pa.RecordBatch.from_arrays([*cols, bits], ["token", "gid", "group", "n", "rank", "rest", "bits"])
 
 
@@ -308,7 +311,8 @@ def _cross(num: int, den: int, nearest: bool):
                 e[c] = t[c].to_numpy().astype(np.uint64)
             for c in ("n", "rank", "rest"):
                 e[c] = t[c].to_numpy()
-            e["bits"] = np.frombuffer(b"".join(t["bits"].to_pylist()), "<u8").reshape(-1, 16)
+            at, data = utf8(t["bits"].combine_chunks())
+            e["bits"] = data[at[0] : at[-1]].view("<u8").reshape(-1, 16)
             _, e["_"] = np.unique(t["component"].to_numpy(), return_inverse=True)
             for lst in _lists(e):
                 if (lst["_"] == lst["_"][0]).all():

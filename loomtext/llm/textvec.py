@@ -12,7 +12,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 21
+#: Bytes of text that are hashed at once; some ten times as much is held then.
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240607)
