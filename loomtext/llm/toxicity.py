@@ -1,8 +1,8 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 Kernel. Two words are compared by their common subsequences of three letters, each occurrence weighted by
-``decay ** span`` (span: characters from its first to its last, at most ``SPAN``), normalised to 1 for equal words. A
-mark stands before and after each word. Characters that are no letters are gaps, not symbols; runs of three or more
+``decay ** span`` (span: characters from its first to its last, at most ``SPAN``), normalised to 1 for equal words and
+raised to ``POWER``. A mark stands before and after each word. Characters that are no letters are gaps, not symbols; runs of three or more
 single letters are read as one word. So ``i-d-i-o-t``, ``i d i o t`` and ``idiiot`` stay near ``idiot``, and unseen
 inflections stay near their stem.
 
@@ -13,11 +13,10 @@ machine with squared hinge loss is trained on them by Newton steps.
 Labels are on texts; what is learned are their sentences and in those their words. A toxic text has a toxic sentence, a
 sentence is toxic by its highest word, so training alternates between the machine and the labels of the words of toxic texts:
 those scored negative become clean, the highest stays toxic. Disguised forms (characters inserted or doubled, gaps
-between letters) of the landmarks found toxic join the last step. A text's raw score is that of its highest word; a
-logistic curve fitted on the training texts maps it to 0..1.
+between letters) of the landmarks found toxic join the last step. A logistic curve fitted on the training texts maps the
+scores of a text's highest distinct words and the number of its words to 0..1.
 
-As the machine is linear in kernel values, it is folded into one weight for each three-letter subsequence, so a
-word costs the same whatever the number of landmarks. Words are scored once in each worker's bounded cache.
+Words are scored once in each worker's bounded cache.
 
 Training uses a bounded sample of labelled rows (``per_class`` texts of each label, the first in a hash order of
 doc_id, ``max_chars`` characters in all); scoring takes whole texts and nothing but the text.
@@ -32,6 +31,8 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,17 @@ from loomtext.llm.common import table
 
 DECAY, SPAN = 0.55, 7
 PER_CLASS = 700
-MAX_CHARS = 40_000_000
+MAX_CHARS = 8_000_000
 LANDMARKS, CLEAN_LANDMARKS = 112, 48
-RIDGE, TOXIC_WEIGHT = 1e-7, 0.2
+RIDGE, TOXIC_WEIGHT = 1e-6, 1.0
+#: The kernel's power: a word must share several subsequences with a landmark to be near it.
+POWER = 2
+#: Words whose kernel value with every landmark is below this train as one: they are near nothing.
+FAR = 0.04
+#: How many of a text's highest word scores count.
+TOP = 3
 #: The weight of a word's disguised forms in all, as a share of the word's own.
-DISGUISED = 1.0
+DISGUISED = 3.0
 #: Letters a-z, then the lower-case letters of Latin-1; all other letters share the last code, non-letters are 0.
 CODES = 64
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){2,}(?!\S)")
@@ -151,39 +158,48 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
+def _kernel(words: list[str], ids_of: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, kernel values with the landmarks) for blocks of words; words shorter than 3 letters are left out.
+
+    ids_of: compact number of each subsequence; columns: numbers x landmarks, the row of number 0 empty.
+    """
+    for at, part, length in by_length(words):
+        ids, w, norm = occurrences(part, length)
+        numbers = ids_of[ids]
+        out = np.zeros((len(part), columns.shape[1]), np.float32)
+        for t in np.flatnonzero(numbers.any(axis=0)):
+            out += w[t] * columns[numbers[:, t]]
+        out /= np.maximum(norm, 1e-6)[:, None]
+        yield at, np.minimum(out, 1) ** POWER
+
+
 @dataclass
 class Model:
-    weights: np.ndarray  #: of each three-letter subsequence
+    ids_of: np.ndarray  #: compact number of each three-letter subsequence of the landmarks, else 0
+    columns: np.ndarray  #: numbers x landmarks: normalised weights
+    alpha: np.ndarray  #: weight of each landmark
     bias: float
-    slope: float
-    offset: float
+    curve: np.ndarray  #: of the highest scores of a text, the logarithm of its number of words, and 1
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Each word's score less the bias."""
-        out = np.zeros(len(words))
-        for at, part, length in by_length(words):
-            ids, w, norm = occurrences(part, length)
-            out[at] = (self.weights[ids] @ w) / np.maximum(norm, 1e-6) * (norm > 0)
+        """Each word's score."""
+        out = np.full(len(words), self.bias)
+        for at, k in _kernel(words, self.ids_of, self.columns):
+            out[at] += k @ self.alpha
         for at, word in enumerate(words):
             if len(word) > _LONGEST:
                 out[at] = self.words(pieces(word)).max()
         return out
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -35, 35)))
+        """Of texts given as rows of ``features``."""
+        return 1 / (1 + np.exp(-np.clip(raw @ self.curve, -35, 35)))
 
 
-def _kernel(words: list[str], ids_of: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Normalised kernel of words with landmarks; ids_of: compact number of each subsequence, rows: landmarks x numbers."""
-    out = np.zeros((len(words), len(rows)), np.float32)
-    n = rows.shape[1]
-    for at, part, length in by_length(words, 400):
-        ids, w, norm = occurrences(part, length)
-        cols = ids_of[ids] + n * np.arange(len(part))[:, None]
-        dense = np.bincount(cols.ravel(), np.broadcast_to(w, ids.shape).ravel(), n * len(part)).reshape(len(part), n).astype(np.float32)
-        dense[:, 0] = 0
-        out[at] = dense @ rows.T / np.maximum(norm, 1e-6)[:, None]
-    return out
+def features(scores, bias: float) -> list[float]:
+    """A text's highest scores of distinct words, the logarithm of their number, and 1."""
+    top = nlargest(TOP, scores)
+    return [*top, *[bias] * (TOP - len(top)), np.log1p(len(scores)), 1.0]
 
 
 def _landmark_rows(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +221,7 @@ def _landmark_rows(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids_of, rows
 
 
-def _svm(parts: list[tuple[np.ndarray, np.ndarray, float, np.ndarray]], ridge: float, steps: int = 30, block: int = 8192) -> np.ndarray:
+def _svm(parts: list[tuple[np.ndarray, np.ndarray, float, np.ndarray]], ridge: float, steps: int = 12, block: int = 8192) -> np.ndarray:
     """Weighted squared hinge loss by Newton steps over parts (matrix, its rows, their label, their weights).
 
     The last column of a matrix is the bias. Rows are taken in blocks, so memory beyond the matrices is bounded.
@@ -239,8 +255,8 @@ def disguises(word: str, insert: str = "xzq") -> list[str]:
     return out
 
 
-def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean_landmarks: int = CLEAN_LANDMARKS, ridge: float = RIDGE, rounds: int = 8, toxic_weight: float = TOXIC_WEIGHT) -> Model:
-    flat = Model(np.zeros(CODES**3, np.float32), 0.0, 0.0, -35.0)
+def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean_landmarks: int = CLEAN_LANDMARKS, ridge: float = RIDGE, rounds: int = 5, toxic_weight: float = TOXIC_WEIGHT) -> Model:
+    flat = Model(np.zeros(CODES**3, np.int64), np.zeros((1, 1), np.float32), np.zeros(1), 0.0, np.array([*[0.0] * (TOP + 1), -35.0]))
     if len({y for _, y in texts}) < 2:
         return flat
     vocab: dict[str, int] = {}
@@ -268,69 +284,83 @@ def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean
             if len(taken) < landmarks and (not taken or like[c, taken].max() < 0.92):
                 taken.append(c)
         chosen = [by_favour[c] for c in taken]
-    common = [int(w) for w in np.lexsort((np.arange(len(words)), -in_clean)) if len(words[w]) >= 4 and in_clean[w] and w not in set(chosen)]
-    chosen += common[:clean_landmarks]
+    marks = set(chosen)
+    common = (int(w) for w in np.lexsort((np.arange(len(words)), -in_clean)) if len(words[w]) >= 4 and in_clean[w] and w not in marks)
+    chosen += islice(common, clean_landmarks)
     if not chosen:
         return flat
     ids_of, rows = _landmark_rows([words[w] for w in chosen])
-    val, vec = np.linalg.eigh((rows @ rows.T).astype(np.float64))
+    columns = np.ascontiguousarray(rows.T)
+    val, vec = np.linalg.eigh((np.minimum(rows @ rows.T, 1) ** POWER).astype(np.float64))
     good = val > 1e-4 * val.max()
     white = (vec[:, good] / np.sqrt(val[good])) @ vec[:, good].T  # K(landmarks)^-1/2
-    phi = _kernel(words, ids_of, rows) @ white.astype(np.float32)
-    x = np.concatenate([phi, np.ones((len(phi), 1), np.float32)], axis=1)
-    del phi
-    toxic, v = in_toxic.copy(), np.zeros(x.shape[1])
+
+    def mapped(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Features, and the row of each word; the last row is that of all words that are near no landmark."""
+        row, found, n = np.full(len(some), -1), [], 0
+        for at, k in _kernel(some, ids_of, columns):
+            near = k.max(axis=1) > FAR
+            row[at[near]] = n + np.arange(near.sum())
+            n += int(near.sum())
+            found.append(k[near] @ white.astype(np.float32))
+        x = np.zeros((n + 1, len(chosen) + 1), np.float32)
+        if n:
+            x[:-1, :-1] = np.concatenate(found)
+        x[:, -1] = 1
+        row[row < 0] = n
+        return x, row
+
+    x, row = mapped(words)
+    own = lambda per_word: np.bincount(row, per_word, len(x))
+    row_toxic, row_clean, toxic_rows = own(in_toxic), own(in_clean), [row[w] for w in toxic_docs]
+    toxic, v = row_toxic.copy(), np.zeros(x.shape[1])
     for _ in range(rounds):
         # A word of a toxic text is toxic if it scores so or is that text's highest; its other words are clean.
-        clean = in_clean + (in_toxic - toxic)
+        clean = row_clean + (row_toxic - toxic)
         weight = clean.sum() / toxic.sum() if not v.any() else toxic_weight
-        on, off = np.flatnonzero(toxic), np.flatnonzero(clean)
+        on, off = np.flatnonzero(toxic > 0), np.flatnonzero(clean > 0)
         v = _svm([(x, on, 1.0, toxic[on] * weight), (x, off, -1.0, clean[off])], ridge)
         score = x @ v
-        new = np.where(score > 0, in_toxic, 0.0)
-        for w in toxic_docs:
+        new = np.where(score > 0, row_toxic, 0.0)
+        for w in toxic_rows:
             if len(w) and score[w].max() <= 0:
                 new[w[score[w].argmax()]] += 1
         if (new == toxic).all():
             break
         toxic = new
     # Once more with disguised forms of the words found toxic: characters inserted or doubled, gaps between all letters.
-    hard = [w for w in np.flatnonzero((x @ v > 0) & (in_toxic > 0)) if w in set(chosen) and len(words[w]) >= 4]
+    now = x @ v
+    hard = [w for w in sorted(marks) if now[row[w]] > 0 and in_toxic[w] and len(words[w]) >= 4]
     forms, heavy = [], []
     for w in hard:
         made = disguises(words[w])
         forms += made
         heavy += [in_toxic[w] * DISGUISED / len(made)] * len(made)
     if forms:
-        more = np.concatenate([_kernel(forms, ids_of, rows) @ white.astype(np.float32), np.ones((len(forms), 1), np.float32)], axis=1)
-        clean = np.maximum(in_clean + in_toxic - toxic, 0)
-        on, off = np.flatnonzero(toxic), np.flatnonzero(clean)
-        v = _svm([(x, on, 1.0, toxic[on] * toxic_weight), (x, off, -1.0, clean[off]), (more, np.arange(len(more)), 1.0, np.array(heavy))], ridge)
-    score = x @ v
-    raw = np.array([score[w].max() if len(w) else v[-1] for w in doc_words])
-    slope, offset = _logistic(raw, doc_y)
-    folded = np.zeros(CODES**3, np.float32)
-    every = np.flatnonzero(ids_of)
-    folded[every] = ((white @ v[:-1]) @ rows)[ids_of[every]]
-    return Model(folded, float(v[-1]), slope, offset)
-
-
-def _logistic(raw: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset, with Platt's targets and a little ridge; the two labels weigh alike."""
+        more, at = mapped(forms)
+        clean = row_clean + np.maximum(row_toxic - toxic, 0)
+        on, off = np.flatnonzero(toxic > 0), np.flatnonzero(clean > 0)
+        v = _svm([(x, on, 1.0, toxic[on] * toxic_weight), (x, off, -1.0, clean[off]), (more, at, 1.0, np.array(heavy))], ridge)
+    score = (x @ v)[row]
+    raw = np.array([features(score[w].tolist(), v[-1]) for w in doc_words])
+    return Model(ids_of, columns, white @ v[:-1], float(v[-1]), _logistic(raw, doc_y))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic curve with Platt's targets and a little ridge; the two labels weigh alike."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     w = np.where(y == 1, 0.5 / pos, 0.5 / neg) * len(y)
-    x = np.stack([raw, np.ones(len(raw))], 1)
-    b = np.zeros(2)
+    b = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (w * (t - p)) - 1e-3 * b
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        b = b + np.clip(step, -5, 5)
+        g = x.T @ (w * (t - p)) - ridge * b
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
+        step = np.clip(np.linalg.solve(h, g), -5, 5)
+        b = b + step
         if np.abs(step).max() < 1e-7:
             break
-    return float(b[0]), float(b[1])
+    return b
 
 
 def held_out(doc_id: Column) -> Column:
@@ -369,19 +399,18 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, te
             _CACHES[key] = {}
         cache = _CACHES[key]
         for b in batches:
-            raw = np.full(b.num_rows, m.bias)
+            raw = np.empty((b.num_rows, len(m.curve)))
             texts = b.column(len(keep))
             for a in range(0, b.num_rows, 256):
-                tokens = [prepared(t).split() for t in texts.slice(a, 256).to_pylist()]
-                new = list({t for ts in tokens for t in ts}.difference(cache))
+                tokens = [{trim(x) for x in set(prepared(t).split())} - {""} for t in texts.slice(a, 256).to_pylist()]
+                new = list(set().union(*tokens).difference(cache))
                 if new:
                     if len(cache) + len(new) > CACHE:
                         cache.clear()
-                        new = list({t for ts in tokens for t in ts})
-                    cache.update(zip(new, m.words([trim(t) for t in new]).tolist(), strict=True))
+                        new = list(set().union(*tokens))
+                    cache.update(zip(new, m.words(new).tolist(), strict=True))
                 for r, ts in enumerate(tokens, a):
-                    if ts:
-                        raw[r] = m.bias + max(map(cache.__getitem__, ts))
+                    raw[r] = features(list(map(cache.__getitem__, ts)), m.bias)
             p = m.probability(raw)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 

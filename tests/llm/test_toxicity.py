@@ -40,16 +40,18 @@ def plain_kernel(a, b):
 def test_kernel_is_as_defined():
     words, marks = ["idiot", "i-d-i-o-t", "idxiot", "banana", "loweiä", "thonre"], ["idiot", "anaban", "loweischaft"]
     ids, rows = T._landmark_rows(marks)
-    want = [[plain_kernel(w, m) for m in marks] for w in words]
-    assert np.allclose(T._kernel(words, ids, rows), want, atol=1e-4)
+    got = np.zeros((len(words), len(marks)))
+    for at, k in T._kernel(words, ids, np.ascontiguousarray(rows.T)):
+        got[at] = k
+    assert np.allclose(got, [[plain_kernel(w, m) ** T.POWER for m in marks] for w in words], atol=1e-4)
 
 
-def test_folded_weights_give_the_machines_scores():
+def test_word_scores():
     model = T.train(made(1))
     words = ["idiot", "theon", "worthless", "x", "", "a" * 200]
-    ids, rows = T._landmark_rows(["idiot", "moron"])
-    assert np.isfinite(model.words(words)).all() and model.words(["x", ""]).tolist() == [0.0, 0.0]
+    assert np.isfinite(model.words(words)).all() and model.words(["x", ""]).tolist() == [model.bias] * 2
     assert model.words(["idiot"])[0] > model.words(["theon"])[0]
+    assert T.features([1.0, 3.0], -1.0) == [3.0, 1.0, -1.0, np.log1p(2), 1.0]
 
 
 def test_learns_insults_and_disguises(spark):
@@ -73,7 +75,7 @@ def test_edge_cases(spark):
     assert by[1].predicted == 0 and by[5].predicted == 1 and by[7].predicted == 1
     assert T.score_texts(spark.createDataFrame([], "doc_id long, text string"), model).collect() == []
     for texts in ([], [("a", 1)], [("a", 0), ("b", 0)], [("", 1), (None, 0)]):
-        assert 0 <= T.train(texts).probability(np.array([0.0]))[0] <= 1
+        assert 0 <= T.train(texts).probability(np.array([T.features([0.0], 0.0)]))[0] <= 1
 
 
 def test_training_sample_is_bounded_and_leaves_out_the_fold(spark):
