@@ -7,6 +7,8 @@ window go; the rest is mixed to target weights, one row for each repetition of a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,37 +20,58 @@ from loomtext.llm.mixing import mix
 from loomtext.llm.toxicity import score_texts, train, training_sample
 
 
+#: The columns that operators look at; all others pass through them under names that nothing else has.
+NEEDED = ("doc_id", "text", "source")
+
+
+def apart(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(``docs`` with plain names for columns that operators need not see, what gives a result its own names again).
+
+    Columns given besides replace those of their names.
+    """
+    own = {c: c if c in NEEDED else f"__own_{i}" for i, c in enumerate(docs.columns)}
+
+    def back(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*(F.col(x).alias(c) for c, x in own.items() if c not in more), *more)
+
+    return docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items())), back
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(training_sample(docs, table(spark, sf_dir, "labels")))
-    return score_texts(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    d, back = apart(docs)
+    return back(score_texts(d, model, keep=d.columns).where("predicted = 0"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = remove_boilerplate(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    d, back = apart(docs)
+    out = back(remove_boilerplate(d))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row whose doc_id names its component stays; rows without doc_id stay, a doc_id on several rows stays once."""
-    found = stored(near_duplicates(docs, k=5, num=80, den=100), "pipeline-near")
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(small_side(stored(losers, "pipeline-losers")), F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    d, back = apart(docs)
+    found = stored(near_duplicates(d, k=5, num=80, den=100), "pipeline-near")
+    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__loser")).distinct()
+    kept = d.join(small_side(stored(losers, "pipeline-losers")), F.col("doc_id") == F.col("__loser"), "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
     if repeated.isEmpty():
-        return kept
+        return back(kept)
     repeated = stored(repeated, "pipeline-repeated")
-    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    once = kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
+    return back(kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(once))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return out.where("NOT contaminated").select(*docs.columns)
+    d, back = apart(docs)
+    return back(decontaminate(d, table(spark, sf_dir, "benchmark"), keep=d.columns).where("NOT contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = mix(docs).where("copies > 0")
-    return out.select(*docs.columns, "size", "source_size", "target", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    d, back = apart(docs)
+    out = mix(d).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return back(out, "size", "source_size", "target", "copy")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_jaccard_join", jaccard), ("benchmark_decontamination", decontamination), ("mixing", mixing)]
