@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomtext.llm.common import table
 from loomtext.llm.textvec import utf8
@@ -31,6 +32,7 @@ NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 #: Automata built in this worker, by call: a reused worker builds them once.
 _MADE: dict[str, list] = {}
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,stop:int>>"
 
 
@@ -94,9 +96,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: lis
     """The ``keep`` columns (doc_id) of each row with n_words, n_hit, n_items, items_sha256, contaminated and hit spans.
 
     The spans are offsets of the original text. The item windows are collected: a benchmark is a stated, bounded query
-    set (200 items here), not corpus data. Kept columns must not bear the names of the results.
+    set (200 items here), not corpus data. Results replace kept columns of their names.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in RESULTS]
     rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null").toLocalIterator()]
     windows = docs.sparkSession.sparkContext.broadcast(item_windows(rows, size))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
@@ -109,7 +111,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: lis
         machines = _MADE[key]
         out_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), out_type]
-        names = [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"]
+        names = [*keep, *RESULTS]
         for b in batches:
             offsets, data = utf8(b.column(len(keep)))
             rows = []
@@ -120,7 +122,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: lis
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text_col])).mapInArrow(run, schema)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

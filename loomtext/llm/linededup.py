@@ -56,20 +56,21 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, most_share: float = MOST_SHARE) -> DataFrame:
-    """``docs`` with ``text`` cut and n_lines, n_removed added; all rows and columns are kept."""
+    """``docs`` with ``text`` cut and n_lines, n_removed added; all rows and columns are kept, the
+    two replace columns of their names."""
     lines = line_table(docs, min_chars)
     boiler = small_side(stored(spread(lines, min_sites).select("a", "b"), "boilerplate"))
-    cut = lines.join(boiler, ["a", "b"]).groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_t")).agg(F.collect_set("pos").alias("_cut"))
-    d = docs.withColumn("_xt", F.xxhash64("text"))
-    out = d.join(cut, d["doc_id"].eqNullSafe(cut["_id"]) & (d["_xt"] == cut["_t"]), "left")
+    cut = lines.join(boiler, ["a", "b"]).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__t")).agg(F.collect_set("pos").alias("__cut"))
+    d = docs.withColumn("__xt", F.xxhash64("text"))
+    out = d.join(cut, d["doc_id"].eqNullSafe(cut["__id"]) & (d["__xt"] == cut["__t"]), "left")
     every = F.split("text", "\n")
-    gone = F.coalesce(F.aggregate(F.filter(every, lambda x, i: F.array_contains("_cut", i)), F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
-    out = out.withColumn("_cut", F.when(gone <= F.lit(most_share) * F.length("text"), F.col("_cut")))
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_cut", i)), "\n")
+    gone = F.coalesce(F.aggregate(F.filter(every, lambda x, i: F.array_contains("__cut", i)), F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
+    out = out.withColumn("__cut", F.when(gone <= F.lit(most_share) * F.length("text"), F.col("__cut")))
+    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("__cut", i)), "\n")
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("_cut"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept))
-    return out.drop("_id", "_t", "_xt", "_cut")
+    out = out.withColumn("n_removed", F.coalesce(F.size("__cut"), F.lit(0)).cast("long"))
+    out = out.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept))
+    return out.drop("__id", "__t", "__xt", "__cut")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

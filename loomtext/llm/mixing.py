@@ -81,14 +81,16 @@ def plan_mix(sized: DataFrame, weights=cyclic_weights, share: float = 1.5, max_e
 
 
 def mix(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max_epochs: float = 2.0, seed: str = SEED) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken (size * copies); no row is dropped."""
-    d = docs.withColumn("size", n_words(F.col("text"))).withColumn("_slot", slot(F.col("doc_id"), seed))
-    plan = plan_mix(d.select("source", F.col("_slot").alias("slot"), "size"), weights, share, max_epochs)
-    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "last_slot")
+    """``docs`` with size, source_size, target, copies and taken (size * copies); no row is dropped,
+    and the five replace columns of their names."""
+    d = docs.withColumn("size", n_words(F.col("text"))).withColumn("__slot", slot(F.col("doc_id"), seed))
+    plan = plan_mix(d.select("source", F.col("__slot").alias("slot"), "size"), weights, share, max_epochs)
+    plan = plan.select(F.col("source").alias("__s"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("last_slot").alias("__last"))
     plan = small_side(stored(plan, "mix-plan"))
-    out = d.join(plan, d["source"].eqNullSafe(plan["_s"])).drop("_s")
-    copies = F.col("whole") + F.when(F.col("_slot") <= F.col("last_slot"), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).drop("_slot", "whole", "last_slot")
+    out = d.join(plan, d["source"].eqNullSafe(plan["__s"])).drop("__s")
+    copies = F.col("__whole") + F.when(F.col("__slot") <= F.col("__last"), 1).otherwise(0)
+    out = out.withColumn("source_size", F.col("__size")).withColumn("target", F.col("__target"))
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).drop("__slot", "__size", "__target", "__whole", "__last")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

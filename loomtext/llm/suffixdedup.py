@@ -420,10 +420,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, the bytes that stay."""
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     spans = stored(repeated_spans(docs).groupBy("t").agg(F.collect_list("spans").alias("spans")), "suffix-spans")
-    d = docs.select(*keep, "text").withColumn("_t", text_key_column(F.col("text")))
-    both = d.join(small_side(spans), F.col("_t") == F.col("t"), "left").select(*keep, "text", "spans")
+    own = [F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)]
+    d = docs.select(*own, F.col("text").alias("__text")).withColumn("__t", text_key_column(F.col("__text")))
+    both = d.join(small_side(spans), F.col("__t") == F.col("t"), "left").drop("__t", "t")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

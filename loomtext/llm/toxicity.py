@@ -387,8 +387,8 @@ _CACHES: dict[str, dict[str, float]] = {}
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns (doc_id) with score and predicted for each row; kept columns must not bear those names."""
-    keep = keep or ["doc_id"]
+    """The ``keep`` columns (doc_id) with score and predicted for each row; these replace kept columns of their names."""
+    keep = [c for c in keep or ["doc_id"] if c not in ("score", "predicted")]
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int"])
 
@@ -414,7 +414,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, te
             p = m.probability(raw)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text_col])).mapInArrow(run, schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,36 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+CLASHING = ["score", "predicted", "n_words", "contaminated", "hit_spans", "size", "target", "copies", "source_size", "n_lines", "n_removed", "n_bytes", "kept", "id", "_id", "_t", "pos", "site", "text_hash", "gid", "n", "kind", "a", "b", "component_id", "host", "spans", "t"]
+
+
+def test_stages_take_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs.select("*", *(F.concat(F.lit(f"{c} of "), "doc_id").alias(c) for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out = stage(spark, docs, SF), stage(spark, wide, SF)
+        assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect())
+        replaced = {"size", "source_size", "target", "copy"} if name == "mixing" else set()
+        assert set(wide.columns) | replaced == set(out.columns) and len(out.columns) == len(set(out.columns))
+        assert out.where(" OR ".join(f"`{c}` <> concat('{c} of ', doc_id)" for c in CLASHING if c not in replaced)).isEmpty()
+
+
+def test_operators_take_clashing_columns(spark):
+    from loomtext.llm import decontam, jaccard, linededup, media, mixing, suffixdedup, toxicity, urlfilter, warc
+    from tests.llm.test_toxicity import made
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    wide = docs.select("*", *(F.lit("x").alias(c) for c in CLASHING))
+    model = toxicity.train(made(1))
+    assert toxicity.score_texts(wide, model, keep=["doc_id", *CLASHING]).where("score > 1").isEmpty()
+    assert decontam.decontaminate(wide, spark.read.parquet(f"{SF}/benchmark.parquet"), keep=["doc_id", *CLASHING]).where("n_words < 0").isEmpty()
+    assert suffixdedup.remove_repeats(wide, keep=["doc_id", *CLASHING]).where("n_removed > n_bytes").isEmpty()
+    assert linededup.remove_boilerplate(wide).where("n_removed > n_lines").isEmpty()
+    assert mixing.mix(wide).where("taken <> size * copies OR target < 0").isEmpty()
+    assert jaccard.near_duplicates(wide, k=3).count() == media.store_text_audio(wide).count() == 40
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(20).select("*", *(F.lit("x").alias(c) for c in [*CLASHING, "rule", "verdict", "path", "key"]))
+    assert urlfilter.match(pages, urlfilter.rule_table(spark)).where("verdict NOT IN ('allow', 'block')").isEmpty()
+    headers, payloads = warc.write_archive(pages)
+    assert warc.restore(headers, payloads).count() == 20
