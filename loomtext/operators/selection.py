@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +100,8 @@ def seed_cover(rows: DataFrame, count: int, seed: int, mode: str = "hash", key:
     (at most 2**10 - 1) sets. ``hash`` breaks ties by a seeded hash; ``exact`` by one generator in source order, for small inputs.
     """
     positive(count=count)
+    # Three small results are drawn from these rows; what derives their categories runs once.
+    rows = rows.select(key, "moral_categories", *(["source_idx"] if mode == "exact" else [])).persist(StorageLevel.DISK_ONLY)
     if mode == "exact":
         keyed = rows.join(exact_ties(rows, seed, key), key)
         candidates = cover_candidates(keyed, count, F.col("tie"), key)
@@ -123,4 +126,5 @@ def seed_cover(rows: DataFrame, count: int, seed: int, mode: str = "hash", key:
             take(options)
     while len(chosen) < count and pool:
         take(pool)
+    rows.unpersist()
     return rows.sparkSession.createDataFrame(list(enumerate(chosen, 1)), f"seed_no int, {key} {rows.schema[key].dataType.simpleString()}")
