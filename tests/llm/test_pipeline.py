@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,53 @@ def test_operators_take_clashing_columns(spark):
     assert urlfilter.match(pages, urlfilter.rule_table(spark)).where("verdict NOT IN ('allow', 'block')").isEmpty()
     headers, payloads = warc.write_archive(pages)
     assert warc.restore(headers, payloads).count() == 20
+
+
+def plain_pipeline(docs, items, model):
+    """The five stages over lists, each by the brute-force version of its operator: {(doc_id, copy): text}."""
+    import hashlib
+    import re
+
+    from loomtext.llm import toxicity
+    from tests.llm.test_record_operators import plain_water
+    from tests.llm.test_text_operators import brute_components, brute_hits, brute_lines
+
+    def toxic(text):
+        words = {toxicity.trim(x) for x in toxicity.prepared(text).split()} - {""}
+        return model.probability(np.array([toxicity.features(model.words(sorted(words)).tolist(), model.bias)]))[0] >= 0.5
+
+    rows = [(d, t, s) for d, t, s in docs if not toxic(t)]
+    source = {d: s for d, _, s in rows}
+    rows = [(d, t, source[d]) for d, t, *_ in brute_lines(rows, 8, 0.5)]
+    component = brute_components(rows, 5, 80, 100)
+    rows = [r for r in rows if component[r[0]][1] == r[0]]
+    rows = [r for r in rows if not brute_hits(r[1], items, 10)[4]]
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, _ in rows}
+    slot = {d: int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:3], 16) for d in size}
+    total = {}
+    for d, _, s in rows:
+        total[s] = total.get(s, 0) + size[d]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(total))}
+    target = plain_water({s: n for s, n in total.items() if n}, {s: weight[s] for s in total if total[s]}, 1.5, 2.0)
+    out = {}
+    for s, n in total.items():
+        whole = int(target.get(s, 0) / n + 1e-9) if n else 0
+        rest, upto, last = max(0.0, target.get(s, 0) - whole * n), 0, -1
+        words = {}
+        for d, _, x in rows:
+            if x == s:
+                words[slot[d]] = words.get(slot[d], 0) + size[d]
+        for k in sorted(words):
+            upto += words[k]
+            last = k if upto - words[k] / 2 <= rest - 1e-6 else last
+        out |= {(d, c): t for d, t, x in rows if x == s for c in range(1, whole + (slot[d] <= last) + 1)}
+    return out
+
+
+def test_pipeline_equals_its_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = corpus_pipeline.train(corpus_pipeline.training_sample(docs, labels))
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    want = plain_pipeline([tuple(r) for r in docs.select("doc_id", "text", "source").collect()], items, model)
+    assert {(r.doc_id, r.copy): r.text for r in corpus_pipeline.run(spark, SF).collect()} == want
