@@ -11,8 +11,9 @@ digest of the set; everything below works on classes, so copies are never paired
    class whose prefix consists of such shingles, as of nearly all documents that are no near copies, is settled there.
 2. Candidates. The remaining prefix entries are dealt by shingle. In each shingle's list classes with equal prefix and
    size form one group; pairs of groups pass the size filter and the positional filter, the members of passing groups
-   are expanded and pass a 1024-bit parity filter, an upper bound of the overlap. What is emitted is a spanning
-   forest of the passing pairs of each list, never all pairs.
+   are expanded and pass a 1024-bit parity filter, an upper bound of the overlap. Classes with no more shingles of the
+   first kind than their prefix is long, mostly of short texts, have no positional bound and are grouped by size. What
+   is emitted is a spanning forest of the passing pairs of each list, never all pairs.
 3. Verification. Each forest edge is verified on the two whole sets. Where edges fail, the lists are gone through once
    more and all passing pairs between different verified components are verified, so that no link is lost.
 4. Components by alternating star contraction over verified edges.
@@ -207,9 +208,10 @@ def _prefixes(num: int, den: int, pieces: int):
             e["token"], e["gid"], e["n"] = tokens, gid, n
             e["rank"] = np.arange(keep)
             e["rest"] = n - alone - 1 - np.arange(keep)
-            if emitted <= p:  # the order inside is not needed: no position is known to be better
-                e["rank"], e["rest"] = keep - 1, n - alone - keep
             e["group"] = gid if alone else int(mix(np.array([np.bitwise_xor.reduce(mix(tokens)) + np.uint64(n)], np.uint64))[0])
+            if emitted <= p:  # others may hold its tokens beyond their prefix, even those alone here: only the size bounds the overlap
+                e["rank"] = e["rest"] = n
+                e["group"] = int(mix(np.array([n], np.uint64))[0])
             e["bits"] = np.frombuffer(bits, "<u8")
             e["_"] = 0
             made.append(e)

@@ -103,6 +103,17 @@ def test_jaccard_matches_brute_force(spark, k, num, share):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
+def test_jaccard_links_short_texts_with_words_appended_or_cut(spark, k, num):
+    rng = random.Random(21)
+    rows = []
+    for g in range(400):
+        w = [f"g{g}w{rng.randrange(1000)}" for _ in range(rng.randrange(8, 24))]
+        rows += [(3 * g, " ".join(w)), (3 * g + 1, " ".join([*w, f"more{g}"])), (3 * g + 2, " ".join(w[1:]))]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=k, num=num, den=100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, k, num, 100)
+
+
 def test_jaccard_chains_and_borderline_pairs(spark):
     # A chain in which only neighbours are similar, and pairs just at and just under the threshold.
     rows = [(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(30)]
