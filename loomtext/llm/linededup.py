@@ -6,7 +6,8 @@ final aggregation; a hot line is a sketch of fixed size in every task. Lines who
 are boilerplate, those far below are not, and lines near the threshold get exact distinct counts. Boilerplate lines of at
 least ``min_chars`` characters are removed from every text; the other lines stay as they are, in order. The exchange
 that decides carries hashes only. A text most of whose characters stand in boilerplate lines is a mirrored document,
-not page furniture; it stays as it is (near-duplicate removal decides about it).
+not page furniture; it stays as it is (near-duplicate removal decides about it). With ``proven`` this holds only for
+texts whose lines, as compared and in order, are those of another row too; all others are cut whatever the share.
 
 Defined results: a null text stays null, with no lines; empty lines are never boilerplate; a null source counts as one
 site; a line repeated on one site, in one or many documents, counts that site once; documents are
@@ -55,9 +56,15 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return far.unionByName(est.join(exact.where(F.col("sites") >= min_sites), ["a", "b"]))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, most_share: float = MOST_SHARE) -> DataFrame:
+def whole_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit hash (__wa, __wb) of all lines of the text, as compared and in order."""
+    lines = F.transform(F.split("text", "\n"), key)
+    return docs.withColumn("__wa", F.xxhash64(lines)).withColumn("__wb", F.xxhash64(F.lit(7), lines))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, most_share: float = MOST_SHARE, proven: bool = False) -> DataFrame:
     """``docs`` with ``text`` cut and n_lines, n_removed added; all rows and columns are kept, the
-    two replace columns of their names."""
+    two replace columns of their names. ``proven``: only texts that several rows have count as mirrored."""
     lines = line_table(docs, min_chars)
     boiler = small_side(stored(spread(lines, min_sites).select("a", "b"), "boilerplate"))
     cut = lines.join(boiler, ["a", "b"]).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__t")).agg(F.collect_set("pos").alias("__cut"))
@@ -65,12 +72,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: i
     out = d.join(cut, d["doc_id"].eqNullSafe(cut["__id"]) & (d["__xt"] == cut["__t"]), "left")
     every = F.split("text", "\n")
     gone = F.coalesce(F.aggregate(F.filter(every, lambda x, i: F.array_contains("__cut", i)), F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
-    out = out.withColumn("__cut", F.when(gone <= F.lit(most_share) * F.length("text"), F.col("__cut")))
+    cuts = gone <= F.lit(most_share) * F.length("text")
+    if proven:
+        copies = small_side(stored(whole_lines(docs).groupBy("__wa", "__wb").count().where("count > 1").select("__wa", "__wb", F.lit(True).alias("__copy")), "line-copies"))
+        out = whole_lines(out).join(copies, ["__wa", "__wb"], "left")
+        cuts = cuts | F.col("__copy").isNull()
+    out = out.withColumn("__cut", F.when(cuts, F.col("__cut")))
     kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("__cut", i)), "\n")
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.size("__cut"), F.lit(0)).cast("long"))
     out = out.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept))
-    return out.drop("__id", "__t", "__xt", "__cut")
+    return out.drop("__id", "__t", "__xt", "__cut", "__wa", "__wb", "__copy")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

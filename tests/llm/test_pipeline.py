@@ -48,6 +48,14 @@ def test_stages_take_empty_tables(spark):
         assert stage(spark, docs, SF).collect() == []
 
 
+def test_line_stage_cuts_short_pages_and_keeps_mirrors(spark):
+    rows = [(i, f"Own {i}.\nA line that stands on very many of the sites", f"s{i}") for i in range(9)]
+    rows += [(20 + i, "The first line of a mirrored text\n  and its second line", f"s{i}") for i in range(9)]
+    rows += [(40, "the first line of a mirrored TEXT\nand its second line  ", "s1"), (41, "\nThe first line of a mirrored text", "s2"), (42, None, "s1")]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()
+    assert {r.doc_id: r.text for r in out} == {d: f"Own {d}." if d < 9 else "" if d == 41 else t for d, t, _ in rows}
+
+
 CLASHING = ["score", "predicted", "n_words", "contaminated", "hit_spans", "size", "target", "copies", "source_size", "n_lines", "n_removed", "n_bytes", "kept", "id", "_id", "_t", "pos", "site", "text_hash", "gid", "n", "kind", "a", "b", "component_id", "host", "spans", "t"]
 
 
