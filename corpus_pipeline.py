@@ -50,17 +50,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row whose doc_id names its component stays; rows without doc_id stay, a doc_id on several rows stays once."""
+    """The row whose doc_id names its component stays, by doc_id and text; rows without doc_id stay, a doc_id on several
+    rows of one component (one text, if that is empty) stays once."""
     d, back = apart(docs)
-    found = stored(near_duplicates(d, k=5, num=80, den=100), "pipeline-near")
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__loser")).distinct()
-    kept = d.join(small_side(stored(losers, "pipeline-losers")), F.col("doc_id") == F.col("__loser"), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    group = F.coalesce(F.concat(F.lit("c"), "component"), F.concat(F.lit("t"), "text_hash"))
+    found = stored(near_duplicates(d, k=5, num=80, den=100, by_row=True).withColumn("__group", group), "pipeline-near")
+    d = d.withColumn("__text", F.xxhash64("text"))
+    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__loser"), F.col("text_hash").alias("__lost")).distinct()
+    kept = d.join(small_side(stored(losers, "pipeline-losers")), (F.col("doc_id") == F.col("__loser")) & (F.col("__text") == F.col("__lost")), "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id", "__group").agg(F.count("*").alias("__rows"), F.collect_set("text_hash").alias("__texts")).where("__rows > 1")
     if repeated.isEmpty():
         return back(kept)
-    repeated = stored(repeated, "pipeline-repeated")
-    once = kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return back(kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(once))
+    repeated = stored(repeated.select(F.col("doc_id").alias("__twice"), "__group", F.explode("__texts").alias("__one")), "pipeline-repeated")
+    same = (F.col("doc_id") == F.col("__twice")) & (F.col("__text") == F.col("__one"))
+    once = kept.join(repeated, same).dropDuplicates(["doc_id", "__group"])
+    return back(kept.join(repeated, same, "left_anti")).unionByName(back(once))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

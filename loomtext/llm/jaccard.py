@@ -89,7 +89,8 @@ class _Rows:
 
 
 def _first(k: int, num: int, den: int, share: float, pieces: int):
-    """Documents -> packed (token, class) pairs, one CLASS row a class and batch, one DOC row a document."""
+    """Documents (doc_id, text, hash of the text or null) -> packed (token, class) pairs, one CLASS row a class and batch,
+    one DOC row a document, with that hash in ``emitted``."""
     limit = np.uint64(int(share * 2**64) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +98,7 @@ def _first(k: int, num: int, den: int, share: float, pieces: int):
             out = _Rows(b.schema.field(0).type)
             offsets, data = utf8(b.column(1))
             ids, seen, toks, gids, held = b.column(0).to_pylist(), {}, [], [], 0
+            texts = b.column(2).to_pylist()
 
             def flush():
                 pairs = np.empty(held, PAIR)
@@ -109,10 +111,10 @@ def _first(k: int, num: int, den: int, share: float, pieces: int):
                 for r, s in enumerate(shingle_sets(offsets, data, i, j, k), i):
                     n = len(s)
                     if not n:
-                        out.add(DOC, r % pieces, doc_id=ids[r], n=0)
+                        out.add(DOC, r % pieces, doc_id=ids[r], n=0, emitted=texts[r])
                         continue
                     gid = set_id(s)
-                    out.add(DOC, r % pieces, doc_id=ids[r], gid=gid, n=n)
+                    out.add(DOC, r % pieces, doc_id=ids[r], gid=gid, n=n, emitted=texts[r])
                     if gid in seen:
                         if ids[r] is not None and (seen[gid][0] is None or ids[r] < seen[gid][0]):
                             seen[gid][0] = ids[r]
@@ -374,10 +376,11 @@ def _verified(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, share: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, share: float | None = None, by_row: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; documents link where num/den of the union is common.
 
     ``share`` is the part of the hash space whose shingles are counted; it changes the work, never the result.
+    ``by_row`` adds text_hash (xxhash64) and component, a number that rows of one component share, null for empty sets.
     """
     spark = docs.sparkSession
     share = share or min(1.0, 0.1 + 1.5 * (1 - num / den))
@@ -385,10 +388,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"kind byte, bucket int, blob binary, doc_id {id_type}, gid long, n long, emitted long, bits binary"
     d = docs.select("doc_id", "text")
-    pairs = d.mapInArrow(_first(k, num, den, share, pieces), schema).repartition("bucket")
+    pairs = d.withColumn("_t", F.xxhash64("text") if by_row else F.lit(None).cast("long")).mapInArrow(_first(k, num, den, share, pieces), schema).repartition("bucket")
     counted = pairs.mapInArrow(_count(pieces), schema).repartition("bucket")
     state = stored(counted.mapInArrow(_prefixes(num, den, pieces), schema), "jaccard-state")
-    members = state.where(F.col("kind") == DOC).select("doc_id", "gid", "n")
+    members = state.where(F.col("kind") == DOC).select("doc_id", "gid", "n", "emitted")
     lists = state.where(F.col("kind") == PREFIX)
     edges = stored(lists.repartition("bucket").mapInArrow(_edges(num, den), "a long, b long").distinct(), "jaccard-edges")
 
@@ -421,11 +424,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                 links = done.where("ok").select("a", "b")
     comp = stored(connected(links, "jaccard-cc"), "jaccard-components")
     # Classes of several rows or in a component of several classes: the smallest doc_id by aggregation.
-    tagged = stored(members.join(comp, members["gid"] == comp["node"], "left").select("doc_id", "n", F.coalesce("component", "gid").alias("_c")), "jaccard-tagged")
+    tagged = stored(members.join(comp, members["gid"] == comp["node"], "left").select("doc_id", "n", F.col("emitted").alias("text_hash"), F.coalesce("component", "gid").alias("_c")), "jaccard-tagged")
     several = tagged.where("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")).where("_n > 1")
     several = small_side(stored(several.select(F.col("_c").alias("_l"), "least"), "jaccard-least"))
     out = tagged.join(several, tagged["_c"] == several["_l"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_l").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_l").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), *([F.col("text_hash"), F.col("_c").alias("component")] if by_row else []))
 
 
 def _repeated(want: DataFrame, d: DataFrame) -> bool:

@@ -42,6 +42,15 @@ def test_jaccard_stage_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or -1) for r in out) == [-1, 2, 5, 9]
 
 
+def test_jaccard_stage_decides_by_row(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "wv")
+    rows = [(1, text), (4, text + " x"), (4, "a clean text of its own"), (6, other), (6, other), (6, other + " x"), (6, "something else"), (7, ""), (7, None), (7, None)]
+    out = corpus_pipeline.jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    got = sorted((r.doc_id, r.text or "") for r in out if r.text not in (other, other + " x"))
+    assert got == [(1, text), (4, "a clean text of its own"), (6, "something else"), (7, ""), (7, "")]
+    assert [r.doc_id for r in out if r.text in (other, other + " x")] == [6]
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
