@@ -368,18 +368,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> list[tuple[str | None, int]]:
-    """At most ``per_class`` texts of each label, the first by a hash of doc_id among rows that are not held out."""
-    known = labels.where(~held_out(F.col("doc_id"))).where("doc_id IS NOT NULL").select("doc_id", "toxic")
-    first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    """At most ``per_class`` texts of each label, the first by a hash of doc_id among rows that are not held out.
+
+    A text that does not fit in what is left of its label's characters is passed over. Each label has half of ``max_chars``
+    and what the other label leaves of its half.
+    """
+    known = labels.where(~held_out(F.col("doc_id"))).where("doc_id IS NOT NULL").select("doc_id", "toxic", F.xxhash64("doc_id").alias("_hash"))
+    first = [known.where(F.col("toxic") == y).orderBy("_hash", "doc_id").limit(per_class) for y in (0, 1)]
     wanted = first[0].unionByName(first[1]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    out, chars = [], 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (str(r["doc_id"]), r["text"] or "")):
-        chars += len(r["text"] or "")
-        if chars > max_chars:
-            break
-        out.append((r["text"], int(r["toxic"])))
-    return out
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "_hash")
+    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
+    rows = sorted(rows.toLocalIterator(), key=lambda r: (r["_hash"], str(r["doc_id"]), r["text"] or ""))
+    chars = {y: sum(len(r["text"] or "") for r in rows if r["toxic"] == y) for y in (0, 1)}
+    left = {y: max(max_chars // 2, max_chars - chars[1 - y]) for y in (0, 1)}
+    out = []
+    for r in rows:
+        n = len(r["text"] or "")
+        if n <= left[r["toxic"]]:
+            left[r["toxic"]] -= n
+            out.append(r)
+    return [(r["text"], int(r["toxic"])) for r in sorted(out, key=lambda r: (str(r["doc_id"]), r["text"] or ""))]
 
 
 #: The caches of this worker by model: token -> its score.

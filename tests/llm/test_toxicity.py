@@ -88,3 +88,17 @@ def test_training_sample_is_bounded_and_leaves_out_the_fold(spark):
     assert len(out) <= 60 and all(crc32(str(i).encode()) % 5 for i in ids) and all(y == i % 2 for i, (_, y) in zip(ids, out, strict=True))
     assert out == T.training_sample(docs.repartition(5), labels.repartition(3), per_class=30)
     assert T.training_sample(docs, labels, max_chars=40) == out[:4] or len(T.training_sample(docs, labels, max_chars=40)) <= 6
+
+
+def test_training_sample_passes_over_texts_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(i, ("x" * 500 if i < 20 else "y" * 10) + str(i)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(100)], "doc_id long, toxic int")
+    whole = T.training_sample(docs, labels)
+    out = T.training_sample(docs, labels, max_chars=2400)
+    assert set(out) <= set(whole) and sum(len(t) for t, _ in out) <= 2400
+    for y in (0, 1):
+        assert sum(len(t) for t, x in out if x == y) <= 1200
+        assert any(t.startswith("y") for t, x in out if x == y)
+    short = {(t, y) for t, y in whole if t.startswith("y")}
+    assert {y for _, y in T.training_sample(docs, labels, max_chars=400)} == {0, 1}
+    assert short and sum(len(t) for t, _ in T.training_sample(docs, labels, max_chars=400)) > 380
