@@ -1,6 +1,7 @@
 """Decontamination, Jaccard join, suffix dedup and line dedup against brute force, and their edge cases."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ import pytest
 
 from loomtext.llm import common, decontam, jaccard, linededup, mixing, suffixdedup, textvec
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, lang string"
 WORDS = ["ab", "Cd", "ef", "gh", "ij", "kl", "mn", "ôp", "qr", "st"]
 
@@ -170,21 +172,47 @@ def test_suffix_dedup_matches_brute_force(spark):
         a = rng.randrange(0, 700)
         rows.append((i, body(rng.randrange(0, 60)) + shared[a : a + rng.randrange(100, 400)] + body(rng.randrange(0, 60)) + (hot if i % 2 else "")))
     rows += [(60, "a" * 450), (61, "xy" * 300), (62, "a" * 199), (63, "a" * 200), (64, None), (65, ""), (66, rows[30][1]), (66, rows[30][1]), (67, shared[:199]), (68, "rested " * 90 + "the " * 120)]
-    out = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_repeats(rows)
-    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in out)
+    for hot in (suffixdedup.HOT, 4):  # with 4, contexts of most repeated anchors are cut into ranges of offsets
+        out = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_repeats(rows)
+        assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in out)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_suffix_dedup_query_matches_brute_force_on_a_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = suffixdedup.op2_suffix_array_dedup(spark, SF).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
+    assert any(r.n_removed for r in out)
+
+
+def test_pieces_of_a_long_text_hold_every_window_once(monkeypatch):
+    rng = random.Random(12)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (5000, 100, 200, 1099, 1100, 1101)]
+    monkeypatch.setattr(suffixdedup, "PIECE", 900)
+    recs, doc, at = suffixdedup._numbered(texts)
+    for k, t in enumerate(texts):
+        r = recs[doc == k]
+        covered = [w for p, lo, hi in zip(r["p"].tolist(), r["lo"].tolist(), r["hi"].tolist(), strict=True) for w in range(p - lo, p - hi + 1)]
+        assert covered == list(range(max(0, len(t) - 199))) and at[doc == k].tolist() == list(range(len(r)))
+    with pytest.raises(ValueError):
+        suffixdedup.contexts(np.zeros((1 << 26) + 1, np.uint8), np.array([0, (1 << 26) + 1]))
 
 
 def test_suffix_dedup_of_an_empty_table(spark):
     assert suffixdedup.remove_repeats(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def transform(strings, width):
+    sym = suffixdedup.symbols(strings, width)
+    return suffixdedup.shard_bwts(sym, suffixdedup.suffix_ranks(sym), np.zeros(len(strings), int), 1)[0]
+
+
 def test_merged_transforms_equal_a_sort():
     rng = random.Random(6)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 30))) for _ in range(120)] + [b"", b"ab" * 15, b"ab" * 15]
     cut = [strings[:40], strings[40:41], strings[41:100], strings[100:]]
-    bwts = [suffixdedup.shard_bwts(suffixdedup.symbols(c, 30), np.zeros(len(c), int), 1)[0] for c in cut]
-    order, common = suffixdedup.sorted_strings(bwts, 5)
+    order, common = suffixdedup.sorted_strings([transform(c, 30) for c in cut], 2)
     assert [strings[x] for x in order] == sorted(strings)
     s = sorted(strings)
     assert common[1:].tolist() == [next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b))) for a, b in zip(s, s[1:], strict=False)]
