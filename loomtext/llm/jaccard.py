@@ -342,36 +342,17 @@ def _cross(num: int, den: int, nearest: bool):
 
 
 def _sets(k: int):
-    """(gid, 48-bit elements) of documents (doc_id, text, gid) whose set has that digest."""
+    """(gid, elements) of documents (text, gid) whose set has that digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = utf8(b.column(0))
             want = b.column(1).to_pylist()
             for i, j in chunks(offsets):
-                rows = [(want[r], np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for r, s in enumerate(shingle_sets(offsets, data, i, j, k), i) if len(s) and set_id(s) == want[r]]
-                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["gid", "elements"])
-
-    return run
-
-
-def _read(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _verified(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = _read(x.as_py()), _read(y.as_py())
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(common * den >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+                rows = [(want[r], s) for r, s in enumerate(shingle_sets(offsets, data, i, j, k), i) if len(s) and set_id(s) == want[r]]
+                ends = np.cumsum([0, *(len(s) for _, s in rows)])
+                flat = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in rows)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["gid", "elements"])
 
     return run
 
@@ -402,10 +383,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     def verified(e: DataFrame, name: str) -> DataFrame:
         want = small_side(stored(reps.join(ends(e), "gid"), f"{name}-ends"))
-        sets = d.join(want, d["doc_id"].eqNullSafe(want["_id"])).select("text", "gid").mapInArrow(_sets(k), "gid long, elements binary")
+        sets = d.join(want, d["doc_id"].eqNullSafe(want["_id"])).select("text", "gid").mapInArrow(_sets(k), "gid long, elements array<long>")
         sets = stored(sets.dropDuplicates(["gid"]) if d.schema["doc_id"].nullable and _repeated(want, d) else sets, f"{name}-sets")
         both = e.join(sets.select(F.col("gid").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("gid").alias("a"), F.col("elements").alias("x")), "a")
-        return stored(both.select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long, ok boolean"), f"{name}-checked")
+        # Whole sets are compared in the JVM, a pair at a time: no batch of wide rows is built.
+        common = F.size(F.array_intersect("x", "y")).cast("long")
+        return stored(both.select("a", "b", (common * den >= (F.size("x") + F.size("y") - common) * num).alias("ok")), f"{name}-checked")
 
     done = verified(edges, "jaccard-1")
     links = done.where("ok").select("a", "b")

@@ -23,14 +23,3 @@ def split(rows: np.ndarray, by: str, pieces: int) -> Iterator[tuple[int, bytes]]
     cut = np.flatnonzero(np.diff(at)) + 1
     for part, k in zip(np.split(rows, cut), at[np.concatenate([[0], cut])], strict=True):
         yield int(k), part.tobytes()
-
-
-def by_value(rows: np.ndarray, by: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(value, its records) for each value of ``by``, records in the order given."""
-    if not len(rows):
-        return
-    order = np.argsort(rows[by], kind="stable")
-    rows = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], rows[by][1:] != rows[by][:-1]]))
-    for a, z in zip(starts, np.append(starts[1:], len(rows)), strict=True):
-        yield int(rows[by][a]), rows[a:z]
