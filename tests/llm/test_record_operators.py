@@ -1,6 +1,7 @@
 """Media, mixing, URL filters, chat formatting and archives against plain versions, and their edge cases."""
 
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -10,6 +11,8 @@ import pytest
 
 from loomtext.llm import chat, media, mixing, urlfilter, warc
 
+SF = "/root/testdata/sf0.001"
+
 # ---- media
 
 
@@ -51,22 +54,63 @@ def test_resampling():
     assert len(media.resample(np.zeros(0, np.int16), 3, 2)) == 0
 
 
+def plain_pcm(codec, payload):
+    """A sample at a time, by the codecs' definitions."""
+    if codec == media.IMA:
+        return [x for k in range(0, len(payload), media.BLOCK) for x in plain_ima(payload[k : k + media.BLOCK])]
+    out = []
+    for c in payload:
+        c = c ^ 0xFF if codec == media.MULAW else c ^ 0x55
+        e, m = (c >> 4) & 7, c & 15
+        if codec == media.MULAW:
+            size = ((2 * m + 33) << (e + 2)) - 132
+            out.append(-size if c & 128 else size)
+        else:
+            size = (2 * m + 1) * 8 if e == 0 else (2 * m + 33) << (e + 2)
+            out.append(size if c & 128 else -size)
+    return out
+
+
+def plain_feature(codec, rate, pcm):
+    raw = b"".join(struct.pack("<h", x) for x in pcm)
+    rms = round((sum(x * x for x in pcm) / len(pcm)) ** 0.5)
+    crossings = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:], strict=False))
+    return f"codec={codec};rate={rate};n={len(pcm)};peak={max(abs(x) for x in pcm)};rms={rms};zc={crossings};pcm={zlib.crc32(raw):08x}"
+
+
 def test_text_audio_round_trip(spark):
     texts = [None, "", "a", "ä" * 288, "b" * 576, "c" * 577, "d" * 300_000, "a"] + [f"text {i}" * i for i in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
     files = media.store_text_audio(docs)
     stored = {r.doc_id: r.media for r in files.collect()}
-    out = {r.doc_id: r for r in media.decode(files, ["doc_id", "n_bytes"]).collect()}
-    assert {r.codec for r in out.values()} == set(media.CODECS)
-    for i, t in enumerate(texts):
+    for rate, plain in ((4000, lambda x: x[::2]), (16000, lambda x: [v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, (a + b) >> 1)])):
+        decoded = media.decode(files, ["doc_id", "n_bytes"], to_rate=rate)
+        pcm = {r.doc_id: r.pcm for r in decoded.select("doc_id", "pcm").collect()}
+        out = {r.doc_id: r for r in media.described(decoded).collect()}
+        assert {r.codec for r in out.values()} == set(media.CODECS)
+        for i, t in enumerate(texts):
+            raw = (t or "").encode()
+            payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+            r = out[i]
+            assert (r.ok, r.n_bytes, r.payload_bytes, r.payload_sha256) == (True, len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+            assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.media_sha256 == hashlib.sha256(stored[i]).hexdigest() and r.media_bytes == len(stored[i])
+            want = plain(plain_pcm(r.codec, payload))
+            assert pcm[i] == b"".join(struct.pack("<h", x) for x in want) and r.feature == plain_feature(r.codec, rate, want)
+        assert out[2].feature == out[7].feature
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_media_query_on_a_whole_table(spark):
+    out = {r.doc_id: r for r in media.op5_media_columns(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(out) == set(texts)
+    for i, t in texts.items():
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        codec = media.CODECS[zlib.crc32(payload) % 3]
         r = out[i]
-        assert (r.ok, r.n_bytes, r.payload_bytes, r.payload_sha256) == (True, len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.media_sha256 == hashlib.sha256(stored[i]).hexdigest() and r.media_bytes == len(stored[i])
-        one = media.expand(r.codec, np.frombuffer(payload, np.uint8))
-        assert r.pcm == media.resample(one, 2, 1).tobytes() and r.feature == media.features(r.codec, one, media.resample(one, 2, 1))
-    assert out[2].feature == out[7].feature
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.feature == plain_feature(codec, media.QUERY_RATE, plain_pcm(codec, payload)[::2])
 
 
 def test_broken_media_is_told_apart(spark):
@@ -74,7 +118,10 @@ def test_broken_media_is_told_apart(spark):
     rows = [(1, good), (2, None), (3, b""), (4, good[:-1]), (5, b"RIFF" + good[4:8] + b"JUNK" + good[12:]), (6, media.wav(b"x" * 100, 1))]
     out = {r.id: r.ok for r in media.decode(spark.createDataFrame(rows, "id long, media binary"), ["id"]).collect()}
     assert out == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
-    assert media.store_text_audio(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    said = media.described(media.decode(spark.createDataFrame(rows, "id long, media binary"), ["id"])).collect()
+    assert [r.id for r in said if r.feature is not None] == [1]
+    empty = media.store_text_audio(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.collect() == [] and media.described(media.decode(empty, ["doc_id"])).collect() == []
 
 
 # ---- mixing
