@@ -15,7 +15,8 @@ count of starts less ends. The largest depth is a count taken from the rules, no
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; a url that no rule fits
 gets the default verdict; repeated pages each get their row; repeated rules count once; rules with a null host are
-ignored, a null path is empty.
+ignored, a null path is empty; of equally long rules the longer host wins, then block; a very long url is one key as any
+other; an empty table of urls gives no rows, one of rules the default verdict; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,23 +75,28 @@ def sweep(points: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def match(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
-    """``urls`` (any columns, ``url``) with host, path, rule and verdict; ``rules`` has host, path, verdict."""
+    """``urls`` (any columns, ``url``) with host, path, rule and verdict; ``rules`` has host, path, verdict.
+
+    The caller's columns travel as one struct, so none of their names can meet one of these; the four results replace
+    columns of their names.
+    """
     r = rules.where("host IS NOT NULL").select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     r = r.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("host_key", host_key(F.col("host")))
     # A path rule's key: its host's key, a separator below all hex digits, the path's hex.
     r = r.withColumn("key", F.concat("host_key", F.lit("-"), F.hex(F.col("path").cast("binary"))))
-    out = urls.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
-    out = out.withColumn("_host_key", host_key(F.col("host"))).withColumn("_path_key", F.hex(F.col("path").cast("binary")))
+    out = urls.select(F.struct("*").alias("own"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    out = out.withColumn("host_key", host_key(F.col("host"))).withColumn("path_key", F.hex(F.col("path").cast("binary")))
 
-    hosts = sweep(out.groupBy(F.col("_host_key").alias("key")).agg(F.lit(1).alias("_")), r.groupBy(F.col("host_key").alias("key")).agg(F.first("host_key").alias("rule")))
-    pairs = out.groupBy("_host_key", "_path_key").agg(F.lit(1).alias("_"))
-    pairs = pairs.join(hosts, pairs["_host_key"] == hosts["key"]).select("_host_key", "_path_key", F.explode("rules").alias("_rule_host"))
-    pairs = pairs.withColumn("key", F.concat("_rule_host", F.lit("-"), "_path_key"))
+    hosts = sweep(out.groupBy(F.col("host_key").alias("key")).agg(F.lit(1).alias("_")), r.groupBy(F.col("host_key").alias("key")).agg(F.first("host_key").alias("rule")))
+    pairs = out.groupBy("host_key", "path_key").agg(F.lit(1).alias("_"))
+    pairs = pairs.join(hosts, pairs["host_key"] == hosts["key"]).select("host_key", "path_key", F.explode("rules").alias("rule_host"))
+    pairs = pairs.withColumn("key", F.concat("rule_host", F.lit("-"), "path_key"))
     paths = sweep(pairs.groupBy("key").agg(F.lit(1).alias("_")), r.select("key", F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), F.col("verdict"), F.concat("host", "path").alias("rule")).alias("rule")))
-    best = pairs.join(paths, "key").select("_host_key", "_path_key", F.array_max("rules").alias("_best"))
-    best = best.groupBy("_host_key", "_path_key").agg(F.max("_best").alias("_best"))
-    out = out.join(best, ["_host_key", "_path_key"], "left")
-    return out.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce("_best.verdict", F.lit(default))).drop("_best", "_host_key", "_path_key")
+    best = pairs.join(paths, "key").select("host_key", "path_key", F.array_max("rules").alias("best"))
+    best = best.groupBy("host_key", "path_key").agg(F.max("best").alias("best"))
+    out = out.join(best, ["host_key", "path_key"], "left")
+    own = [F.col("own").getField(c).alias(c) for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:

@@ -204,6 +204,16 @@ def test_url_rules_of_empty_tables(spark):
     assert (r.host, r.path, r.rule, r.verdict) == ("a.net", "/x", None, "allow")
 
 
+def test_url_rules_take_any_extra_columns(spark):
+    names = ["_best", "best", "_host_key", "host_key", "_path_key", "path_key", "key", "own", "rule_host", "rules", "part", "kind", "of", "depth", "_1", "host", "path", "rule", "verdict", "a.b"]
+    pages = spark.createDataFrame([(1, "http://a.net/x", *["x"] * len(names)), (2, None, *["x"] * len(names))], ", ".join(["page_id long, url string", *(f"`{n}` string" for n in names)]))
+    out = {r.page_id: r for r in urlfilter.match(pages, urlfilter.rule_table(spark)).collect()}
+    assert (out[1].host, out[1].path, out[1].rule, out[1].verdict) == ("a.net", "/x", "net/", "block") and (out[2].host, out[2].rule, out[2].verdict) == ("", None, "allow")
+    assert all(r[n] == "x" for r in out.values() for n in names if n not in ("host", "path", "rule", "verdict")) and len(out[1]) == len(names) + 2
+    long = spark.createDataFrame([(1, "http://a.net/" + "y/" * 200_000), (2, "http://" + "z." * 100_000 + "org/fr/")], "page_id long, url string")
+    assert {r.page_id: r.rule for r in urlfilter.match(long, urlfilter.rule_table(spark)).collect()} == {1: "net/", 2: "org/fr/"}
+
+
 def test_sweep_is_native(spark):
     out = urlfilter.match(spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string"), urlfilter.rule_table(spark))
     plan = out._jdf.queryExecution().executedPlan().toString()
