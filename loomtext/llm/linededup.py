@@ -1,17 +1,20 @@
 """Cross-site boilerplate lines by distinct-site spread.
 
 Lines are the pieces of a text between line feeds, compared after trimming ASCII white space and lower-casing, by a
-128-bit hash. For each line hash a HyperLogLog sketch of the sites (``source``) it stands on is merged by partial and
-final aggregation; a hot line is a sketch of fixed size in every task. Lines whose estimate is far above ``min_sites``
-are boilerplate, those far below are not, and lines near the threshold get exact distinct counts. Boilerplate lines of at
-least ``min_chars`` characters are removed from every text; the other lines stay as they are, in order. The exchange
-that decides carries hashes only. A text most of whose characters stand in boilerplate lines is a mirrored document,
-not page furniture; it stays as it is (near-duplicate removal decides about it). With ``proven`` this holds only for
-texts whose lines, as compared and in order, are those of another row too; all others are cut whatever the share.
+128-bit hash. For each line hash HyperLogLog sketches of the sites (``source``) it stands on and of the different texts
+that hold it are merged by partial and final aggregation; a hot line is two sketches of fixed size in every task. Lines
+whose estimates are far above ``min_sites`` and ``min_texts`` are boilerplate, those far below either are not, and lines
+near a threshold get exact distinct counts. Texts whose lines, as compared and in order, are equal count as one, so the
+copies of a document alone do not make its lines boilerplate. Boilerplate lines of at least ``min_chars`` characters
+are removed from every text that has them; the other lines stay as they are, in order. The exchange that decides
+carries hashes only. With ``spare_copies`` (off unless asked for) texts whose lines are those of another row too stay
+whole, so that removing near duplicates afterwards still sees them.
 
 Defined results: a null text stays null, with no lines; empty lines are never boilerplate; a null source counts as one
-site; a line repeated on one site, in one or many documents, counts that site once; documents are
-never dropped; extra columns stay; rows with equal doc_id are judged by their own text.
+site; a line repeated on one site, in one or many documents, counts that site once; a text all of whose lines are
+boilerplate is empty; documents are never dropped; a very long text costs time in proportion to its lines; extra columns
+stay, n_lines and n_removed replace columns of their names; rows with equal doc_id are judged by their own text; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import small_side, stored, table
 
-MIN_SITES = 8
+#: Sites and different texts that a line must stand on.
+MIN_SITES, MIN_TEXTS = 4, 4
 MIN_CHARS = 1
-#: The largest share of a text's characters in boilerplate lines that is still removed.
-MOST_SHARE = 0.5
 #: log2 of the sketch's registers: a relative standard error of about 3 %.
 LG_K = 10
 #: Estimates within this share of the threshold are counted exactly: over six standard errors.
@@ -37,52 +39,50 @@ def key(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, text_hash, pos, a, b, site) of each line that is long enough; lines by hash only, written once."""
-    lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", key(F.col("line"))).where(F.length("line") >= max(1, min_chars))
-    return stored(lines.select("id", "text_hash", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), "site"), "line-table")
-
-
-def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(a, b, estimate, sites) of the boilerplate lines; ``sites`` is exact where the estimate was near the threshold."""
-    # One row for each line and site, so that the sketch takes each site once; repeats collapse before the exchange.
-    pairs = stored(lines.select("a", "b", "site").distinct(), "line-sites")
-    sketches = pairs.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    est = sketches.select("a", "b", F.hll_sketch_estimate("sketch").alias("estimate"))
-    est = stored(est.where(F.col("estimate") >= min_sites * (1 - NEAR)), "line-estimates")
-    near = est.where(F.col("estimate") <= min_sites * (1 + NEAR)).select("a", "b")
-    exact = pairs.join(near, ["a", "b"]).groupBy("a", "b").agg(F.count_distinct("site").alias("sites"))
-    far = est.where(F.col("estimate") > min_sites * (1 + NEAR)).withColumn("sites", F.lit(None).cast("long"))
-    return far.unionByName(est.join(exact.where(F.col("sites") >= min_sites), ["a", "b"]))
-
-
-def whole_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with a 128-bit hash (__wa, __wb) of all lines of the text, as compared and in order."""
-    lines = F.transform(F.split("text", "\n"), key)
-    return docs.withColumn("__wa", F.xxhash64(lines)).withColumn("__wb", F.xxhash64(F.lit(7), lines))
-
-
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, most_share: float = MOST_SHARE, proven: bool = False) -> DataFrame:
-    """``docs`` with ``text`` cut and n_lines, n_removed added; all rows and columns are kept, the
-    two replace columns of their names. ``proven``: only texts that several rows have count as mirrored."""
+    """(id, text_hash, pos, a, b, site, body) of each line that is long enough; lines by hash only, written once."""
+    keys = F.transform(F.split("text", "\n"), key)
+    # Hashes of whole texts are made below the explosion, once a text and not once a line.
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.xxhash64(keys).alias("body"), keys.alias("keys"))
+    lines = texts.select("id", "text_hash", "site", "body", F.posexplode("keys").alias("pos", "line"))
+    lines = lines.where(F.length("line") >= max(1, min_chars))
+    return stored(lines.select("id", "text_hash", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), "site", "body"), "line-table")
+
+
+def spread(lines: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """(a, b) of the boilerplate lines."""
+    least = {"site": min_sites, "body": min_texts}
+    # One row for each line, site and text, so that repeats collapse before the exchange.
+    pairs = stored(lines.select("a", "b", "site", "body").distinct(), "line-sites")
+    # A line of one site or one text needs no sketch.
+    several = pairs.groupBy("a", "b").agg(*(F.min(c).alias(f"{c}_min") for c in least), *(F.max(c).alias(f"{c}_max") for c in least))
+    several = several.where(" AND ".join(f"{c}_min <> {c}_max" for c, n in least.items() if n > 1) or "TRUE").select("a", "b")
+    sketches = pairs.join(several, ["a", "b"], "left_semi").groupBy("a", "b").agg(*(F.hll_sketch_agg(c, F.lit(LG_K)).alias(c) for c in least))
+    est = stored(sketches.select("a", "b", *(F.hll_sketch_estimate(c).alias(c) for c in least)), "line-estimates")
+    est = est.where(" AND ".join(f"{c} >= {n * (1 - NEAR)}" for c, n in least.items()))
+    far = " AND ".join(f"{c} > {n * (1 + NEAR)}" for c, n in least.items())
+    near = est.where(f"NOT ({far})").select("a", "b")
+    exact = pairs.join(near, ["a", "b"]).groupBy("a", "b").agg(*(F.count_distinct(c).alias(c) for c in least))
+    return est.where(far).select("a", "b").unionByName(exact.where(" AND ".join(f"{c} >= {n}" for c, n in least.items())).select("a", "b"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, min_chars: int = MIN_CHARS, spare_copies: bool = False) -> DataFrame:
+    """``docs`` with ``text`` cut and n_lines, n_removed added; all rows and columns are kept, the two replace columns of their names."""
     lines = line_table(docs, min_chars)
-    boiler = small_side(stored(spread(lines, min_sites).select("a", "b"), "boilerplate"))
+    boiler = small_side(stored(spread(lines, min_sites, min_texts), "boilerplate"))
     cut = lines.join(boiler, ["a", "b"]).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__t")).agg(F.collect_set("pos").alias("__cut"))
-    d = docs.withColumn("__xt", F.xxhash64("text"))
+    # Lines travel through the join as an array, so that what stays is taken from it by place, in time linear in the lines.
+    d = docs.withColumn("__xt", F.xxhash64("text")).withColumn("__lines", F.split("text", "\n")).drop("text")
     out = d.join(cut, d["doc_id"].eqNullSafe(cut["__id"]) & (d["__xt"] == cut["__t"]), "left")
-    every = F.split("text", "\n")
-    gone = F.coalesce(F.aggregate(F.filter(every, lambda x, i: F.array_contains("__cut", i)), F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
-    cuts = gone <= F.lit(most_share) * F.length("text")
-    if proven:
-        copies = small_side(stored(whole_lines(docs).groupBy("__wa", "__wb").count().where("count > 1").select("__wa", "__wb", F.lit(True).alias("__copy")), "line-copies"))
-        out = whole_lines(out).join(copies, ["__wa", "__wb"], "left")
-        cuts = cuts | F.col("__copy").isNull()
-    out = out.withColumn("__cut", F.when(cuts, F.col("__cut")))
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("__cut", i)), "\n")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("__cut"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept))
-    return out.drop("__id", "__t", "__xt", "__cut", "__wa", "__wb", "__copy")
+    if spare_copies:
+        whole = docs.select(F.xxhash64(F.transform(F.split("text", "\n"), key)).alias("__w")).where("__w IS NOT NULL")
+        copies = small_side(stored(whole.groupBy("__w").count().where("count > 1").select("__w", F.lit(True).alias("__copy")), "line-copies"))
+        out = out.withColumn("__w", F.xxhash64(F.transform("__lines", key))).join(copies, "__w", "left").withColumn("__cut", F.when(F.col("__copy").isNull(), F.col("__cut")))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__cut", F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(stays, lambda i: F.get("__lines", i)), "\n")
+    out = out.withColumn("n_lines", F.greatest(F.size("__lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__cut"), F.lit(0)).cast("long"))
+    out = out.withColumn("text", F.when(F.col("__lines").isNotNull(), kept))
+    order = [*docs.columns, *(c for c in ("n_lines", "n_removed") if c not in docs.columns)]
+    return out.select(*(F.col(f"`{c}`") for c in order))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +93,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = rf"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS key FROM l),
-b AS (SELECT key FROM k WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT coalesce(source, '')) >= {MIN_SITES}),
-m AS (SELECT k.*, b.key IS NOT NULL AS boiler FROM k LEFT JOIN b ON k.key = b.key),
-s AS (SELECT doc_id, text, coalesce(sum(length(line)) FILTER (boiler), 0) <= {MOST_SHARE} * length(text) AS cuts FROM m GROUP BY doc_id, text)
-SELECT m.doc_id, count(*) AS n_lines, count(*) FILTER (boiler AND cuts) AS n_removed,
-  CAST(length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (boiler AND cuts)), '')) AS BIGINT) AS kept_chars,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (boiler AND cuts)), '')) AS kept_sha256
-FROM m JOIN s ON m.doc_id = s.doc_id AND m.text = s.text GROUP BY m.doc_id, m.text
+t AS (SELECT text, string_agg(key, chr(10) ORDER BY pos) AS body FROM (SELECT DISTINCT text, key, pos FROM k) GROUP BY text),
+b AS (SELECT key FROM k JOIN t USING (text) WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT coalesce(source, '')) >= {MIN_SITES} AND count(DISTINCT body) >= {MIN_TEXTS}),
+m AS (SELECT k.*, b.key IS NOT NULL AS boiler FROM k LEFT JOIN b ON k.key = b.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (boiler) AS n_removed,
+  CAST(length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT boiler), '')) AS BIGINT) AS kept_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT boiler), '')) AS kept_sha256
+FROM m GROUP BY doc_id, text
 """
 QUERIES = {"op7_line_dedup": op7_line_dedup}
 ORACLES = {"op7_line_dedup": OP7_SQL}

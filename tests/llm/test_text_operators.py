@@ -233,23 +233,25 @@ def test_contexts_own_every_window_once():
 # ---- line dedup
 
 
-def brute_lines(rows, min_sites, most_share):
+def brute_lines(rows, min_sites, min_texts, spare_copies=False):
     key = lambda x: x.strip(" \t\n\x0b\f\r").lower()
-    sites = {}
+    body = lambda t: tuple(map(key, t.split("\n")))
+    sites, bodies = {}, {}
     for _, t, s, *_ in rows:
-        for x in (t or "").split("\n") if t is not None else []:
+        for x in t.split("\n") if t is not None else []:
             if key(x):
                 sites.setdefault(key(x), set()).add(s or "")
-    boiler = {x for x, s in sites.items() if len(s) >= min_sites}
+                bodies.setdefault(key(x), set()).add(body(t))
+    boiler = {x for x, s in sites.items() if len(s) >= min_sites and len(bodies[x]) >= min_texts}
+    times = Counter(body(t) for _, t, *_ in rows if t is not None)
     out = []
     for d, t, *_ in rows:
         if t is None:
             out.append((d, None, 0, 0))
             continue
         lines = t.split("\n")
-        gone = [x for x in lines if key(x) in boiler]
-        cuts = sum(map(len, gone)) <= most_share * len(t)
-        out.append((d, "\n".join(x for x in lines if key(x) not in boiler) if cuts else t, len(lines), len(gone) if cuts else 0))
+        gone = [x for x in lines if key(x) in boiler and not (spare_copies and times[body(t)] > 1)]
+        out.append((d, "\n".join(x for x in lines if x not in gone), len(lines), len(gone)))
     return sorted(out, key=str)
 
 
@@ -261,10 +263,18 @@ def test_line_dedup_matches_brute_force(spark):
         own = [f"own line {i} {j} " + "y" * 40 for j in range(rng.randrange(0, 4))]
         rows.append((i, "\n".join(rng.sample(own + rng.sample(lines, rng.randrange(0, 3)) + ["", "  line NUMBER 3 xxx\t"], k=2 + len(own)) if own else rng.sample(lines, 1)), f"s{rng.randrange(12)}"))
     rows += [(200, None, "s1"), (201, "", "s1"), (202, "\n\n", None), (203, "z" * 100_000 + "\nLine number 1 x", "s3"), (204, rows[0][1], None), (204, rows[0][1], None)]
+    rows += [(300 + i, "a mirrored text\nof two lines" + " " * i, f"s{i}") for i in range(11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for most in (3, 8):
-        out = linededup.remove_boilerplate(docs, min_sites=most).collect()
-        assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out), key=str) == brute_lines(rows, most, 0.5)
+    for sites, texts, spare in ((3, 1, False), (4, 4, False), (8, 3, True)):
+        out = linededup.remove_boilerplate(docs, min_sites=sites, min_texts=texts, spare_copies=spare).collect()
+        assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out), key=str) == brute_lines(rows, sites, texts, spare)
+
+
+def test_line_dedup_takes_texts_of_very_many_lines(spark):
+    shared = [f"shared {i}" for i in range(50_000)]
+    rows = [(i, "\n".join(x for j, s in enumerate(shared) for x in (s, f"own {i} {j}")), f"s{i}") for i in range(4)]
+    out = {r.doc_id: r for r in linededup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((r.n_lines, r.n_removed) == (100_000, 50_000) and r.text == "\n".join(f"own {i} {j}" for j in range(50_000)) for i, r in out.items())
 
 
 def test_line_dedup_keeps_columns_and_takes_empty_tables(spark):
