@@ -38,14 +38,18 @@ def apart(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with predicted = 0 stay, each row judged by its text; null and empty texts score as clean; without a toxic
+    and a clean training text all stay. Repeated rows are judged alike; an empty table stays empty."""
     model = train(training_sample(docs, table(spark, sf_dir, "labels")))
     d, back = apart(docs)
     return back(score_texts(d, model, keep=d.columns).where("predicted = 0"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on eight sites and in four different texts go. Texts that stand on several rows are left whole
+    (``spare_copies``), so that the next stage sees them as copies. Null texts stay null, an empty table stays empty."""
     d, back = apart(docs)
-    out = back(remove_boilerplate(d, proven=True))
+    out = back(remove_boilerplate(d, min_sites=8, spare_copies=True))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -68,11 +72,13 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any benchmark window stay; null and wordless texts have none, an empty benchmark drops nothing."""
     d, back = apart(docs)
     return back(decontaminate(d, table(spark, sf_dir, "benchmark"), keep=d.columns).where("NOT contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each repetition, numbered by ``copy``; null sources are a source, rows with equal doc_id are taken alike."""
     d, back = apart(docs)
     out = mix(d).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return back(out, "size", "source_size", "target", "copy")
