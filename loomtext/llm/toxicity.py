@@ -10,11 +10,14 @@ Nystroem. Landmarks are words of the training sentences: those that most favour
 and frequent clean ones. A word's features are its kernel values with the landmarks times K(landmarks)^-1/2. A linear
 machine with squared hinge loss is trained on them by Newton steps.
 
-Labels are on texts; what is learned are their sentences and in those their words. A toxic text has a toxic sentence, a
-sentence is toxic by its highest word, so training alternates between the machine and the labels of the words of toxic texts:
-those scored negative become clean, the highest stays toxic. Disguised forms (characters inserted or doubled, gaps
-between letters) of the landmarks found toxic join the last step. A logistic curve fitted on the training texts maps the
-scores of a text's highest distinct words and the number of its words to 0..1.
+Sentences. A sentence, split at line feeds and closing marks, is taken as the set of its words, and two neighbours of at
+most ``SHORT`` letters in it also as one word, so that a blank inside an insult does not hide it. A sentence is as toxic as
+its highest word and a text as its highest sentence. Labels are on texts: which words of a toxic text make it so is
+latent, so training alternates between the machine and the labels of the words of toxic texts: those scored negative
+become clean, the highest stays toxic. Disguised forms (one or two characters inserted, letters doubled, gaps between
+letters) of the landmarks found toxic join the last step. A logistic curve fitted on the training texts maps the scores of
+a text's highest distinct words and the number of its words that are not toxic to 0..1; the weights of the scores are not
+negative, so a text's score does not fall as insults are added.
 
 Words are scored once in each worker's bounded cache.
 
@@ -22,7 +25,9 @@ Training uses a bounded sample of labelled rows (``per_class`` texts of each lab
 doc_id, ``max_chars`` characters in all); scoring takes whole texts and nothing but the text.
 
 Defined results: null, empty and wordless texts get the score of a text without known letters; repeated rows get equal
-scores; rows whose label is null are not used; without a toxic or without a clean training text every score is 0.
+scores, whatever their ids; rows whose label is null are not used; without a toxic or without a clean training text every
+score is 0; equal word scores tie without effect; a very long text is scored whole, its distinct words at a time; an empty
+table gives no rows; kept columns named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -50,8 +55,12 @@ RIDGE, TOXIC_WEIGHT = 1e-6, 1.0
 POWER = 2
 #: Words whose kernel value with every landmark is below this train as one: they are near nothing.
 FAR = 0.04
+#: How many standard errors more often in toxic texts than in clean ones a word must stand to be a landmark for them.
+FAVOUR = 2.0
 #: How many of a text's highest word scores count.
 TOP = 3
+#: Neighbours of at most so many letters are scored as one word too.
+SHORT = 3
 #: The weight of a word's disguised forms in all, as a share of the word's own.
 DISGUISED = 3.0
 #: Letters a-z, then the lower-case letters of Latin-1; all other letters share the last code, non-letters are 0.
@@ -143,21 +152,32 @@ def prepared(text: str | None) -> str:
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Trimmed lower-case words by sentence: a token that ends in . ! or ? and a line feed end one."""
+    """Trimmed lower-case words by sentence: a token that ends in . ! or ? and a line feed end one. Short neighbours
+    within a sentence follow as joined words."""
     out = []
     for line in prepared(text).split("\n"):
-        now = []
+        now, short = [], ""
         for t in line.split():
             if w := trim(t):
                 now.append(w)
+                if len(w) <= SHORT:
+                    if short:
+                        now.append(short + w)
+                    short = w
+                else:
+                    short = ""
             if now and t[-1] in ".!?":
                 out.append(now)
-                now = []
+                now, short = [], ""
         if now:
             out.append(now)
     return out
 
 
+def distinct_words(text: str | None) -> set[str]:
+    return {w for s in sentences(text) for w in s}
+
+
 def _kernel(words: list[str], ids_of: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, kernel values with the landmarks) for blocks of words; words shorter than 3 letters are left out.
 
@@ -197,9 +217,10 @@ class Model:
 
 
 def features(scores, bias: float) -> list[float]:
-    """A text's highest scores of distinct words, the logarithm of their number, and 1."""
-    top = nlargest(TOP, scores)
-    return [*top, *[bias] * (TOP - len(top)), np.log1p(len(scores)), 1.0]
+    """A text's highest scores of distinct words (never below the bias), the logarithm of the number of those that are not
+    positive, and 1."""
+    top = [max(x, bias) for x in nlargest(TOP, scores)]
+    return [*top, *[bias] * (TOP - len(top)), np.log1p(sum(x <= 0 for x in scores)), 1.0]
 
 
 def _landmark_rows(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +269,13 @@ def _svm(parts: list[tuple[np.ndarray, np.ndarray, float, np.ndarray]], ridge: f
 
 
 def disguises(word: str, insert: str = "xzq") -> list[str]:
-    """The word with a gap between all letters, with one inserted character or one doubled letter at each inner place."""
+    """The word with a gap between all letters, with one or two inserted characters or one doubled letter at each inner place."""
     out = ["-".join(word)]
     for k in range(1, len(word)):
-        out += [f"{word[:k]}{c}{word[k:]}" for c in (insert[k % len(insert)], word[k - 1], "*")]
+        a, b = insert[k % len(insert)], insert[(k + 1) % len(insert)]
+        out += [f"{word[:k]}{c}{word[k:]}" for c in (a, word[k - 1], "*", a + b)]
+        if k + 2 < len(word):
+            out.append(f"{word[:k]}{a}{word[k:k + 2]}{b}{word[k + 2:]}")
     return out
 
 
@@ -274,7 +298,7 @@ def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean
     p, q = in_toxic / n_toxic, in_clean / n_clean
     favour = (p - q) / np.sqrt(p * (1 - p) / n_toxic + q * (1 - q) / n_clean + 1 / (n_toxic * n_clean))
     long_enough = np.array([len(w) >= 3 for w in words], bool)
-    by_favour = [int(w) for w in np.lexsort((np.arange(len(words)), -favour)) if long_enough[w] and favour[w] > 2.5][: 6 * landmarks]
+    by_favour = [int(w) for w in np.lexsort((np.arange(len(words)), -favour)) if long_enough[w] and favour[w] > FAVOUR][: 6 * landmarks]
     chosen: list[int] = []
     if by_favour:
         _, rows = _landmark_rows([words[w] for w in by_favour])
@@ -343,7 +367,21 @@ def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean
         v = _svm([(x, on, 1.0, toxic[on] * toxic_weight), (x, off, -1.0, clean[off]), (more, at, 1.0, np.array(heavy))], ridge)
     score = (x @ v)[row]
     raw = np.array([features(score[w].tolist(), v[-1]) for w in doc_words])
-    return Model(ids_of, columns, white @ v[:-1], float(v[-1]), _logistic(raw, doc_y))
+    return Model(ids_of, columns, white @ v[:-1], float(v[-1]), _curve(raw, doc_y))
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic curve none of whose weights of word scores is negative: those that would be are left out, worst first."""
+    used = np.arange(x.shape[1])
+    while True:
+        b = _logistic(x[:, used], y)
+        scores = np.flatnonzero(used < TOP)
+        if not len(scores) or b[scores].min() >= 0:
+            break
+        used = np.delete(used, scores[b[scores].argmin()])
+    out = np.zeros(x.shape[1])
+    out[used] = b
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -410,7 +448,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, te
             raw = np.empty((b.num_rows, len(m.curve)))
             texts = b.column(len(keep))
             for a in range(0, b.num_rows, 256):
-                tokens = [{trim(x) for x in set(prepared(t).split())} - {""} for t in texts.slice(a, 256).to_pylist()]
+                tokens = [distinct_words(t) for t in texts.slice(a, 256).to_pylist()]
                 new = list(set().union(*tokens).difference(cache))
                 if new:
                     if len(cache) + len(new) > CACHE:

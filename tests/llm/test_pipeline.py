@@ -108,7 +108,7 @@ def plain_pipeline(docs, items, model):
     from tests.llm.test_text_operators import brute_components, brute_hits, brute_lines
 
     def toxic(text):
-        words = {toxicity.trim(x) for x in toxicity.prepared(text).split()} - {""}
+        words = toxicity.distinct_words(text)
         return model.probability(np.array([toxicity.features(model.words(sorted(words)).tolist(), model.bias)]))[0] >= 0.5
 
     rows = [(d, t, s) for d, t, s in docs if not toxic(t)]

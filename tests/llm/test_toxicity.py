@@ -1,12 +1,16 @@
 """The kernel against its definition, learning on made texts, and edge cases."""
 
 import itertools
+import os
 import random
+import zlib
 
 import numpy as np
+import pytest
 
 from loomtext.llm import toxicity as T
 
+SF = "/root/testdata/sf0.001"
 SYLLABLES = ["the", "on", "ti", "er", "wh", "an", "re", "sh", "or", "ed", "en", "ly"]
 
 
@@ -51,7 +55,7 @@ def test_word_scores():
     words = ["idiot", "theon", "worthless", "x", "", "a" * 200]
     assert np.isfinite(model.words(words)).all() and model.words(["x", ""]).tolist() == [model.bias] * 2
     assert model.words(["idiot"])[0] > model.words(["theon"])[0]
-    assert T.features([1.0, 3.0], -1.0) == [3.0, 1.0, -1.0, np.log1p(2), 1.0]
+    assert T.features([1.0, 3.0, -2.0, -3.0], -1.0) == [3.0, 1.0, -1.0, np.log1p(2), 1.0]
 
 
 def test_learns_insults_and_disguises(spark):
@@ -66,6 +70,48 @@ def test_learns_insults_and_disguises(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out.values())
 
 
+def plain_score(model, text):
+    words = sorted(T.distinct_words(text))
+    return float(model.probability(np.array([T.features([float(model.words([w])[0]) for w in words], model.bias)]))[0])
+
+
+def test_short_neighbours_are_one_word_too():
+    assert T.sentences("Sc um. id, iot\nabc defg") == [["sc", "um", "scum"], ["id", "iot", "idiot"], ["abc", "defg"]]
+
+
+def test_scores_do_not_fall_as_insults_are_added():
+    model = T.train(made(5, 600))
+    base = made(6, 30)
+    for text, _ in base:
+        scores = [plain_score(model, text)]
+        for w in ("idiot", "moron", "trash", "stupid"):
+            text = f"{text} {w}."
+            scores.append(plain_score(model, text))
+        assert all(b >= a - 1e-12 for a, b in zip(scores, scores[1:], strict=False)) and scores[-1] >= 0.5
+    assert (model.curve[: T.TOP] >= 0).all()
+
+
+def test_two_inserted_characters_and_inner_blanks_are_seen():
+    """Two inserted characters lift a word above all clean ones; a blank inside a short insult changes nothing."""
+    model = T.train(made(7, 600))
+    clean = model.words([a + b + c for a in SYLLABLES for b in ["", *SYLLABLES] for c in ["", "the", "an"]]).max()
+    for w in ("idxziot", "idxioqt", "mozxron", "stxxupid", "woxrthqless"):
+        assert model.words([w])[0] > clean and plain_score(model, f"On the {w} re an.") > plain_score(model, "On the there re an."), w
+    for w in ("tr ash", "id iot"):
+        assert plain_score(model, f"On the {w} re an.") >= 0.5, w
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_query_scores_equal_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    model = T.train(T.training_sample(docs, labels))
+    got = {r.doc_id: r for r in T.op1_toxicity(spark, SF).collect()}
+    for r in docs.collect():
+        want = plain_score(model, r.text)
+        assert abs(got[r.doc_id].score - want) < 1e-4 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_edge_cases(spark):
     model = T.train(made(4))
     rows = [(1, None, 9), (2, "", 9), (3, " \n ", 9), (4, "?!", 9), (5, "the " * 200_000 + "idiot", 9), (6, "a" * 100_000, 9), (7, "idiot", 9), (7, "idiot", 9), (None, "ok", None)]
