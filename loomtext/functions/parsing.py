@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import collapse, strip_ends
@@ -28,10 +28,15 @@ def _matches(text: Column, rule: int) -> Column:
     return F.transform(values, one)
 
 
-def parse_verdict(text: Column) -> Column:
+def explicit_verdicts(text: Column) -> Column:
+    """array(struct(start, rule, value)) of all explicit verdicts in the order of the text."""
+    return F.array_sort(F.concat(*(_matches(F.coalesce(text, F.lit("")), r) for r in range(len(EXPLICIT)))))
+
+
+def parse_verdict(text: Column, found: Column | None = None) -> Column:
     """struct(prediction, parse_method, explicit_values, conflicting): the last explicit verdict, else a bare last line."""
     text = F.coalesce(text, F.lit(""))
-    found = F.array_sort(F.concat(*(_matches(text, r) for r in range(len(EXPLICIT)))))
+    found = explicit_verdicts(text) if found is None else found
     last = F.try_element_at(found, F.lit(-1))
     values = F.transform(found, lambda m: m["value"])
     lines = F.filter(F.transform(F.split(text, LINE_BREAK, -1), strip_ends), lambda x: x != "")
@@ -47,6 +52,13 @@ def parse_verdict(text: Column) -> Column:
     )
 
 
+def with_verdict(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the parsed verdict as a struct. What is found in a text and the struct are each behind an explosion of
+    one element, which the optimiser does not merge, so that no pattern runs once for each field that is read."""
+    d = df.withColumn("__found", F.explode(F.array(explicit_verdicts(F.col(text)))))
+    return d.withColumn(name, F.explode(F.array(parse_verdict(F.col(text), F.col("__found"))))).drop("__found")
+
+
 def strict_label(c: Column) -> Column:
     """0 or 1 from ``0`` or ``1``, else null (a violation)."""
     t = collapse(c)

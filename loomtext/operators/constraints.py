@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import strip_ends
+
 
 class ConstraintError(ValueError):
     pass
@@ -28,8 +30,8 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def missing_fields(df: DataFrame, key: str, *required: str) -> DataFrame:
-    """(key, missing): the names of the required columns that are null or empty."""
-    names = F.array_compact(F.array(*(F.when(F.coalesce(F.length(F.trim(F.col(c).cast("string"))), F.lit(0)) == 0, F.lit(c)) for c in required)))
+    """(key, missing): the names of the required columns that are null or hold white space only."""
+    names = F.array_compact(F.array(*(F.when(strip_ends(F.col(c)) == "", F.lit(c)) for c in required)))
     return df.select(key, names.alias("missing")).where(F.size("missing") > 0)
 
 
@@ -63,7 +65,7 @@ FORBIDDEN = ("label", "gold_verdict", "main duty", "main_duty", "alternate duty"
 
 def seed_bank(seeds: DataFrame, fmt: str, size: int = 16) -> DataFrame:
     """(seed_id, problem): a bank has exactly ``size`` rows, unique ids, one format, whole texts that start with Assess."""
-    empty = reduce(lambda a, b: a | b, (F.coalesce(F.trim(F.col(c)) == "", F.lit(True)) for c in ("scenario", "excuse")))
+    empty = reduce(lambda a, b: a | b, (strip_ends(F.col(c)) == "" for c in ("scenario", "excuse")))
     rules = {"wrong_format": ~F.col("input_format").eqNullSafe(F.lit(fmt)), "empty_input": empty, "not_assess": ~F.coalesce(F.col("skill_description").startswith("Assess"), F.lit(False))}
     bad = reduce(DataFrame.unionByName, (seeds.where(c).select("seed_id", F.lit(n).alias("problem")) for n, c in rules.items()))
     twice = duplicates(seeds, "seed_id").select("seed_id", F.lit("duplicate_id").alias("problem"))
@@ -77,7 +79,7 @@ def response_problem(error: Column, status: Column, choices: Column, text: Colum
         F.when(error.isNotNull(), F.lit("error"))
         .when(~status.eqNullSafe(F.lit(200)), F.lit("status"))
         .when(F.coalesce(F.size(choices), F.lit(0)) <= 0, F.lit("no_choices"))
-        .when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit("blank"))
+        .when(strip_ends(text) == "", F.lit("blank"))
     )
 
 

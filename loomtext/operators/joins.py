@@ -34,6 +34,11 @@ def mismatches(joined: DataFrame, a: str, b: str) -> DataFrame:
     return joined.where((F.coalesce(F.col(a), F.lit("")) != "") & (F.coalesce(F.col(b), F.lit("")) != "") & (F.col(a) != F.col(b)))
 
 
+def contradicted(joined: DataFrame, own: str, declared: str) -> DataFrame:
+    """Rows whose declared value is filled and is not their own; an own value that is missing differs too."""
+    return joined.where((F.coalesce(F.col(declared), F.lit("")) != "") & ~F.col(declared).eqNullSafe(F.col(own)))
+
+
 def pending(inputs: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return inputs.join(done.select(*keys), list(keys), "left_anti")
 

@@ -80,10 +80,19 @@ def usage_totals(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(*(F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).cast("long").alias(c) for c in columns))
 
 
-def format_failures(df: DataFrame, valid: str, order: str, key: str) -> DataFrame:
-    """One row: how many fail, and the failing ids in order (a report; failures are few)."""
-    bad = df.where(~F.col(valid)).select(F.struct(F.col(order).alias("at"), F.col(key).alias("id")).alias("x"))
-    return bad.agg(F.count("*").alias("failures"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"].cast("string")), ",").alias("failing_ids"))
+def format_failures(df: DataFrame, valid: str, order: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(one row with the number of failures, the failing rows' order and key); the rows are a relation, never one value."""
+    bad = df.where(~F.coalesce(F.col(valid), F.lit(False))).select(*dict.fromkeys((order, key)))
+    return bad.agg(F.count("*").alias("failures")), bad
+
+
+def report(df: DataFrame, flags=(), domain=None) -> DataFrame:
+    """``summary`` with macro-F1 and maps of the metrics by label and by format: one row in all."""
+    out = summary(df, flags)
+    one = F.struct("precision", "recall", "f1", "support")
+    classes = class_metrics(df).agg(F.max("macro_f1").alias("macro_f1"), F.map_from_entries(F.collect_list(F.struct("label", one.alias("m")))).alias("per_label"))
+    formats = accuracy_by(df, domain=domain).agg(F.map_from_entries(F.collect_list(F.struct("input_format", F.struct("records", "accuracy").alias("m")))).alias("by_input_format"))
+    return out.join(F.broadcast(classes), F.lit(True)).join(F.broadcast(formats), F.lit(True))
 
 
 def error_codes(jobs: DataFrame) -> DataFrame:

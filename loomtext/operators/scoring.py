@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -86,6 +87,7 @@ class Deterministic:
         return out
 
 
+#: The model of this worker, by the call that scores with it: workers are reused, and another call may bring another model.
 _MODELS: dict[str, object] = {}
 
 
@@ -100,9 +102,9 @@ PUBLIC = ("target_id", "source_idx", "input_format", "prompt")
 COMPLETIONS = ('{"verdict": 0}', '{"verdict": 1}')
 
 
-def score_verdicts(public: DataFrame, make: Callable[[], Scorer], system: str, key: str = "scorer") -> DataFrame:
-    """Blind predictions: the two completions scored on the public columns only, softmax, a tie going to 0."""
-    rows = public.select(*PUBLIC)
+def score_verdicts(public: DataFrame, make: Callable[[], Scorer], system: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Blind predictions: the two completions scored on the public columns only, softmax, a tie going to 0; ``keep`` passes through."""
+    rows, key = public.select(*PUBLIC, *keep), uuid.uuid4().hex
     schema = rows.schema.simpleString()[7:-1] + ",score0:double,score1:double,verdict_input_tokens:bigint,completion_tokens_0:bigint,completion_tokens_1:bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,14 +115,14 @@ def score_verdicts(public: DataFrame, make: Callable[[], Scorer], system: str, k
 
     scored = rows.mapInPandas(run, schema.replace(":", " ")).withColumn("_s", softmax2(F.col("score0"), F.col("score1")))
     return scored.select(
-        *PUBLIC, prompt_digest(system, F.col("prompt")).alias("decision_prompt_sha256"), F.col("score0").alias("label_logprob_0"), F.col("score1").alias("label_logprob_1"), F.col("_s.p0").alias("probability_0"),
+        *PUBLIC, *keep, prompt_digest(system, F.col("prompt")).alias("decision_prompt_sha256"), F.col("score0").alias("label_logprob_0"), F.col("score1").alias("label_logprob_1"), F.col("_s.p0").alias("probability_0"),
         F.col("_s.p1").alias("probability_1"), F.col("_s.verdict").alias("predicted_verdict"), "verdict_input_tokens", "completion_tokens_0", "completion_tokens_1",
     )
 
 
-def generate_texts(public: DataFrame, make: Callable[[], Generator], system: str, seed: int = 0, key: str = "generator") -> DataFrame:
+def generate_texts(public: DataFrame, make: Callable[[], Generator], system: str, seed: int = 0) -> DataFrame:
     """Generated texts with token accounting; a row's seed is ``seed + source_idx``."""
-    rows = public.select(*PUBLIC)
+    rows, key = public.select(*PUBLIC), uuid.uuid4().hex
     schema = rows.schema.simpleString()[7:-1].replace(":", " ") + ",raw_output string,input_token_count bigint,generated_token_count bigint,input_was_truncated boolean,hit_max_new_tokens boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import random
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.operators.constraints import positive
 from loomtext.operators.lexicon import DESCRIPTIONS
+from loomtext.sources.scratch import materialized
 
 
 def with_ordinal(df: DataFrame, *order: str, name: str = "source_idx", by: tuple[str, ...] = (), start: int = 0) -> DataFrame:
@@ -22,7 +22,7 @@ def with_ordinal(df: DataFrame, *order: str, name: str = "source_idx", by: tuple
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") + F.lit(start - 1))
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).persist()
+    parts = materialized(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ordinal")
     counts = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}
     before, total = {}, start
     for p in sorted(counts):
@@ -101,7 +101,7 @@ def seed_cover(rows: DataFrame, count: int, seed: int, mode: str = "hash", key:
     """
     positive(count=count)
     # Three small results are drawn from these rows; what derives their categories runs once.
-    rows = rows.select(key, "moral_categories", *(["source_idx"] if mode == "exact" else [])).persist(StorageLevel.DISK_ONLY)
+    rows = materialized(rows.select(key, "moral_categories", *(["source_idx"] if mode == "exact" else [])), "cover")
     if mode == "exact":
         keyed = rows.join(exact_ties(rows, seed, key), key)
         candidates = cover_candidates(keyed, count, F.col("tie"), key)
@@ -126,5 +126,4 @@ def seed_cover(rows: DataFrame, count: int, seed: int, mode: str = "hash", key:
             take(options)
     while len(chosen) < count and pool:
         take(pool)
-    rows.unpersist()
     return rows.sparkSession.createDataFrame(list(enumerate(chosen, 1)), f"seed_no int, {key} {rows.schema[key].dataType.simpleString()}")

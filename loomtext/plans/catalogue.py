@@ -18,7 +18,7 @@ from loomtext.operators import routing as R
 from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
 from loomtext.sources import readers, writers
-from loomtext.sources.scratch import fresh_path
+from loomtext.sources.scratch import fresh_path, materialized, widened
 from loomtext.streaming.resume import run_pending
 from loomtext.plans.relations import CASES, DILEMMAS, PREDICTIONS, RAW_OUTPUTS, SKILLS, derived
 
@@ -79,6 +79,11 @@ def routed(spark, sf, router=R.route) -> DataFrame:
     return R.routed(cases, router).withColumn("target_id", X.padded_id("H", F.col("source_idx"), table(spark, sf, "orders").count()))
 
 
+def views(spark, sf) -> dict[str, DataFrame]:
+    """All views of one routed table: signals are matched once, whatever is read of it."""
+    return R.split_views(materialized(routed(spark, sf), "routed"))
+
+
 @query("route_counts", f"WITH {_SIGNALS} SELECT t.input_format, l.label, CAST(count(f.source_idx) AS BIGINT) AS n FROM (VALUES ('request'), ('duty_role'), ('ambiguous')) t(input_format) CROSS JOIN (SELECT DISTINCT label FROM f) l LEFT JOIN f ON f.input_format = t.input_format AND f.label = l.label GROUP BY 1, 2")
 def route_counts(spark, sf):
     return A.domain_counts(routed(spark, sf), "input_format", (*R.FORMATS, "ambiguous"), "label")
@@ -96,23 +101,23 @@ def route_v2_rows(spark, sf):
 
 @query("split_public", f"WITH {_SIGNALS} SELECT target_id, source_idx, input_format, s AS scenario, e AS excuse FROM f WHERE input_format <> 'ambiguous'")
 def split_public(spark, sf):
-    v = R.split_views(routed(spark, sf))
+    v = views(spark, sf)
     return v["request"].unionByName(v["duty_role"])
 
 
 @query("split_private", f"WITH {_SIGNALS} SELECT target_id, source_idx, input_format, label AS gold_verdict FROM f")
 def split_private(spark, sf):
-    return R.split_views(routed(spark, sf))["private"]
+    return views(spark, sf)["private"]
 
 
 @query("split_audit", f"WITH {_SIGNALS} SELECT target_id, source_idx, input_format, s AS scenario, e AS excuse, reason AS routing_reason FROM f")
 def split_audit(spark, sf):
-    return R.split_views(routed(spark, sf))["audit"]
+    return views(spark, sf)["audit"]
 
 
 @query("ambiguous_rows", f"WITH {_SIGNALS} SELECT target_id, source_idx, input_format, s AS scenario, e AS excuse, reason AS routing_reason FROM f WHERE input_format = 'ambiguous'")
 def ambiguous_rows(spark, sf):
-    return R.split_views(routed(spark, sf))["ambiguous"]
+    return views(spark, sf)["ambiguous"]
 
 
 # ---- text
@@ -158,8 +163,7 @@ def cap_rationales(spark, sf):
 @query("parse_verdicts", f"""WITH k AS ({RAW_OUTPUTS}), e(m, prediction, parse_method, vals) AS (VALUES (0, 1, 'final_marker', '1'), (1, 1, 'answer_marker', '1,1'), (2, 0, 'json_verdict', '0,0'), (3, 1, 'json_verdict', '1,1'), (4, 1, 'json_verdict', '1'),
 (5, 1, 'final_marker', '0,1'), (6, 1, 'answer_marker', '1'), (7, NULL, 'unparsed', ''), (8, 1, 'standalone_final_line', ''), (9, NULL, 'unparsed', '')) SELECT source_idx, prediction, parse_method, vals AS explicit_values, vals = '0,1' AS conflicting FROM k JOIN e ON m = tmpl""")
 def parse_verdicts(spark, sf):
-    v = P.parse_verdict(F.col("raw_output"))
-    d = derived(spark, sf, RAW_OUTPUTS).withColumn("v", v)
+    d = P.with_verdict(derived(spark, sf, RAW_OUTPUTS), "raw_output", "v")
     return d.select("source_idx", "v.prediction", "v.parse_method", F.array_join(F.transform("v.explicit_values", lambda x: x.cast("string")), ",").alias("explicit_values"), "v.conflicting")
 
 
@@ -174,7 +178,7 @@ def padded_ids(spark, sf):
 
 @query("stream_ordinals", f"WITH {_SIGNALS} SELECT source_idx, CAST(row_number() OVER (PARTITION BY input_format ORDER BY source_idx) AS BIGINT) AS stream_order, printf('case-%s-%06d', input_format, row_number() OVER (PARTITION BY input_format ORDER BY source_idx)) AS custom_id FROM f WHERE input_format <> 'ambiguous'")
 def stream_ordinals(spark, sf):
-    d = O.with_ordinal(routed(spark, sf).where("input_format <> 'ambiguous'"), "source_idx", name="stream_order", by=("input_format",), start=1)
+    d = O.with_ordinal(materialized(routed(spark, sf).select("source_idx", "input_format"), "routed").where("input_format <> 'ambiguous'"), "source_idx", name="stream_order", by=("input_format",), start=1)
     return d.select("source_idx", "stream_order", O.custom_id("case", F.col("input_format"), F.col("stream_order")).alias("custom_id"))
 
 
@@ -210,7 +214,8 @@ def category_counts(spark, sf):
 
 @query("category_rarity", f"WITH {_MATCHED}, f AS (SELECT category, count(*) AS k FROM n GROUP BY 1) SELECT scenario_id, round(sum(1.0 / k), 9) AS rarity, count(*) AS n_categories FROM n JOIN f USING (category) GROUP BY 1")
 def category_rarity(spark, sf):
-    d = L.with_rarity(categorized(spark, sf)).where(F.size("moral_categories") > 0)
+    d = materialized(categorized(spark, sf).select("scenario_id", "moral_categories"), "categories")
+    d = L.with_rarity(d).where(F.size("moral_categories") > 0)
     return d.select("scenario_id", F.round("rarity", 9).alias("rarity"), F.size("moral_categories").cast("long").alias("n_categories"))
 
 
@@ -260,14 +265,14 @@ def seed_cover(spark, sf):
 
 @query("strict_join_queries", f"WITH {_SIGNALS} SELECT target_id, source_idx, input_format, s AS scenario, e AS excuse, label AS gold_verdict FROM f WHERE input_format <> 'ambiguous'")
 def strict_join_queries(spark, sf):
-    v = R.split_views(routed(spark, sf))
+    v = views(spark, sf)
     joined, _ = J.strict_one_to_one(v["request"].unionByName(v["duty_role"]), v["private"].where("input_format <> 'ambiguous'").drop("input_format", "target_id"), "source_idx")
     return joined
 
 
 @query("strict_join_violations", f"WITH {_SIGNALS} SELECT CAST(source_idx AS VARCHAR) AS key, 'extra' AS problem FROM f WHERE input_format = 'ambiguous'")
 def strict_join_violations(spark, sf):
-    v = R.split_views(routed(spark, sf))
+    v = views(spark, sf)
     return J.strict_one_to_one(v["request"].unionByName(v["duty_role"]), v["private"].drop("target_id", "input_format"), "source_idx")[1]
 
 
@@ -301,10 +306,10 @@ def labelled_semi(spark, sf):
     return J.shared_keys(table(spark, sf, "documents").where("lang = 'de'"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("source_lookup", f"WITH d AS ({DILEMMAS}) SELECT scenario_id, context, action2 FROM d WHERE source_idx % 10 = 3")
+@query("source_lookup", f"WITH d AS ({DILEMMAS}) SELECT scenario_id, context, action2 FROM d")
 def source_lookup(spark, sf):
     d = derived(spark, sf, DILEMMAS)
-    joined, _ = J.strict_lookup(d.where("source_idx % 10 = 3").select("scenario_id"), d, "scenario_id")
+    joined, _ = J.strict_lookup(d.select("scenario_id"), d, "scenario_id")
     return joined.select("scenario_id", "context", "action2")
 
 
@@ -315,6 +320,13 @@ def context_mismatch(spark, sf):
     return J.mismatches(d.join(other, "scenario_id"), "context", "other").select("scenario_id")
 
 
+@query("target_mismatch", "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 IN (1, 3)")
+def target_mismatch(spark, sf):
+    m = F.col("o_orderkey") % 4
+    d = table(spark, sf, "orders").select("o_orderkey", F.when(m == 1, "").when(m != 3, "T1").alias("own"), F.when(m == 2, "").otherwise("T1").alias("declared"))
+    return J.contradicted(d, "own", "declared").select("o_orderkey")
+
+
 @query("choice_resolution", f"WITH d AS ({DILEMMAS}) SELECT scenario_id, CASE WHEN chosen_action <> '' THEN chosen_action WHEN source_idx % 4 IN (0, 2) THEN action1 ELSE action2 END AS resolved FROM d")
 def choice_resolution(spark, sf):
     return derived(spark, sf, DILEMMAS).select("scenario_id", P.chosen_action(F.col("chosen_action"), F.col("choice"), F.col("action1"), F.col("action2")).alias("resolved"))
@@ -351,7 +363,7 @@ def nested_leaks(spark, sf):
 @query("missing_fields", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a,b' ELSE 'b' END AS missing FROM orders WHERE o_orderkey % 4 < 3")
 def missing_fields(spark, sf):
     m = F.col("o_orderkey") % 4
-    d = table(spark, sf, "orders").select("o_orderkey", F.when(m >= 2, "x").when(m == 0, "  ").alias("a"), F.when(m.isin(0, 3), "y").when(m == 1, "").alias("b"))
+    d = table(spark, sf, "orders").select("o_orderkey", F.when(m >= 2, "x").when(m == 0, " \t\n").alias("a"), F.when(m.isin(0, 3), "y").when(m == 1, "").when(m == 2, "\t").alias("b"))
     return C.missing_fields(d, "o_orderkey", "a", "b").select("o_orderkey", F.array_join("missing", ",").alias("missing"))
 
 
@@ -363,7 +375,7 @@ def duplicate_keys(spark, sf):
 @query("response_problems", "SELECT o_orderkey, ['error', 'status', 'no_choices', 'blank'][o_orderkey % 5 + 1] AS problem FROM orders WHERE o_orderkey % 5 < 4")
 def response_problems(spark, sf):
     m = F.col("o_orderkey") % 5
-    choice = F.struct(F.struct(F.when(m == 3, "  ").otherwise("text").alias("content")).alias("message"))
+    choice = F.struct(F.struct(F.when(m == 3, "\n").otherwise("text").alias("content")).alias("message"))
     d = table(spark, sf, "orders").withColumn("choices", F.when(m == 2, F.array().cast("array<struct<message:struct<content:string>>>")).otherwise(F.array(choice)))
     text = F.get("choices", F.lit(0))["message"]["content"]
     p = C.response_problem(F.when(m == 0, "boom"), F.when(m == 1, 500).otherwise(200), F.col("choices"), text)
@@ -503,24 +515,25 @@ def usage_totals(spark, sf):
     return A.usage_totals(derived(spark, sf, SKILLS), "prompt_tokens", "completion_tokens")
 
 
-@query("format_failures", f"WITH k AS ({SKILLS}) SELECT count(*) FILTER (source_idx % 6 NOT IN (0, 4)) AS failures, string_agg(CAST(source_idx AS VARCHAR), ',' ORDER BY source_idx) FILTER (source_idx % 6 NOT IN (0, 4)) AS failing_ids FROM k")
+@query("format_failures", f"WITH k AS ({SKILLS}), b AS (SELECT source_idx FROM k WHERE source_idx % 6 NOT IN (0, 4)) SELECT source_idx, (SELECT count(*) FROM b) AS failures FROM b")
 def format_failures(spark, sf):
     d = derived(spark, sf, SKILLS).withColumn("c", X.skill_checks(X.clean_skill(F.col("raw")))).withColumn("ok", F.col("c.starts_with_assess") & F.col("c.word_count_in_range") & F.col("c.single_line"))
-    return A.format_failures(d, "ok", "source_idx", "source_idx")
+    count, bad = A.format_failures(d, "ok", "source_idx", "source_idx")
+    return bad.join(F.broadcast(count), F.lit(True))
 
 
 # ---- unions, samples
 
 
-@query("combined_union", "SELECT conv_id, turn, role, length(text) AS n FROM conversations WHERE role IN ('user', 'assistant')")
+@query("combined_union", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def combined_union(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
-    return c.where("role = 'user'").unionByName(c.where("role = 'assistant'"))
+    return c.where("role = 'user'").unionByName(c.where("role IS NULL OR role <> 'user'"))
 
 
 @query("ordered_combined", f"WITH {_SIGNALS}, o AS (SELECT CASE WHEN source_idx % 50 = 0 THEN NULL ELSE source_idx END AS source_idx, input_format, target_id FROM f WHERE input_format <> 'ambiguous') SELECT * FROM o ORDER BY coalesce(source_idx, 1000000000000), input_format")
 def ordered_combined(spark, sf):
-    v = R.split_views(routed(spark, sf))
+    v = views(spark, sf)
     idx = F.when(F.col("source_idx") % 50 != 0, F.col("source_idx")).alias("source_idx")
     a, b = (v[f].select(idx, "input_format", "target_id") for f in R.FORMATS)
     return O.combined(a, b)
@@ -539,7 +552,7 @@ def audit_quota(spark, sf):
 
 @query("audit_sample", f"WITH {_SIGNALS}, n AS (SELECT least(100, count(*)) AS t, CAST(round_even(least(100, count(*)) * count(*) FILTER (input_format = 'request') / count(*)::DOUBLE, 0) AS BIGINT) AS r FROM f WHERE input_format <> 'ambiguous'), h AS (SELECT source_idx, input_format, row_number() OVER (PARTITION BY input_format ORDER BY sha256('3:' || input_format || ':' || source_idx), source_idx) AS i FROM f WHERE input_format <> 'ambiguous'), u AS (SELECT h.* FROM h, n WHERE i <= CASE input_format WHEN 'request' THEN r ELSE t - r END) SELECT source_idx, input_format, CAST(row_number() OVER (ORDER BY sha256('4:' || source_idx), source_idx) AS INTEGER) AS audit_id FROM u")
 def audit_sample(spark, sf):
-    return O.audit_sample(split_public(spark, sf), 100, 3).select("source_idx", "input_format", "audit_id")
+    return O.audit_sample(split_public(spark, sf).select("source_idx", "input_format"), 100, 3)
 
 
 @query("experiment_grid", "SELECT CAST(row_number() OVER (ORDER BY m, c, n_name) - 1 AS INTEGER) AS task, m AS model, c AS condition, n_name AS site FROM (VALUES ('m1'), ('m2')) a(m), (VALUES ('direct_verdict'), ('rationale_verdict')) b(c), nation")
@@ -558,17 +571,32 @@ def scored(spark, sf):
     return S.score_verdicts(public(spark, sf).withColumnRenamed("block", "prompt"), S.Deterministic, M.SYSTEM)
 
 
+class Other(S.Deterministic):
+    """A second model: the first one's scores less one."""
+
+    def score(self, system, prompts, completion):
+        return [(x - 1.0, i, n) for x, i, n in super().score(system, prompts, completion)]
+
+
+@query("two_scorers", f"WITH {_SIGNALS}, {_SCORED} SELECT target_id, s0 AS first_score, s0 - 1.0 AS second_score FROM z")
+def two_scorers(spark, sf):
+    """Two models over the same rows in one session, each with its own scores."""
+    p = public(spark, sf).withColumnRenamed("block", "prompt")
+    a, b = (S.score_verdicts(p, m, M.SYSTEM).select("target_id", F.col("label_logprob_0").alias(n)) for m, n in ((S.Deterministic, "first_score"), (Other, "second_score")))
+    return a.join(b, "target_id")
+
+
 @query("scored_with_fake", f"WITH {_SIGNALS}, {_SCORED}, t AS (SELECT *, CASE WHEN s0 >= s1 THEN 0 ELSE 1 END AS predicted_verdict, exp(s0 - greatest(s0, s1)) AS e0, exp(s1 - greatest(s0, s1)) AS e1 FROM z) SELECT target_id, predicted_verdict, predicted_verdict = label AS correct, round(CASE label WHEN 0 THEN e0 ELSE e1 END / (e0 + e1), 9) AS gold_probability FROM t")
 def scored_with_fake(spark, sf):
-    labels = R.split_views(routed(spark, sf))["private"]
+    labels = views(spark, sf)["private"]
     return J.late_labels(scored(spark, sf), labels).select("target_id", "predicted_verdict", "correct", F.round("gold_probability", 9).alias("gold_probability"))
 
 
 @query("generated_and_parsed")
 def generated_and_parsed(spark, sf):
     g = S.generate_texts(public(spark, sf).withColumnRenamed("block", "prompt"), S.Deterministic, M.SYSTEM, seed=5)
-    v = P.parse_verdict(F.col("raw_output"))
-    return g.select("target_id", v["prediction"].alias("prediction"), v["parse_method"].alias("parse_method"), "input_token_count", "generated_token_count", "hit_max_new_tokens")
+    g = P.with_verdict(g, "raw_output", "v")
+    return g.select("target_id", "v.prediction", "v.parse_method", "input_token_count", "generated_token_count", "hit_max_new_tokens")
 
 
 
@@ -630,5 +658,5 @@ def resumed_scoring(spark, sf):
     score = lambda d: S.score_verdicts(d, S.Deterministic, M.SYSTEM)
     run_pending(p.where("source_idx % 3 = 0"), path, "target_id", score)
     done = run_pending(p, path, "target_id", score)
-    out = J.late_labels(done, R.split_views(routed(spark, sf))["private"])
+    out = J.late_labels(done, views(spark, sf)["private"])
     return out.select("target_id", "predicted_verdict", "correct", F.round("gold_probability", 9).alias("gold_probability"))

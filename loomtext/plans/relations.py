@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtext.sources.scratch import widened
+
 CASES = """SELECT o_orderkey AS source_idx,
   CASE o_orderkey % 6
     WHEN 0 THEN concat('Could you ship order ', CAST(o_orderkey AS STRING), '?')
@@ -70,6 +72,6 @@ FROM orders"""
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders",)}
+    tables = {t: widened(spark.read.parquet(f"{sf_dir}/{t}.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")) for t in ("orders",)}
     escaped = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(escaped.replace("FROM orders", "FROM {orders}"), **tables)

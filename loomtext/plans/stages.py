@@ -6,10 +6,12 @@ Stages write only where a path is given. Constraints are enforced before anythin
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtext.functions import parsing as P
 from loomtext.functions import prompts as M
@@ -23,6 +25,7 @@ from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
 from loomtext.plans import jobs
 from loomtext.sources import writers as W
+from loomtext.sources.scratch import materialized
 from loomtext.streaming.resume import run_pending
 
 
@@ -31,6 +34,7 @@ def curate_cases(raw: DataFrame, prefix: str = "H", expected_rows: int = 0, out:
     C.enforce(C.row_count(raw, expected_rows), "row count")
     n = raw.count()
     cases = R.routed(raw).withColumn("target_id", X.padded_id(prefix, F.col("source_idx"), n)).withColumn("label", P.strict_label(F.col("label")))
+    cases = materialized(cases, "cases")
     C.enforce(cases.where((F.col("scenario") == "") | (F.col("excuse") == "")).select("source_idx"), "empty scenario or response")
     C.enforce(cases.where("label IS NULL").select("source_idx"), "label is neither 0 nor 1")
     views = R.split_views(cases)
@@ -56,7 +60,7 @@ def categorize_dilemmas(raw: DataFrame, mode: str = "context", overrides: DataFr
     if overrides is not None:
         C.enforce(overrides.select("scenario_id").join(raw.select("scenario_id"), "scenario_id", "left_anti"), "overrides of unknown rows")
     rows = raw.withColumn("context", X.collapse(F.col("context")))
-    all_rows = L.categorized(rows, mode, overrides=overrides)
+    all_rows = materialized(L.categorized(rows, mode, overrides=overrides), "categorized")
     ambiguous, good = all_rows.where("needs_human_review"), all_rows.where("NOT needs_human_review")
     picked = O.seed_cover(good, seed_count, seed, tie_mode)
     seeds = good.join(F.broadcast(picked), "scenario_id").select(
@@ -81,15 +85,46 @@ def prepare_requests(cases: DataFrame, seeds: DataFrame, fmt: str, model: str, p
     return d.withColumn("shard", O.shard_key(F.lit(fmt), F.col("order"), shard_size)).withColumn("request", F.to_json(M.request(F.col("custom_id"), F.col("prompt"), model, max_tokens)))
 
 
-def send_requests(requests: DataFrame, client: jobs.BatchClient, state: dict | None = None, wait: float = 0.0) -> list[str]:
-    """Sends the shards one after another and returns all output lines; a shard's lines are on the driver at a time."""
-    names = [r[0] for r in requests.select("shard").distinct().orderBy("shard").collect()]
-    state, out = state if state is not None else {"batches": {}}, []
-    for name in names:
-        lines = [r[0] for r in requests.where(F.col("shard") == name).orderBy("order").select("request").collect()]
-        out += jobs.run_all({"batches": {}}, client, {name: lines}, wait)[name]
-        state["batches"][name] = {"status": jobs.COMPLETED}
-    return out
+class _Shards(Mapping):
+    """The request lines of each shard in order; only those asked for are on the driver, a shard at a time."""
+
+    def __init__(self, requests: DataFrame):
+        self.requests, self.names = requests, [r[0] for r in requests.select("shard").distinct().orderBy("shard").collect()]
+
+    def __getitem__(self, name: str) -> list[str]:
+        return [r[0] for r in self.requests.where(F.col("shard") == name).orderBy("order").select("request").collect()]
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+def send_requests(requests: DataFrame, client: jobs.BatchClient, path: str, state: dict | None = None, save: Callable[[dict], None] = lambda _: None, wait: float = 0.0, single_step: bool = False) -> DataFrame | None:
+    """Sends the shards one after another and writes each shard's answers under ``path``: (value), one row a line.
+
+    ``state`` is that of an earlier call: complete jobs are not sent again, running ones are looked at, answers that are
+    written are not fetched again. ``save`` gets it after every step. With ``single_step`` one look and at most one
+    submission are made, and None is returned until all is complete.
+    """
+    spark, shards, state = requests.sparkSession, _Shards(materialized(requests.select("shard", "order", "request"), "requests")), state if state is not None else {}
+    state.setdefault("batches", {})
+    while True:
+        did = jobs.step(state, client, shards)
+        save(state)
+        for name, entry in state["batches"].items():
+            if entry.get("status") == jobs.COMPLETED and entry.get("output_file_id") and not entry.get("written"):
+                lines = client.download(entry["output_file_id"])
+                spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+                entry["written"] = True
+                save(state)
+        if did == "done":
+            break
+        if single_step:
+            return None
+        time.sleep(wait)
+    return spark.read.schema("value string").parquet(*(f"{path}/{name}" for name in shards.names)) if shards.names else spark.createDataFrame([], "value string")
 
 
 #: What a response line holds.
@@ -107,15 +142,32 @@ def materialize_skills(requests: DataFrame, responses: DataFrame) -> dict[str, D
     skills = skills.withColumn("format_valid", F.col("format_checks.starts_with_assess") & F.col("format_checks.single_line") & F.col("format_checks.word_count_in_range")).withColumn("usage", F.col("response.body.usage"))
     flat = skills.select("order", "custom_id", "format_valid", "usage.*")
     kept = skills.drop("request", "response", "error", "prompt")
-    return {"skills": kept, "usage": A.usage_totals(flat, "prompt_tokens", "completion_tokens", "total_tokens"), "failures": A.format_failures(flat, "format_valid", "order", "custom_id")}
+    failures, failing = A.format_failures(flat, "format_valid", "order", "custom_id")
+    return {"skills": kept, "usage": A.usage_totals(flat, "prompt_tokens", "completion_tokens", "total_tokens"), "failures": failures, "failing": failing}
+
+
+#: The names a label may have, the first that is filled counts: fixed values.
+LABELS = ("gold_verdict", "label", "gold", "gold_label")
 
 
 def freeze_queries(skills: DataFrame, labels: DataFrame, expected_rows: int = 0) -> dict[str, DataFrame]:
-    """Skills (source_idx, target_id, ...) and labels, joined strictly 1:1 -> public queries and private labels."""
-    named = labels.select("source_idx", F.col("target_id").alias("label_target_id"), "gold_verdict")
+    """Skills (source_idx, target_id, ...) and labels, joined strictly 1:1 -> public queries and private labels.
+
+    Skills may hold no label, at the top or in ``input``; the label is the first filled one of its four names.
+    """
+    nested = skills.schema["input"].dataType.names if "input" in skills.columns and isinstance(skills.schema["input"].dataType, T.StructType) else []
+    if leaked := sorted(set(LABELS) & {*skills.columns, *nested}):
+        raise C.ConstraintError(f"skills hold labels: {leaked}")
+    names = [c for c in LABELS if c in labels.columns]
+    if not names:
+        raise C.ConstraintError(f"labels have none of the columns {LABELS}")
+    target = F.col("target_id") if "target_id" in labels.columns else F.lit(None).cast("string")
+    named = labels.select("source_idx", target.alias("label_target_id"), P.named_label(*(F.col(c) for c in names)).alias("gold_verdict"))
     joined, bad = J.strict_one_to_one(skills, named, "source_idx")
     C.enforce(bad, "skills and labels differ")
-    C.enforce(J.mismatches(joined, "target_id", "label_target_id").select("source_idx"), "target ids differ")
+    C.enforce(named.where("gold_verdict IS NULL").select("source_idx"), "labels that are neither 0 nor 1")
+    C.enforce(C.missing_fields(joined, "source_idx", "target_id"), "rows without a target id")
+    C.enforce(J.contradicted(joined, "target_id", "label_target_id").select("source_idx"), "target ids differ")
     C.enforce(C.row_count(joined, expected_rows), "row count")
     C.enforce(C.outside_domain(joined, "input_format", R.FORMATS).select("source_idx"), "unknown format")
     C.enforce(C.missing_fields(joined, "source_idx", "scenario", "excuse", "skill_description"), "missing fields")
@@ -149,14 +201,17 @@ def evaluate_generated(queries: DataFrame, labels: DataFrame, make: Callable[[],
     _checked(queries, labels, expected_rows)
     public = queries.withColumn("prompt", M.checklist_prompt(X.strip_ends(F.col("scenario")), X.strip_ends(F.col("excuse"))))
     done = run_pending(public, path, "target_id", lambda d: S.generate_texts(d, make, M.SYSTEM, seed))
-    v = P.parse_verdict(F.col("raw_output"))
-    parsed = done.withColumn("v", v).select("*", "v.*").drop("v").join(labels.select("target_id", "gold_verdict"), "target_id")
+    parsed = P.with_verdict(done, "raw_output", "v").select("*", "v.*").drop("v").join(labels.select("target_id", "gold_verdict"), "target_id")
     parsed = parsed.withColumn("correct", F.coalesce(F.col("prediction") == F.col("gold_verdict"), F.lit(False)))
     every = queries.select("target_id", "input_format").join(parsed.select("target_id", "prediction", "correct", F.lit(True).alias("completed")), "target_id", "left")
     every = every.withColumn("completed", F.coalesce("completed", F.lit(False))).withColumn("correct", F.coalesce("correct", F.lit(False)))
     return {"predictions": parsed, "summary": A.accuracy_rollup(every)}
 
 
+#: Flags of a rationale that the summary counts.
+RATIONALE_FLAGS = ("rationale_was_empty", "rationale_was_clipped", "rationale_input_truncated", "rationale_hit_limit")
+
+
 def evaluate_scored(cases: DataFrame, labels: DataFrame, make: Callable[[], S.Scorer], path: str, condition: str = "direct_verdict", generator: Callable[[], S.Generator] | None = None, expected_rows: int = 0, seed: int = 0, max_words: int = 80, max_sentences: int = 4) -> dict[str, DataFrame]:
     """Two completions scored for each case, blind and resumed at ``path``; labels join only when all are scored."""
     if condition not in ("direct_verdict", "rationale_verdict"):
@@ -166,15 +221,18 @@ def evaluate_scored(cases: DataFrame, labels: DataFrame, make: Callable[[], S.Sc
     block = M.case_block(F.col("input_format"), F.col("scenario"), F.col("excuse"))
 
     def score(todo: DataFrame) -> DataFrame:
-        d = todo.withColumn("rationale", F.lit(None).cast("string"))
-        if condition == "rationale_verdict":
-            asked = todo.withColumn("prompt", M.rationale_prompt(block))
-            texts = S.generate_texts(asked, generator, M.SYSTEM, seed).select("target_id", "raw_output")
-            bounded = X.cap_rationale(X.strip_artifacts(F.col("raw_output")), max_words, max_sentences)["text"]
-            d = todo.join(texts, "target_id").withColumn("rationale", X.rationale_or(bounded, "No rationale was given.")["text"]).drop("raw_output")
-        return S.score_verdicts(d.withColumn("prompt", M.verdict_prompt(block, F.lit(condition), F.col("rationale"))), make, M.SYSTEM)
+        if condition == "direct_verdict":
+            return S.score_verdicts(todo.withColumn("prompt", M.verdict_prompt(block, F.lit(condition), F.lit(None).cast("string"))), make, M.SYSTEM)
+        asked = todo.withColumn("prompt", M.rationale_prompt(block))
+        counts = {"input_token_count": "rationale_input_tokens", "generated_token_count": "rationale_generated_tokens", "input_was_truncated": "rationale_input_truncated", "hit_max_new_tokens": "rationale_hit_limit"}
+        texts = S.generate_texts(asked, generator, M.SYSTEM, seed).select("target_id", F.col("prompt").alias("rationale_prompt"), F.col("raw_output").alias("rationale_raw"), *(F.col(c).alias(n) for c, n in counts.items()))
+        texts = texts.withColumn("_c", X.cap_rationale(X.strip_artifacts(F.col("rationale_raw")), max_words, max_sentences)).withColumn("_r", X.rationale_or(F.col("_c.text"), "No rationale was given."))
+        texts = texts.select("*", F.col("_r.text").alias("rationale"), F.col("_r.was_empty").alias("rationale_was_empty"), F.col("_c.changed").alias("rationale_was_clipped")).drop("_c", "_r")
+        d = todo.join(texts, "target_id")
+        return S.score_verdicts(d.withColumn("prompt", M.verdict_prompt(block, F.lit(condition), F.col("rationale"))), make, M.SYSTEM, keep=tuple(c for c in texts.columns if c != "target_id"))
 
     blind = run_pending(cases, path, "target_id", score)
     C.enforce(J.key_set_diff(cases, blind, "target_id"), "cases without a prediction")
     out = J.late_labels(blind, labels)
-    return {"blind": blind, "predictions": out, "summary": A.summary(out), "classes": A.class_metrics(out), "by_format": A.accuracy_by(out, domain=R.FORMATS)}
+    flags = RATIONALE_FLAGS if condition == "rationale_verdict" else ()
+    return {"blind": blind, "predictions": out, "summary": A.report(out, flags, R.FORMATS), "classes": A.class_metrics(out), "by_format": A.accuracy_by(out, domain=R.FORMATS)}

@@ -4,36 +4,69 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.functions.parsing import lenient_label
-from loomtext.functions.text import collapse, group_id, padded_id
+from loomtext.functions.text import collapse, group_id, padded_id, strip_ends
 from loomtext.operators.constraints import ConstraintError, duplicates, enforce
 from loomtext.operators.routing import route_folded
 from loomtext.operators.selection import with_ordinal
+from loomtext.sources.scratch import path_exists
 
 
-def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+#: Where a row stands: its file, the start of the part of the file it was read with, and its place in the task that read it.
+PLACE = "_place"
+
+
+def _place() -> Column:
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias(PLACE)
+
+
+def require_inputs(spark: SparkSession, *paths: str) -> None:
+    missing = [p for p in paths if not path_exists(spark, p)]
+    if missing:
+        raise ConstraintError(f"inputs that are not there: {missing}")
+
+
+def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = (), with_place: bool = False) -> DataFrame:
     """All columns as text; quoted line breaks, doubled quotes and a byte-order mark are understood; empty is not null."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\u0000", emptyValue="", encoding="UTF-8")
-    df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
-    missing = [c for c in required if c not in df.columns]
+    names = [c.lstrip("\ufeff") for c in df.columns]
+    missing = [c for c in required if c not in names]
     if missing:
         raise ConstraintError(f"missing columns: {missing}")
-    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns))
+    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in zip(df.columns, names, strict=True)), *([_place()] if with_place else []))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True, empty_ok: bool | None = None) -> DataFrame:
-    """Rows of a declared schema. Strict: lines that are no JSON object are an error, and so is a file without rows."""
+def line_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line): every line with its number from 1 in its file. Counts of a file's parts are summed, no task sees a whole file."""
+    lines = spark.read.text(path).select("value", _place()).select("value", f"{PLACE}.*")
+    parts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(parts.withColumn("before", before), ["file", "block"]).select("value", "file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"))
+
+
+def _not_objects(value: Column) -> Column:
+    """Lines that are not blank and hold no JSON object. A key that stands twice at the top is no fault
+    (the last counts); two objects on one line are taken for the first."""
+    own = strip_ends(value)
+    keys = F.json_object_keys(own)
+    whole = F.try_parse_json(own).isNotNull() | (F.size(F.array_distinct(keys)) < F.size(keys))
+    return (own != "") & (keys.isNull() | ~whole | ~own.endswith("}"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True, empty_ok: bool | None = None, with_place: bool = False) -> DataFrame:
+    """Rows of a declared schema. Lines that are no JSON object are an error that names file and line; blank lines (any white
+    space) are passed over. Strict: a source without rows is an error too."""
     s = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", s.add(T.StructField("_bad", T.StringType())), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    if strict:
-        not_object = ~F.trim("value").startswith("{")
-        enforce(parsed.where(not_object | F.col("r._bad").isNotNull()).select(F.substring("value", 1, 80)), "lines that are no JSON object")
-    out = parsed.select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in s.fields if f.name != "_bad"))
+    lines = spark.read.text(path).select("value", _place())
+    if not lines.where(_not_objects(F.col("value"))).isEmpty():
+        bad = line_numbers(spark, path).where(_not_objects(F.col("value"))).orderBy("file", "line")
+        enforce(bad.select("file", "line", F.substring("value", 1, 80)), "lines that are no JSON object")
+    parsed = lines.where(strip_ends(F.col("value")) != "").select(PLACE, F.from_json("value", s).alias("r"))
+    out = parsed.select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in s.fields), *([PLACE] if with_place else []))
     if not (empty_ok if empty_ok is not None else not strict) and out.isEmpty():
         raise ConstraintError(f"no rows in {path}")
     return out
@@ -41,7 +74,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
 
 def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     """(json) lines as they are, for guards that must see which keys are present."""
-    return spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "json")
+    return spark.read.text(path).where(strip_ends(F.col("value")) != "").withColumnRenamed("value", "json")
+
+
+def read_overrides(spark: SparkSession, path: str | None, domain: list[str]) -> DataFrame | None:
+    """Checked overrides of a JSONL file, or None where no path is given."""
+    if path is None:
+        return None
+    require_inputs(spark, path)
+    return check_overrides(read_jsonl(spark, path, "scenario_id string, moral_categories array<string>", empty_ok=True), domain)
 
 
 def load_document(path: str) -> dict:
@@ -78,17 +119,17 @@ def nested_or_flat(df: DataFrame, name: str, parent: str) -> Column:
 def read_cases(spark: SparkSession, path: str, source_format: str, prefix: str, with_labels: bool, scenario: str = "scenario", response: str | None = None, label: str = "label") -> DataFrame:
     """Cases with ids, routes and group ids; labels are read only on request, and then nothing else private is."""
     if source_format == "csv":
-        raw = read_csv(spark, path, (scenario, response or "excuse"))
+        raw = read_csv(spark, path, (scenario, response or "excuse"), with_place=True)
         response = response or "excuse"
     elif source_format == "jsonl":
-        raw = read_jsonl(spark, path, f"`{scenario}` string, response string, excuse string, `{label}` string")
+        raw = read_jsonl(spark, path, f"`{scenario}` string, response string, excuse string, `{label}` string", with_place=True)
         raw = raw.withColumn("_response", F.coalesce("response", "excuse"))
         response = "_response"
     else:
         raise ValueError(f"unknown source format {source_format!r}")
-    own = raw.withColumn("_at", F.monotonically_increasing_id())
+    # In the order of files by name and of lines in each, whatever the order in which their parts are read.
     n = raw.count()
-    own = with_ordinal(own, "_at").withColumn("target_id", padded_id(prefix, F.col("source_idx"), n))
+    own = with_ordinal(raw, f"{PLACE}.file", f"{PLACE}.block", f"{PLACE}.at").drop(PLACE).withColumn("target_id", padded_id(prefix, F.col("source_idx"), n))
     if with_labels:
         return own.select("target_id", "source_idx", lenient_label(F.col(label)).alias("gold_verdict"))
     text = own.select("target_id", "source_idx", collapse(F.col(scenario)).alias("scenario"), collapse(F.col(response)).alias("excuse"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomtext.operators.constraints import ConstraintError, enforce
 from loomtext.operators.joins import relation_diff
 from loomtext.operators.metrics import row_digest
+from loomtext.sources.scratch import path_exists
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -39,13 +40,10 @@ def append(df: DataFrame, path: str) -> None:
 def ensure_written(df: DataFrame, path: str) -> bool:
     """Writes what is not there yet; what is there must be equal. True if it was written."""
     spark = df.sparkSession
-    try:
-        there = spark.read.schema(df.schema).parquet(path)
-    except Exception as e:  # the path's absence is an analysis error
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not path_exists(spark, path):
         df.write.parquet(path)
         return True
+    there = spark.read.schema(df.schema).parquet(path)
     enforce(relation_diff(there.select(*df.columns), df).limit(5), f"{path} holds other rows")
     return False
 

@@ -8,17 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.operators.joins import pending
 from loomtext.sources.readers import read_completed
+from loomtext.sources.scratch import path_exists
 
 
 def run_pending(inputs: DataFrame, path: str, key: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Scores inputs whose key is not in the checkpoint table and appends them; the scorer is not called if none is."""
     spark = inputs.sparkSession
-    try:
-        todo = pending(inputs, read_completed(spark, path, key), key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        todo = inputs
+    todo = pending(inputs, read_completed(spark, path, key), key) if path_exists(spark, path) else inputs
     if not todo.isEmpty():
         score(todo).write.mode("append").parquet(path)
     return read_completed(spark, path, key)

@@ -198,7 +198,7 @@ def test_scoring_is_blind_and_deterministic(spark):
     assert a.where("abs(probability_0 + probability_1 - 1) > 1e-12 OR predicted_verdict <> CASE WHEN label_logprob_0 >= label_logprob_1 THEN 0 ELSE 1 END").isEmpty()
     assert sorted(map(str, a.collect())) == sorted(map(str, S.score_verdicts(d.repartition(5), S.Deterministic, "system").collect()))
     with pytest.raises(Exception, match="tokens"):
-        S.score_verdicts(d, lambda: S.Deterministic(max_input=1), "system", key="short").collect()
+        S.score_verdicts(d, lambda: S.Deterministic(max_input=1), "system").collect()
     g = S.generate_texts(d, S.Deterministic, "system", seed=3)
     assert g.where("hit_max_new_tokens").isEmpty() and g.count() == 30
     assert S.enough_sentences("A. B!", 2) and not S.enough_sentences("A. B", 2)
