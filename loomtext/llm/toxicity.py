@@ -32,6 +32,9 @@ table gives no rows; kept columns named score or predicted are replaced.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -280,6 +283,16 @@ def disguises(word: str, insert: str = "xzq") -> list[str]:
 
 
 def train(texts: list[tuple[str | None, int]], landmarks: int = LANDMARKS, clean_landmarks: int = CLEAN_LANDMARKS, ridge: float = RIDGE, rounds: int = 5, toxic_weight: float = TOXIC_WEIGHT) -> Model:
+    """A model of (text, label) rows. What training held is given back to the system: the driver goes on for long."""
+    try:
+        return _trained(texts, landmarks, clean_landmarks, ridge, rounds, toxic_weight)
+    finally:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def _trained(texts: list[tuple[str | None, int]], landmarks: int, clean_landmarks: int, ridge: float, rounds: int, toxic_weight: float) -> Model:
     flat = Model(np.zeros(CODES**3, np.int64), np.zeros((1, 1), np.float32), np.zeros(1), 0.0, np.array([*[0.0] * (TOP + 1), -35.0]))
     if len({y for _, y in texts}) < 2:
         return flat
