@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,11 +55,52 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def connected(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
-    """(node, component) of the graph with rows (a, b); the component is its smallest node.
-
-    Alternating large-star and small-star passes over the edge table, each materialised in the shared folder, until
-    no edge changes; no links reach the driver, only their count and a checksum. A hub with very many neighbours is
+#: Edges that a task of ``connected`` holds at once.
+MOST_EDGES = 1 << 20
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the edges (a, b): each node but the smallest of its component, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        least = np.minimum(root[x], root[y])
+        for end in (root[x], root[y]):
+            np.minimum.at(root, end, least)
+        while (root[root] != root).any():
+            root = root[root]
+    leaf = root != np.arange(len(nodes))
+    return nodes[leaf], nodes[root[leaf]]
+
+
+def _contract(most: int):
+    """Edges (a, b) -> stars of the components that a task's edges form, ``most`` edges at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = b = np.zeros(0, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, most):
+                part = batch.slice(k, most)
+                a, b = (np.concatenate([x, part.column(c).to_numpy()]) for c, x in enumerate((a, b)))
+                if len(a) >= most:
+                    a, b = stars(a, b)
+                if len(a) > most // 2:  # what still is large would be gone through again and again
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    a = b = np.zeros(0, np.int64)
+        a, b = stars(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def connected(edges: DataFrame, name: str = "cc", rounds: int = 60, most: int = MOST_EDGES) -> DataFrame:
+    """(node, component) of the graph with rows (a, b) of type long, for each node that is not its component's smallest;
+    the component is that smallest node.
+
+    Each task first contracts what it holds of the edge table to stars. While the table as a whole is not one of stars,
+    large-star and small-star passes over it follow, and are contracted again; each round is materialised in the shared
+    folder, and only the number of nodes that are out of place reaches the driver. A hub with very many neighbours is
     held by aggregation (``min``) and a join that Spark can split, never by a list.
     """
 
@@ -74,15 +118,14 @@ def connected(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame
         linked = e.join(m, "a")
         return linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(m.select("a", F.col("m").alias("b")))
 
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    e, before = edges.where("a <> b").select("a", "b").distinct(), None
+    def misplaced(e):
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select("b", F.lit(0), F.lit(1)).toDF("node", "up", "down"))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").agg(F.count("*")).first()[0]
+
+    e = edges.select("a", "b")
     for k in range(rounds):
-        e = stored(small(large(e).where("a <> b")).where("a <> b").distinct(), f"{name}-{k}")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    m = e.groupBy("a").agg(F.min("b").alias("component"))
-    return nodes.join(m, nodes["node"] == m["a"], "left").select("node", F.coalesce("component", "node").alias("component"))
+        e = stored(e.mapInArrow(_contract(most), "a long, b long"), f"{name}-{k}")
+        if not misplaced(e):
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        e = small(large(e).where("a <> b")).where("a <> b").distinct()
+    raise RuntimeError("components did not settle")

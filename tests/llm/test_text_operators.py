@@ -132,6 +132,32 @@ def test_jaccard_repeated_rows_nulls_and_empty(spark):
     assert jaccard.near_duplicates(docs.limit(0), k=3).collect() == []
 
 
+def _components(edges):
+    least = {}
+    def root(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        least[y] = x
+    return {x: root(x) for x in list(least) if root(x) != x}
+
+
+@pytest.mark.parametrize("most", [8, 1 << 20])
+def test_components_of_chains_hubs_and_loops(spark, most):
+    rng = random.Random(9)
+    chain = list(range(1000, 1400))
+    rng.shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((7, x) for x in range(5000, 5300)), *((x, 5299) for x in range(6000, 6050)), (3, 3), (9, 8), (8, 9), (9, 8), (-4, 2**62)]
+    edges += [(rng.randrange(10_000, 10_400), rng.randrange(10_000, 10_400)) for _ in range(220)]
+    rng.shuffle(edges)
+    found = common.connected(spark.createDataFrame(edges, "a long, b long").repartition(5), most=most).collect()
+    assert len(found) == len({r["node"] for r in found})
+    assert {r["node"]: r["component"] for r in found} == _components(edges)
+    assert common.connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_forest_spans_the_passing_pairs():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
