@@ -592,15 +592,20 @@ def scored_with_fake(spark, sf):
     return J.late_labels(scored(spark, sf), labels).select("target_id", "predicted_verdict", "correct", F.round("gold_probability", 9).alias("gold_probability"))
 
 
-@query("generated_and_parsed")
+#: The stand-in stops at its fourth sentence, which are nine words each.
+_GENERATED = f"""WITH {_SIGNALS}, p AS (SELECT *, {_BLOCK} AS b FROM f WHERE input_format <> 'ambiguous')
+SELECT target_id, ('0x' || substr(sha256(b || chr(0) || (source_idx + 5)), 1, 2))::INTEGER % 2 AS prediction, 'final_marker' AS parse_method,
+least(len(regexp_extract_all('[system] ' || {q(M.SYSTEM)} || ' [user] ' || b, '\\S+')), 4096) AS input_token_count, 36::BIGINT AS generated_token_count, false AS hit_max_new_tokens FROM p"""
+
+
+@query("generated_and_parsed", _GENERATED)
 def generated_and_parsed(spark, sf):
+    """Texts of the stand-in generator, each row by its own seed, and the verdicts parsed from them."""
     g = S.generate_texts(public(spark, sf).withColumnRenamed("block", "prompt"), S.Deterministic, M.SYSTEM, seed=5)
     g = P.with_verdict(g, "raw_output", "v")
     return g.select("target_id", "v.prediction", "v.parse_method", "input_token_count", "generated_token_count", "hit_max_new_tokens")
 
 
-
-
 # ---- sources, sinks, resume
 
 

@@ -36,6 +36,6 @@ def test_query_matches_its_sql(spark, oracle, name):
 
 def test_queries_without_sql_run(spark):
     names = set(catalogue.queries()) - set(catalogue.oracle_sql())
-    assert names == {"seed_cover", "generated_and_parsed"}
+    assert names == {"seed_cover"}
     for name in names:
         assert catalogue.queries()[name](spark, SF).count() > 0
