@@ -16,7 +16,7 @@ digest of the set; everything below works on classes, so copies are never paired
    is emitted is a spanning forest of the passing pairs of each list, never all pairs.
 3. Verification. Each forest edge is verified on the two whole sets. Where edges fail, the lists are gone through once
    more and all passing pairs between different verified components are verified, so that no link is lost.
-4. Components by alternating star contraction over verified edges.
+4. Components of verified edges: contracted within tasks, then by alternating star passes where that is not enough.
 
 A frequent shingle's list is a run of fixed-size records of the classes that have it in their prefix; one that is
 common enough to be hot comes last in the order, so it is in a prefix only of sets made of such shingles.
