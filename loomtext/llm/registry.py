@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "suffixdedup", "jaccard", "decontam", "media", "mixing", "linededup", "urlfilter", "chat", "warc"]
+MODULES = ["toxicity", "suffixdedup", "jaccard", "decontam", "media", "mixing", "linededup", "urlfilter", "chat", "warc", "centroids", "whitening", "tokenfiles"]
 
 
 def _all(name: str) -> dict:
