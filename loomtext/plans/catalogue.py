@@ -14,9 +14,12 @@ from loomtext.operators import joins as J
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as A
 from loomtext.operators import normalize as N
+from loomtext.operators import rawrows as K
 from loomtext.operators import routing as R
 from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
+from loomtext.operators import validators as V
+from loomtext.plans import stages
 from loomtext.sources import readers, writers
 from loomtext.sources.scratch import fresh_path, materialized, widened
 from loomtext.streaming.resume import run_pending
@@ -402,6 +405,61 @@ def input_violations(spark, sf):
     return N.normalize_inputs(derived(spark, sf, _RAW_INPUTS), "duty_role", "cases")[1]
 
 
+#: Skill lines: own, nested and text keys, a null or empty key beside a nested one, labels that are there though null.
+_SKILL_LINES = """SELECT o_orderkey AS k, concat(CASE o_orderkey % 8
+    WHEN 0 THEN concat('{"source_idx": ', CAST(o_orderkey AS STRING), ', "target_id": "T', CAST(o_orderkey AS STRING), '", "scenario": "\\\\t s ", "excuse": "e"')
+    WHEN 1 THEN concat('{"source_reference": {"source_idx": ', CAST(o_orderkey AS STRING), ', "target_id": "T', CAST(o_orderkey AS STRING), '"}, "input": {"scenario": "a", "excuse": " b"}, "scenario": "not this"')
+    WHEN 2 THEN concat('{"source_idx": " ', CAST(o_orderkey AS STRING), ' ", "target_id": "T', CAST(o_orderkey AS STRING), '", "input": "no object", "scenario": "c", "excuse": "d"')
+    WHEN 3 THEN concat('{"source_idx": null, "source_reference": {"source_idx": ', CAST(o_orderkey AS STRING), ', "target_id": "T"}, "scenario": "e", "excuse": "f"')
+    WHEN 4 THEN concat('{"source_idx": ', CAST(o_orderkey AS STRING), ', "target_id": "", "source_reference": {"target_id": "T"}, "scenario": 0, "excuse": "g"')
+    WHEN 5 THEN concat('{"source_idx": ', CAST(o_orderkey AS STRING), ', "target_id": "T", "label": null, "scenario": "h", "excuse": "i"')
+    WHEN 6 THEN concat('{"source_idx": "', CAST(o_orderkey AS STRING), '.5", "target_id": "T", "input": {"gold": 1, "scenario": "j", "excuse": []}')
+    ELSE '[{"source_idx": 1' END, CASE WHEN o_orderkey % 8 = 7 THEN '}]' ELSE concat(', "input_format": "', CASE WHEN o_orderkey % 2 = 0 THEN 'request' ELSE 'duty_role' END, '", "skill_description": "Assess it."}') END) AS json
+FROM orders"""
+_LABEL_LINES = """SELECT o_orderkey AS k, CASE o_orderkey % 3
+    WHEN 0 THEN concat('{"source_idx": ', CAST(o_orderkey AS STRING), ', "target_id": null, "label": ', CAST(o_custkey % 2 AS STRING), '}')
+    WHEN 1 THEN concat('{"source_reference": {"source_idx": "', CAST(o_orderkey AS STRING), '"}, "gold_verdict": null, "gold": "', CAST(o_custkey % 2 AS STRING), '"}')
+    ELSE concat('{"source_idx": ', CAST(o_orderkey AS STRING), ', "target_id": "T', CAST(o_orderkey AS STRING), '", "gold_verdict": "", "gold_label": ', CAST(o_custkey % 2 AS STRING), '}') END AS json
+FROM orders"""
+
+
+@query("raw_row_problems", f"WITH k AS ({_SKILL_LINES}) SELECT k, ['', '', '', 'no_source_idx', 'no_target_id,incomplete', 'leaks_labels', 'bad_source_idx,incomplete,leaks_labels', 'no_object'][k % 8 + 1] AS problems FROM k")
+def raw_row_problems(spark, sf):
+    """Keys that are absent, null or empty are told apart row by row."""
+    d = K.skill_rows(derived(spark, sf, _SKILL_LINES), keep=("k",))
+    return d.select("k", F.array_join("problems", ",").alias("problems"))
+
+
+@query("frozen_raw_queries", f"WITH k AS ({_SKILL_LINES}) SELECT 'T' || k AS target_id, k AS source_idx, CASE WHEN k % 2 = 0 THEN 'request' ELSE 'duty_role' END AS input_format, ['s', 'a', 'c'][k % 8 + 1] AS scenario, ['e', 'b', 'd'][k % 8 + 1] AS excuse, CAST(o_custkey % 2 AS INTEGER) AS gold_verdict FROM k JOIN orders ON k = o_orderkey WHERE k % 8 < 3")
+def frozen_raw_queries(spark, sf):
+    """Raw skill and label lines joined strictly; keys are the row's own, nested, or text."""
+    lines = [derived(spark, sf, t).where("k % 8 < 3").select("json") for t in (_SKILL_LINES, _LABEL_LINES)]
+    out = stages.freeze_queries(*lines)
+    return out["queries"].drop("skill_description").join(out["labels"].select("source_idx", "gold_verdict"), "source_idx")
+
+
+_EXEMPLAR_LINES = """SELECT concat('{"source_reference": {"scenario_id": "S', CAST(o_orderkey AS STRING), '", "source_idx": ', CAST(o_orderkey AS STRING), '}, "skill_description": "Assess it.", "moral_categories": ["a", "b"], "framework": "',
+  CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'own' END, '", "input": {"context": "', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('c', CAST(o_orderkey AS STRING)) END, '"}}') AS json FROM orders"""
+_EXEMPLAR_SOURCE = """SELECT concat(' S', CAST(o_orderkey AS STRING)) AS id, concat('c', CAST(o_orderkey AS STRING), ' ') AS context, 'one' AS action_1, 'two' AS action2, CASE o_orderkey % 4 WHEN 0 THEN '1' WHEN 1 THEN 'Option_2' WHEN 2 THEN 'a' ELSE 'b' END AS choice,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'said' ELSE ' ' END AS chosen_action, 'thought' AS thought_process, 'f' AS framework FROM orders"""
+
+
+@query("frozen_raw_exemplars", "SELECT 'S' || o_orderkey AS exemplar_id, o_orderkey AS source_idx, 'c' || o_orderkey AS context, CASE WHEN o_orderkey % 3 = 0 THEN 'said' WHEN o_orderkey % 4 IN (0, 2) THEN 'one' ELSE 'two' END AS chosen_action, 'a,b' AS moral_categories, 'f' AS framework FROM orders")
+def frozen_raw_exemplars(spark, sf):
+    d = stages.freeze_exemplars(derived(spark, sf, _EXEMPLAR_LINES), derived(spark, sf, _EXEMPLAR_SOURCE))
+    return d.select("exemplar_id", "source_idx", "context", "chosen_action", F.array_join("moral_categories", ",").alias("moral_categories"), "framework")
+
+
+@query("validator_counts", f"""WITH d AS (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1), l AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1)
+SELECT (SELECT count(*) FROM documents) AS "rows", (SELECT count(*) FROM d WHERE n > 1) AS left_twice, (SELECT count(*) FROM l WHERE n > 1) AS right_twice, (SELECT count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM l)) AS left_only,
+(SELECT count(*) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM d)) AS right_only, (SELECT count(*) FROM documents WHERE regexp_replace(coalesce(text, ''), '^{_WS}|{_WS}$', '', 'g') = '') AS empty_text, (SELECT count(*) FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de')) AS other_lang, (SELECT count(*) FROM labels WHERE toxic = 1) AS toxic""")
+def validator_counts(spark, sf):
+    """All rules of a pair of relations in one aggregation: row rules of both sides, keys twice, keys on one side only."""
+    d = V.counts(table(spark, sf, "documents"), "doc_id", {"empty_text": V.not_empty("text"), "other_lang": V.outside("lang", ("en", "de"))}, table(spark, sf, "labels"), {"toxic": F.col("toxic") == 1})
+    names = {V.TWICE_LEFT: "left_twice", V.TWICE_RIGHT: "right_twice", V.LEFT_ONLY: "left_only", V.RIGHT_ONLY: "right_only"}
+    return d.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in d.columns))
+
+
 # ---- prompts
 
 _BLOCK = "CASE input_format WHEN 'request' THEN 'Case format: request or excuse' || chr(10) || 'Scenario: ' || s || chr(10) || 'Proposed excuse: ' || e ELSE 'Case format: role or responsibility' || chr(10) || 'Role or context: ' || s || chr(10) || 'Proposed responsibility: ' || e END"
@@ -618,6 +676,25 @@ def csv_roundtrip(spark, sf):
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
 
 
+@query("csv_in_blocks", ORACLES["csv_roundtrip"])
+def csv_in_blocks(spark, sf):
+    """One file of all texts, quoted only where they must be, read in parts of 64 KB, most of which begin inside quotes."""
+    path = fresh_path(spark, "csv-one")
+    table(spark, sf, "documents").select("doc_id", "lang", "text").coalesce(1).write.csv(path, header=True, escape='"', emptyValue="")
+    d = readers.read_csv(spark, path, ("doc_id", "text"), split=1 << 16)
+    return d.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+
+
+_LINES = """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN concat('{"k": ', CAST(o_orderkey AS STRING), '}') WHEN 1 THEN concat('{"k": 1}{"k": ', CAST(o_orderkey AS STRING), '}') WHEN 2 THEN '{"k": 3} {"k": 4}'
+  WHEN 3 THEN '{"k": 6, "k": 7} x}' WHEN 4 THEN '{"k": "}{", "l": [{}, "]"]}' WHEN 5 THEN '[1]' WHEN 6 THEN '{"k": 1},"v": 0}' ELSE '' END AS line FROM orders"""
+
+
+@query("json_line_faults", f"WITH k AS ({_LINES}) SELECT o_orderkey, line FROM k WHERE o_orderkey % 8 IN (1, 2, 3, 5, 6)")
+def json_line_faults(spark, sf):
+    """Lines that are not one whole JSON object."""
+    return derived(spark, sf, _LINES).where(readers.not_objects(F.col("line"))).select("o_orderkey", "line")
+
+
 @query("jsonl_roundtrip", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS role, text FROM conversations")
 def jsonl_roundtrip(spark, sf):
     path = fresh_path(spark, "jsonl")

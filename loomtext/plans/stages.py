@@ -20,9 +20,11 @@ from loomtext.operators import constraints as C
 from loomtext.operators import joins as J
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as A
+from loomtext.operators import rawrows as N
 from loomtext.operators import routing as R
 from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
+from loomtext.operators import validators as V
 from loomtext.plans import jobs
 from loomtext.sources import writers as W
 from loomtext.sources.scratch import materialized
@@ -31,12 +33,12 @@ from loomtext.streaming.resume import run_pending
 
 def curate_cases(raw: DataFrame, prefix: str = "H", expected_rows: int = 0, out: str | None = None, overwrite: bool = False, allow_ambiguous: bool = False) -> dict[str, DataFrame]:
     """Raw cases (source_idx, scenario, excuse, label) -> public views by format, private labels, audit, counts."""
-    C.enforce(C.row_count(raw, expected_rows), "row count")
     n = raw.count()
+    if expected_rows and n != expected_rows:
+        raise C.ConstraintError(f"row count: {[(expected_rows, n)]}")
     cases = R.routed(raw).withColumn("target_id", X.padded_id(prefix, F.col("source_idx"), n)).withColumn("label", P.strict_label(F.col("label")))
     cases = materialized(cases, "cases")
-    C.enforce(cases.where((F.col("scenario") == "") | (F.col("excuse") == "")).select("source_idx"), "empty scenario or response")
-    C.enforce(cases.where("label IS NULL").select("source_idx"), "label is neither 0 nor 1")
+    V.check(cases, "source_idx", {"empty scenario or response": (F.col("scenario") == "") | (F.col("excuse") == ""), "label is neither 0 nor 1": F.col("label").isNull()}, unique=False)
     views = R.split_views(cases)
     for f in R.FORMATS:
         if leaked := C.leaked_columns(views[f], C.FORBIDDEN):
@@ -54,9 +56,7 @@ def curate_cases(raw: DataFrame, prefix: str = "H", expected_rows: int = 0, out:
 def categorize_dilemmas(raw: DataFrame, mode: str = "context", overrides: DataFrame | None = None, expected_rows: int = 0, seed_count: int = 16, seed: int = 0, tie_mode: str = "hash") -> dict[str, DataFrame]:
     """Dilemmas (scenario_id, source_idx, context, action1, action2) -> categorized, ambiguous, seeds, template, counts."""
     C.positive(seed_count=seed_count)
-    C.enforce(C.row_count(raw, expected_rows), "row count")
-    C.enforce(C.duplicates(raw, "scenario_id").orderBy("scenario_id"), "scenario ids given twice")
-    C.enforce(C.missing_fields(raw, "scenario_id", "scenario_id", "context", "action1", "action2"), "missing fields")
+    V.check(raw, "scenario_id", {"missing fields": V.not_empty("scenario_id", "context", "action1", "action2")}, expected_rows=expected_rows)
     if overrides is not None:
         C.enforce(overrides.select("scenario_id").join(raw.select("scenario_id"), "scenario_id", "left_anti"), "overrides of unknown rows")
     rows = raw.withColumn("context", X.collapse(F.col("context")))
@@ -146,54 +146,69 @@ def materialize_skills(requests: DataFrame, responses: DataFrame) -> dict[str, D
     return {"skills": kept, "usage": A.usage_totals(flat, "prompt_tokens", "completion_tokens", "total_tokens"), "failures": failures, "failing": failing}
 
 
-#: The names a label may have, the first that is filled counts: fixed values.
-LABELS = ("gold_verdict", "label", "gold", "gold_label")
-
-
 def freeze_queries(skills: DataFrame, labels: DataFrame, expected_rows: int = 0) -> dict[str, DataFrame]:
-    """Skills (source_idx, target_id, ...) and labels, joined strictly 1:1 -> public queries and private labels.
+    """Skills and labels, joined strictly 1:1 by source_idx -> public queries and private labels.
 
-    Skills may hold no label, at the top or in ``input``; the label is the first filled one of its four names.
+    Both are raw JSON lines (json), whose keys are looked at row by row (``rawrows``), or both are typed columns. Skills may
+    hold no label, at the top or in ``input``; the label is the first filled one of its four names.
     """
-    nested = skills.schema["input"].dataType.names if "input" in skills.columns and isinstance(skills.schema["input"].dataType, T.StructType) else []
-    if leaked := sorted(set(LABELS) & {*skills.columns, *nested}):
-        raise C.ConstraintError(f"skills hold labels: {leaked}")
-    names = [c for c in LABELS if c in labels.columns]
-    if not names:
-        raise C.ConstraintError(f"labels have none of the columns {LABELS}")
-    target = F.col("target_id") if "target_id" in labels.columns else F.lit(None).cast("string")
-    named = labels.select("source_idx", target.alias("label_target_id"), P.named_label(*(F.col(c) for c in names)).alias("gold_verdict"))
-    joined, bad = J.strict_one_to_one(skills, named, "source_idx")
-    C.enforce(bad, "skills and labels differ")
-    C.enforce(named.where("gold_verdict IS NULL").select("source_idx"), "labels that are neither 0 nor 1")
-    C.enforce(C.missing_fields(joined, "source_idx", "target_id"), "rows without a target id")
+    if "json" in skills.columns:
+        skills, named = materialized(N.skill_rows(skills), "skill-rows"), materialized(N.label_rows(labels), "label-rows")
+        rules = {f"skills: {p}": N.has_problem(p) for p in N.SKILL_PROBLEMS}
+        right = {f"labels: {p}": N.has_problem(p) for p in N.LABEL_PROBLEMS}
+        skills, checked, named_checked = skills.drop("leaked", "problems"), skills, named
+        named = named.drop("problems")
+    else:
+        nested = skills.schema["input"].dataType.names if "input" in skills.columns and isinstance(skills.schema["input"].dataType, T.StructType) else []
+        if leaked := sorted(set(N.LABELS) & {*skills.columns, *nested}):
+            raise C.ConstraintError(f"skills hold labels: {leaked}")
+        names = [c for c in N.LABELS if c in labels.columns]
+        if not names:
+            raise C.ConstraintError(f"labels have none of the columns {N.LABELS}")
+        target = F.col("target_id") if "target_id" in labels.columns else F.lit(None).cast("string")
+        named = labels.select("source_idx", target.alias("label_target_id"), P.named_label(*(F.col(c) for c in names)).alias("gold_verdict"))
+        checked, named_checked = skills, named
+        rules = {"rows without a target id": V.not_empty("target_id"), "unknown format": V.outside("input_format", R.FORMATS), "missing fields": V.not_empty("scenario", "excuse", "skill_description")}
+        right = {"labels that are neither 0 nor 1": F.col("gold_verdict").isNull()}
+    V.check(checked, "source_idx", rules, named_checked, right, expected_rows)
+    joined = skills.join(named, "source_idx")
     C.enforce(J.contradicted(joined, "target_id", "label_target_id").select("source_idx"), "target ids differ")
-    C.enforce(C.row_count(joined, expected_rows), "row count")
-    C.enforce(C.outside_domain(joined, "input_format", R.FORMATS).select("source_idx"), "unknown format")
-    C.enforce(C.missing_fields(joined, "source_idx", "scenario", "excuse", "skill_description"), "missing fields")
     return {"queries": joined.select(*R.PUBLIC, "skill_description"), "labels": joined.select("target_id", "source_idx", "input_format", "gold_verdict")}
 
 
+def _freeze_raw_exemplars(lines: DataFrame, source: DataFrame, expected_rows: int) -> DataFrame:
+    skills, own = materialized(N.exemplar_skill_rows(lines), "exemplar-skills"), materialized(N.exemplar_source_rows(source), "exemplar-source")
+    V.check(skills, "scenario_id", {p: N.has_problem(p) for p in N.EXEMPLAR_PROBLEMS}, own, {}, expected_rows, more_right=True)
+    d = skills.drop("problems").join(own, "scenario_id")
+    d = d.withColumn("chosen_action", P.chosen_action(F.col("chosen_action"), F.col("choice"), F.col("action1"), F.col("action2")))
+    differs = (F.col("skill_context") != "") & (F.col("skill_context") != F.col("context"))
+    V.check(d, "scenario_id", {"missing fields": V.not_empty("context", "action1", "action2", "thought_process"), "contexts differ": differs, "choices that cannot be resolved": F.col("chosen_action").isNull()})
+    framework = F.when(F.col("source_framework") != "", F.col("source_framework")).otherwise(F.col("skill_framework"))
+    return d.select(F.col("scenario_id").alias("exemplar_id"), "scenario_id", "source_idx", framework.alias("framework"), "moral_categories", "skill_description", "context", "action1", "action2", "chosen_action", "thought_process")
+
+
 def freeze_exemplars(skills: DataFrame, source: DataFrame, expected_rows: int = 0) -> DataFrame:
-    """Exemplar skills (scenario_id, context, ...) looked up in their source: chosen action and thought process join."""
+    """Exemplar skills (scenario_id, context, ...) looked up in their source: chosen action and thought process join.
+
+    Where skills are raw JSON lines (json), ``source`` holds the text columns of a CSV, two of which may have other names, and
+    an exemplar's id is its scenario's.
+    """
+    if "json" in skills.columns:
+        return _freeze_raw_exemplars(skills, source, expected_rows)
     own = source.select("scenario_id", F.col("context").alias("source_context"), *(c for c in source.columns if c in ("choice", "chosen_action", "thought_process")))
-    joined, bad = J.strict_lookup(skills, own, "scenario_id")
-    C.enforce(bad, "exemplars without one source row")
-    C.enforce(J.mismatches(joined, "context", "source_context").select("scenario_id"), "contexts differ")
-    C.enforce(C.row_count(joined, expected_rows), "row count")
+    V.check(skills, "scenario_id", {}, own, {}, expected_rows, unique=False, more_right=True)
+    C.enforce(C.duplicates(own, "scenario_id"), "source rows given twice")
+    joined = skills.join(own, "scenario_id")
     out = joined.withColumn("chosen_action", P.chosen_action(F.col("chosen_action"), F.col("choice"), F.col("action1"), F.col("action2")))
-    C.enforce(out.where("chosen_action IS NULL").select("scenario_id"), "choices that cannot be resolved")
+    V.check(out, "scenario_id", {"contexts differ": (F.coalesce("context", F.lit("")) != "") & (F.coalesce("source_context", F.lit("")) != "") & (F.col("context") != F.col("source_context")), "choices that cannot be resolved": F.col("chosen_action").isNull()}, unique=False)
     out = O.with_ordinal(out.drop("source_context", "choice"), "scenario_id", name="_k", start=1)
     return out.withColumn("exemplar_id", F.format_string("exemplar_%06d", "_k")).drop("_k")
 
 
 def _checked(public: DataFrame, labels: DataFrame, expected_rows: int) -> None:
-    C.enforce(C.row_count(public, expected_rows), "row count")
     if leaked := C.leaked_columns(public, C.FORBIDDEN):
         raise C.ConstraintError(f"public columns hold {leaked}")
-    C.enforce(C.duplicates(public, "target_id"), "public ids given twice")
-    C.enforce(C.duplicates(labels, "target_id"), "label ids given twice")
-    C.enforce(J.key_set_diff(public, labels, "target_id"), "public and label ids differ")
+    V.check(public, "target_id", {}, labels, {}, expected_rows)
 
 
 def evaluate_generated(queries: DataFrame, labels: DataFrame, make: Callable[[], S.Generator], path: str, expected_rows: int = 0, seed: int = 0) -> dict[str, DataFrame]:

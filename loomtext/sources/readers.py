@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +14,8 @@ from loomtext.functions.text import collapse, group_id, padded_id, strip_ends
 from loomtext.operators.constraints import ConstraintError, duplicates, enforce
 from loomtext.operators.routing import route_folded
 from loomtext.operators.selection import with_ordinal
-from loomtext.sources.scratch import path_exists
+from loomtext.sources import csvblocks
+from loomtext.sources.scratch import materialized, path_exists
 
 
 #: Where a row stands: its file, the start of the part of the file it was read with, and its place in the task that read it.
@@ -30,14 +32,50 @@ def require_inputs(spark: SparkSession, *paths: str) -> None:
         raise ConstraintError(f"inputs that are not there: {missing}")
 
 
-def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = (), with_place: bool = False) -> DataFrame:
-    """All columns as text; quoted line breaks, doubled quotes and a byte-order mark are understood; empty is not null."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\u0000", emptyValue="", encoding="UTF-8")
+def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = (), with_place: bool = False, split: int | None = None) -> DataFrame:
+    """All columns as text; quoted line breaks, doubled quotes and a byte-order mark are understood; empty is not null.
+
+    Large files are read by many tasks (``csvblocks``; ``split`` gives the bytes of a part, Spark's own setting else), and
+    files must agree in their header. Only where a file has quotes that do not hold to the rule of that scan does one task
+    read each file, which turns a carriage return and line feed inside quotes into a line feed.
+    """
+    rows, odd = csvblocks.records(spark, path, split)
+    if odd.isEmpty():
+        return _from_records(rows, required, with_place)
+    df = spark.read.csv(path, header=True, encoding="UTF-8", **csvblocks.OPTIONS)
     names = [c.lstrip("\ufeff") for c in df.columns]
+    _require_columns(names, required)
+    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in zip(df.columns, names, strict=True)), *([_place()] if with_place else []))
+
+
+def _require_columns(names: list[str], required: tuple[str, ...]) -> None:
     missing = [c for c in required if c not in names]
     if missing:
         raise ConstraintError(f"missing columns: {missing}")
-    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in zip(df.columns, names, strict=True)), *([_place()] if with_place else []))
+
+
+def _from_records(rows: DataFrame, required: tuple[str, ...], with_place: bool) -> DataFrame:
+    first = F.min_by("record", F.struct("block", "at"))
+    heads = rows.groupBy("file").agg(first.alias("head"), F.min(F.struct("block", "at")).alias("top"))
+    heads = materialized(heads, "csv-heads")
+    texts = [r[0] for r in heads.select("head").distinct().limit(2).collect()]
+    if not texts:
+        raise ConstraintError("no header in any file")
+    if len(texts) > 1:
+        raise ConstraintError("files have different headers")
+    head = heads.limit(1).select(F.col("head").alias("record"), "file", F.lit(0).alias("block"), F.lit(0).alias("at"))
+    width = texts[0].count(",") + 1  # at least as many as there are fields
+    cells = [c for c in csvblocks.parse(head, [f"c{k}" for k in range(width)]).drop("file", "block", "at").first()]
+    names = [f"_c{k}" if c in (None, "") else c for k, c in enumerate(cells[: 1 + max((k for k, c in enumerate(cells) if c is not None), default=0)])]
+    _require_columns(names, required)
+    if len(set(names)) < len(names):
+        raise ConstraintError(f"column names given twice: {names}")
+    tops = heads.select(F.col("file").alias("_f"), "top")
+    body = rows.join(F.broadcast(tops) if heads.count() <= csvblocks.MOST_BLOCKS else tops, (F.col("file") == F.col("_f")) & (F.struct("block", "at") == F.col("top")), "left_anti")
+    inner = [f"_{k}_" for k in range(len(names))]
+    d = csvblocks.parse(body, inner)
+    place = F.struct("file", "block", "at").alias(PLACE)
+    return d.select(*(F.coalesce(F.col(i), F.lit("")).alias(n) for i, n in zip(inner, names, strict=True)), *([place] if with_place else []))
 
 
 def line_numbers(spark: SparkSession, path: str) -> DataFrame:
@@ -48,33 +86,47 @@ def line_numbers(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(parts.withColumn("before", before), ["file", "block"]).select("value", "file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"))
 
 
-def _not_objects(value: Column) -> Column:
-    """Lines that are not blank and hold no JSON object. A key that stands twice at the top is no fault
-    (the last counts); two objects on one line are taken for the first."""
+def not_objects(value: Column) -> Column:
+    """Lines that are not blank and are not exactly one JSON object.
+
+    A line is put as the first value into an object whose last key is the line's own digest: only if the line is one whole
+    value does that object have these two keys. Text behind it, a second value or a bracket that closes too early end the
+    outer object, or its syntax, elsewhere. A key that stands twice is no fault (the last counts).
+    """
     own = strip_ends(value)
-    keys = F.json_object_keys(own)
-    whole = F.try_parse_json(own).isNotNull() | (F.size(F.array_distinct(keys)) < F.size(keys))
-    return (own != "") & (keys.isNull() | ~whole | ~own.endswith("}"))
+    digest = F.md5(own.cast("binary"))
+    around = F.json_object_keys(F.concat(F.lit('{"v":'), own, F.lit(',"'), digest, F.lit('":0}')))
+    # Spark's own parser also takes single quotes unless told not to.
+    sound = F.from_json(own, "_fault string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_fault", "allowSingleQuotes": "false"})
+    one = around.eqNullSafe(F.array(F.lit("v"), digest)) & F.json_object_keys(own).isNotNull() & sound["_fault"].isNull()
+    return (own != "") & ~F.coalesce(one, F.lit(False))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True, empty_ok: bool | None = None, with_place: bool = False) -> DataFrame:
-    """Rows of a declared schema. Lines that are no JSON object are an error that names file and line; blank lines (any white
-    space) are passed over. Strict: a source without rows is an error too."""
+    """Rows of a declared schema, stored: the source is read once. Lines that are not one JSON object each are an error that
+    names file and line; blank lines (any white space) are passed over. Strict: a source without rows is an error too."""
     s = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    lines = spark.read.text(path).select("value", _place())
-    if not lines.where(_not_objects(F.col("value"))).isEmpty():
-        bad = line_numbers(spark, path).where(_not_objects(F.col("value"))).orderBy("file", "line")
+    parsed = lambda d: d.select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in s.fields), *([PLACE] if with_place else []))
+    return _checked_lines(spark, path, lambda d: parsed(d.withColumn("r", F.from_json("value", s))), empty_ok if empty_ok is not None else not strict)
+
+
+def _checked_lines(spark: SparkSession, path: str, of: Callable[[DataFrame], DataFrame], empty_ok: bool) -> DataFrame:
+    """``of`` the lines (value, place) that hold an object, stored in one pass that also counts rows and faults."""
+    seen = Observation()
+    lines = spark.read.text(path).select("value", _place()).where(strip_ends(F.col("value")) != "").withColumn("_bad", not_objects(F.col("value")))
+    lines = lines.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("_bad").alias("bad"))
+    out = materialized(of(lines.where("NOT _bad")), "json-lines")
+    if seen.get["bad"]:
+        bad = line_numbers(spark, path).where(not_objects(F.col("value"))).orderBy("file", "line")
         enforce(bad.select("file", "line", F.substring("value", 1, 80)), "lines that are no JSON object")
-    parsed = lines.where(strip_ends(F.col("value")) != "").select(PLACE, F.from_json("value", s).alias("r"))
-    out = parsed.select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in s.fields), *([PLACE] if with_place else []))
-    if not (empty_ok if empty_ok is not None else not strict) and out.isEmpty():
+    if not seen.get["rows"] and not empty_ok:
         raise ConstraintError(f"no rows in {path}")
     return out
 
 
-def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
-    """(json) lines as they are, for guards that must see which keys are present."""
-    return spark.read.text(path).where(strip_ends(F.col("value")) != "").withColumnRenamed("value", "json")
+def read_raw_json(spark: SparkSession, path: str, empty_ok: bool = True) -> DataFrame:
+    """(json) lines as they are, each one object, for guards and rules that must see which keys a row has."""
+    return _checked_lines(spark, path, lambda d: d.select(F.col("value").alias("json")), empty_ok)
 
 
 def read_overrides(spark: SparkSession, path: str | None, domain: list[str]) -> DataFrame | None:
