@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import collapse, strip_ends
 
-#: Fixed patterns of an explicit verdict, in rule order; the group is the verdict.
-_MARKS = r"(?:[`*_~]+\s*)*(?:\\boxed\s*\{\s*)?([01])(?:\s*\})?(?:\s*[`*_~]+)?"
+#: Patterns of an explicit verdict, in rule order; the group is the verdict: fixed values.
 EXPLICIT = (
-    ("final_marker", r"final\s+(?:answer|verdict)\s*(?::|=|-|\bis\b)?\s*" + _MARKS),
-    ("answer_marker", r"(?<!final\s)(?:answer|verdict)\s*(?::|=|-|\bis\b)\s*" + _MARKS),
+    ("final_marker", r"final\s+(?:answer|verdict)\s*(?::|=|-|\bis\b)?\s*(?:[`*_~]+\s*)*(?:\\boxed\s*\{\s*)?([01])(?:\s*\})?(?:\s*[`*_~]+)?"),
+    ("answer_marker", r"(?<!final\s)(?:answer|verdict)\s*(?::|=|-|\bis\b)\s*(?:[`*_~]+\s*)*(?:\\boxed\s*\{\s*)?([01])(?:\s*\})?(?:\s*[`*_~]+)?"),
     ("json_verdict", r"[\"']?(?:final_)?verdict[\"']?\s*:\s*([01])\b"),
 )
 #: Fixed pattern of a last line that is a verdict by itself.

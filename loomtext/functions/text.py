@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
+from functools import cache, reduce
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,12 +33,26 @@ def strip_ends(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"^{WS}+|{WS}+$", "")
 
 
-#: Letters whose case folding is not their lower case: fixed values of Unicode (those of living Latin and Greek text).
-FOLDS = {"ß": "ss", "ẞ": "ss", "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ǰ": "ǰ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """(characters, what each folds to) of those that fold to one character, and those that fold to several."""
+    one, several = {}, {}
+    for n in chain(range(0xD800), range(0xE000, 0x110000)):
+        c = chr(n)
+        f = c.casefold()
+        if f != c:
+            (one if len(f) == 1 else several)[c] = f
+    return "".join(one), "".join(one.values()), several
 
 
 def casefold(c: Column) -> Column:
-    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), FOLDS.items(), F.lower(c))
+    """Full case folding as Unicode has it. One pass over the characters; a second one only over texts with a character that
+    folds to several."""
+    alike, to, several = _folds()
+    t = F.translate(c, alike, to)
+    known = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in several.items()) + ")")
+    wide = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.element_at(known, x), x)), "")
+    return F.when(t.rlike("[" + "".join(several) + "]"), wide).otherwise(t)
 
 
 def starts_with_any(c: Column, prefixes: Iterable[str]) -> Column:
@@ -78,11 +93,19 @@ def prompt_digest(system: str, prompt: Column) -> Column:
     return sha256(F.concat(F.lit(system + "\n"), prompt))
 
 
+#: What is taken off generated texts: fixed values.
+SKILL_HEADING = r"(?iU)^\s*(?:#{1,4}\s*)?(?:skill description|skills?)\s*:\s*"
+QUOTED = r"""^(["'])(.*)\1$"""
+THINKING = r"(?is)<think>.*?</think>"
+SPECIAL = r"(?i)<\|[^>]+\|>|</?s>|<think>|</think>"
+RATIONALE_HEADING = r"(?iU)^\s*(?:reasoning|rationale)\s*:\s*"
+
+
 def clean_skill(c: Column) -> Column:
     """A leading heading goes, white space collapses, one pair of equal quotes around all goes."""
     t = strip_ends(c)
-    t = F.regexp_replace(t, rf"(?iU)^\s*(?:#{{1,4}}\s*)?(?:skill description|skills?)\s*:\s*", "")
-    return collapse(F.regexp_replace(collapse(t), r"""^(["'])(.*)\1$""", "$2"))
+    t = F.regexp_replace(t, SKILL_HEADING, "")
+    return collapse(F.regexp_replace(collapse(t), QUOTED, "$2"))
 
 
 def skill_checks(c: Column, least: int = 12, most: int = 40) -> Column:
@@ -92,9 +115,9 @@ def skill_checks(c: Column, least: int = 12, most: int = 40) -> Column:
 
 def strip_artifacts(c: Column) -> Column:
     """Closed thinking blocks, then special tokens, then a leading heading go; white space collapses."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<think>.*?</think>", " ")
-    t = F.regexp_replace(t, r"(?i)<\|[^>]+\|>|</?s>|<think>|</think>", " ")
-    return collapse(F.regexp_replace(t, rf"(?iU)^\s*(?:reasoning|rationale)\s*:\s*", ""))
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), THINKING, " ")
+    t = F.regexp_replace(t, SPECIAL, " ")
+    return collapse(F.regexp_replace(t, RATIONALE_HEADING, ""))
 
 
 def cap_rationale(c: Column, max_words: int = 80, max_sentences: int = 4) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.operators.selection import with_ordinal
+
 
 def key_set_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): keys on one side only; empty if the key sets are equal."""
@@ -60,15 +62,27 @@ def relation_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def ordered_diff(a: DataFrame, b: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """(ordinal, left, right): the places at which two numbered relations hold different rows, as JSON; null where one has
+    ended. Empty if they are equal as lists."""
+    names = [c for c in a.columns if c != ordinal]
+    row = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    l, r = a.select(ordinal, row.alias("left")), b.select(ordinal, row.alias("right"))  # noqa: E741
+    return l.join(r, ordinal, "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))
+
+
 def batch_results(metadata: DataFrame, output: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metadata with its output by custom_id, and the violations; sort by ``order`` at the sink."""
     return strict_one_to_one(metadata, output, "custom_id")
 
 
 def grid(spark, **axes) -> DataFrame:
-    """Every combination of the literal axes, with a task number from 0. Its size is fixed by the arguments."""
-    import itertools
-
-    names = list(axes)
-    rows = [(k, *map(str, combo)) for k, combo in enumerate(itertools.product(*axes.values()))]
-    return spark.createDataFrame(rows, ", ".join(["task int", *(f"{n} string" for n in names)]))
+    """Every combination of the axes in their order, with a task number from 0. An axis is a list of values or a relation of
+    one column; its distinct values count. Axes are small by their nature, their product need not be: it is numbered by
+    ranges."""
+    out = None
+    for name, axis in axes.items():
+        d = axis.toDF(name) if isinstance(axis, DataFrame) else spark.createDataFrame([(str(x),) for x in axis], f"{name} string")
+        d = d.select(F.col(name).cast("string").alias(name)).distinct()
+        out = d if out is None else out.join(F.broadcast(d), F.lit(True))
+    return with_ordinal(out, *axes, name="task").select(F.col("task").cast("int").alias("task"), *axes)

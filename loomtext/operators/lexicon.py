@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.operators.phrases import matched, table_of, words_by_category
+
 #: Categories with their descriptions, and the terms of each: fixed values.
 DESCRIPTIONS = {
     "life_and_lethal_harm": "Questions involving death, killing, preservation of life, or lethal force.",
@@ -70,7 +72,8 @@ def pattern(terms: list[str]) -> str:
 
 
 def keyword_matches(text: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """map<category, sorted distinct lower-case matches> of the categories that match."""
+    """map<category, sorted distinct lower-case matches> of the categories that match, by one pattern a category: for single
+    expressions and terms that are no finite patterns. ``categorized`` goes through ``phrases``, with the same result."""
     entries = []
     for name, terms in (lexicon or TERMS).items():
         found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern(terms)), F.lit(0)), F.lower)
@@ -84,13 +87,16 @@ def routing_text(mode: str, context: Column, *actions: Column) -> Column:
     return context if mode == "context" else F.concat_ws(" ", context, *actions)
 
 
-def categorized(rows: DataFrame, mode: str = "context", lexicon: dict[str, list[str]] | None = None, overrides: DataFrame | None = None) -> DataFrame:
+def categorized(rows: DataFrame, mode: str = "context", lexicon: dict[str, list[str]] | DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """``rows`` (scenario_id, context, actions) with matched_keywords, inferred and final categories and review flags.
 
-    ``overrides`` (scenario_id, moral_categories) replace what was inferred.
+    ``lexicon`` is a table (category, phrase, rank) or terms by category. ``overrides`` (scenario_id, moral_categories)
+    replace what was inferred.
     """
     text = routing_text(mode, F.col("context"), *(F.col(c) for c in ("action1", "action2") if c in rows.columns))
-    out = rows.withColumn("matched_keywords", keyword_matches(text, lexicon)).withColumn("inferred_categories", F.array_sort(F.map_keys("matched_keywords")))
+    phrases = lexicon if isinstance(lexicon, DataFrame) else table_of(rows.sparkSession, lexicon or TERMS)
+    out = words_by_category(matched(rows, text, phrases, key="scenario_id"), "matched_keywords")
+    out = out.withColumn("inferred_categories", F.array_sort(F.map_keys("matched_keywords")))
     if overrides is None:
         out = out.withColumn("_o", F.lit(None).cast("array<string>"))
     else:

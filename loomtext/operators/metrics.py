@@ -104,3 +104,10 @@ def row_digest(df: DataFrame) -> DataFrame:
     """(rows, digest): a digest of a table that does not depend on the order or the number of its files."""
     h = F.xxhash64(*df.columns)
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def ordered_digest(df: DataFrame) -> tuple[int, str]:
+    """(rows, digest) of a numbered relation: each row is hashed with its number, so that order counts, and the hashes are
+    summed, so that rows need not be in order to be read."""
+    r = row_digest(df).first()
+    return r["rows"], r["digest"]

@@ -44,17 +44,14 @@ def signals(scenario: Column, response: Column, fold: bool = False) -> list[Colu
     ]
 
 
-def outcome(rr: bool, dr: bool, rs: bool, ds: bool) -> int:
-    """The first of eight outcomes that holds (0..7)."""
-    if dr and not rr:
-        return 0 if rs and not ds else 1
-    if rr and not dr:
-        return 2 if ds and not rs else 3
-    if rs != ds:
-        return 4 if rs else 5
-    return 6 if rs else 7
-
-
+#: The outcome by what the response signals (nothing, request, duty, both: rows) and what the scenario does (likewise:
+#: columns): fixed values, as are the outcomes' names.
+TRUTH = (
+    (7, 4, 5, 6),
+    (3, 3, 2, 3),
+    (1, 0, 1, 1),
+    (7, 4, 5, 6),
+)
 OUTCOMES = [
     ("ambiguous", "duty_role_response_conflicts_with_request_scenario"),
     ("duty_role", "explicit_so_i_should_response"),
@@ -65,7 +62,7 @@ OUTCOMES = [
     ("ambiguous", "scenario_has_both_request_and_duty_role_signals"),
     ("ambiguous", "no_supported_textual_routing_rule"),
 ]
-#: The second router: same formats, fewer reasons.
+#: The second router's: same formats, fewer reasons.
 FOLDED_OUTCOMES = [
     ("ambiguous", "duty_response_conflicts_with_request_scenario"),
     ("duty_role", "explicit_duty_response"),
@@ -81,7 +78,7 @@ FOLDED_OUTCOMES = [
 def _route(scenario: Column, response: Column, outcomes: list[tuple[str, str]], fold: bool) -> Column:
     # One number of the four signals looks the outcome up, so that each signal stands in the plan once.
     code = sum((F.when(s, 1 << k).otherwise(0) for k, s in enumerate(signals(scenario, response, fold))), F.lit(0))
-    rows = [outcomes[outcome(*(bool(c >> k & 1) for k in range(4)))] for c in range(16)]
+    rows = [outcomes[TRUTH[c & 3][c >> 2]] for c in range(16)]
     fmt, reason = (F.get(F.array(*(F.lit(r[i]) for r in rows)), code) for i in (0, 1))
     return F.struct(fmt.alias("input_format"), reason.alias("routing_reason"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.operators.constraints import positive
+from loomtext.operators.draws import draws
 from loomtext.operators.lexicon import DESCRIPTIONS
 from loomtext.sources.scratch import materialized
 
@@ -87,9 +88,34 @@ def cover_candidates(rows: DataFrame, count: int, tie: Column, key: str = "scena
 
 
 def exact_ties(rows: DataFrame, seed: int, key: str = "scenario_id", order: str = "source_idx") -> DataFrame:
-    """(key, tie): consecutive draws of one seeded generator in source order. For small inputs: keys go to the driver."""
+    """(key, tie): consecutive draws of one seeded generator in source order, drawn where the rows are."""
+    numbered = with_ordinal(rows.select(key, order), order, name="_n")
+    drawn = draws(rows.sparkSession, seed, numbered.count())
+    return numbered.join(drawn, F.col("_n") == F.col("ordinal")).select(key, F.col("draw").alias("tie"))
+
+
+def exact_audit_sample(rows: DataFrame, size: int, seed: int, key: str = "source_idx", formats: tuple[str, str] = ("request", "duty_role")) -> DataFrame:
+    """The audit sample as one seeded generator draws it: the rows of each format in source order are shuffled in turn, the
+    first ones by quota taken, and those shuffled again. Places are shuffled on the driver (a number a row, one format at a
+    time), rows stay where they are; for small inputs."""
+    positive(size=size)
+    n = {f: 0 for f in formats} | {r[0]: r[1] for r in rows.where(F.col("input_format").isin(*formats)).groupBy("input_format").count().collect()}
+    total = sum(n.values())
+    target = min(size, total)
+    first = round(target * n[formats[0]] / total) if total else 0
     rng = random.Random(seed)
-    return rows.sparkSession.createDataFrame([(r[0], rng.random()) for r in rows.orderBy(order).select(key).toLocalIterator()], f"{key} {rows.schema[key].dataType.simpleString()}, tie double")
+    chosen: list[tuple[str, int]] = []
+    for f, quota in zip(formats, (first, target - first), strict=True):
+        places = list(range(n[f]))
+        rng.shuffle(places)
+        chosen += [(f, p) for p in places[:quota]]
+    rng.shuffle(chosen)
+    picked = rows.sparkSession.createDataFrame([(f, p, k) for k, (f, p) in enumerate(chosen, 1)], "_f string, _n long, audit_id int")
+    out = None
+    for f in formats:  # numbered without a task that sees all rows of a format
+        own = with_ordinal(rows.where(F.col("input_format") == f), key, name="_at").join(F.broadcast(picked.where(F.col("_f") == f)), F.col("_at") == F.col("_n")).drop("_at", "_f", "_n")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def seed_cover(rows: DataFrame, count: int, seed: int, mode: str = "hash", key: str = "scenario_id", domain=None) -> DataFrame:

@@ -14,15 +14,16 @@ from loomtext.operators import joins as J
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as A
 from loomtext.operators import normalize as N
+from loomtext.operators import phrases as H
 from loomtext.operators import rawrows as K
 from loomtext.operators import routing as R
 from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
 from loomtext.operators import validators as V
-from loomtext.plans import stages
+from loomtext.plans import jobs, stages
 from loomtext.sources import readers, writers
 from loomtext.sources.scratch import fresh_path, materialized, widened
-from loomtext.streaming.resume import run_pending
+from loomtext.streaming.resume import run_pending, stream_scores
 from loomtext.plans.relations import CASES, DILEMMAS, PREDICTIONS, RAW_OUTPUTS, SKILLS, derived
 
 QUERIES: dict = {}
@@ -233,11 +234,16 @@ FUNCTION_WORDS = {"en": ["the", "and", "of"], "de": ["der", "die", "und"], "fr":
 
 @query("function_word_counts", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS w FROM t), l(category, w) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c, ws in FUNCTION_WORDS.items() for w in ws) + ") SELECT l.category, count(DISTINCT doc_id) AS documents, count(*) AS matches FROM u JOIN l USING (w) GROUP BY 1")
 def function_word_counts(spark, sf):
-    out = None
-    for c, words in FUNCTION_WORDS.items():
-        d = table(spark, sf, "documents").select(F.lit(c).alias("category"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(L.pattern(words))).alias("k")).where("k > 0")
-        out = d if out is None else out.unionByName(d)
-    return out.groupBy("category").agg(F.count("*").alias("documents"), F.sum("k").cast("long").alias("matches"))
+    """One scan of the texts, whatever the number of categories."""
+    return H.counts_by_category(H.matched(widened(table(spark, sf, "documents").select("text")), F.col("text"), H.table_of(spark, FUNCTION_WORDS)))
+
+
+@query("lexicon_by_join", ORACLES["function_word_counts"])
+def lexicon_by_join(spark, sf):
+    """The same with a lexicon too large for a literal: filled up with phrases that no text has, it is joined by first word."""
+    extra = spark.range(H.MOST_PHRASES + 1).select(F.lit("none").alias("category"), F.format_string("zq%dzq zq", "id").alias("phrase"), F.lit(0).alias("rank"))
+    lexicon = H.table_of(spark, FUNCTION_WORDS).unionByName(extra)
+    return H.counts_by_category(H.matched(widened(table(spark, sf, "documents").select("doc_id", "text")), F.col("text"), lexicon, key="doc_id"))
 
 
 _OVERRIDES = "SELECT concat('S', CAST(o_orderkey AS STRING)) AS scenario_id FROM orders WHERE o_orderkey % 7 = 0"
@@ -253,6 +259,25 @@ def override_categories(spark, sf):
     return d.select("scenario_id", F.array_join("moral_categories", ",").alias("moral_categories"), F.array_join("inferred_categories", ",").alias("inferred_categories"), "human_override_applied")
 
 
+_MATCHED_ALL = _MATCHED.replace("regexp_extract_all(context, p)", "regexp_extract_all(context || ' ' || action1 || ' ' || action2, p)")
+
+
+@query("routing_text_matches", f"WITH {_MATCHED_ALL} SELECT scenario_id, category, string_agg(w, '|' ORDER BY w) AS words FROM x GROUP BY 1, 2")
+def routing_text_matches(spark, sf):
+    """Matches in the context and both actions."""
+    d = categorized(spark, sf, mode="context_actions").select("scenario_id", F.explode("matched_keywords").alias("category", "words"))
+    return d.withColumn("words", F.array_join("words", "|"))
+
+
+_DESCRIBED = ", ".join(f"({q(c)}, {q(t)})" for c, t in L.DESCRIPTIONS.items())
+
+
+@query("category_descriptions", f"WITH {_MATCHED}, t(category, description) AS (VALUES {_DESCRIBED}) SELECT scenario_id, category, description FROM n JOIN t USING (category)")
+def category_descriptions(spark, sf):
+    d = categorized(spark, sf).select("scenario_id", L.descriptions(F.col("moral_categories")).alias("m"))
+    return d.select("scenario_id", F.explode("m").alias("category", "description"))
+
+
 @query("unknown_overrides", f"WITH d AS ({DILEMMAS}), o AS ({_OVERRIDES}) SELECT scenario_id FROM o WHERE scenario_id NOT IN (SELECT scenario_id FROM d WHERE source_idx % 2 = 0)")
 def unknown_overrides(spark, sf):
     return overrides(spark, sf).select("scenario_id").join(derived(spark, sf, DILEMMAS).where("source_idx % 2 = 0").select("scenario_id"), "scenario_id", "left_anti")
@@ -573,6 +598,55 @@ def usage_totals(spark, sf):
     return A.usage_totals(derived(spark, sf, SKILLS), "prompt_tokens", "completion_tokens")
 
 
+_JOBS = """SELECT concat('job-', CAST(o_orderkey AS STRING)) AS job_key, CASE o_orderkey % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'expired' WHEN 3 THEN 'in_progress' ELSE 'cancelled' END AS status,
+  CASE o_orderkey % 3 WHEN 0 THEN 'b,a,b' WHEN 1 THEN 'a' ELSE NULL END AS codes FROM orders"""
+
+
+@query("job_error_codes", f"WITH k AS ({_JOBS}) SELECT job_key, CASE codes WHEN 'b,a,b' THEN 'a,b' ELSE coalesce(codes, '') END AS codes FROM k WHERE status IN ('failed', 'expired', 'cancelled')")
+def job_error_codes(spark, sf):
+    d = derived(spark, sf, _JOBS).withColumn("error_codes", F.split("codes", ","))
+    return A.error_codes(d).select("job_key", F.array_join("codes", ",").alias("codes"))
+
+
+@query("job_actions", f"WITH k AS ({_JOBS}) SELECT CASE WHEN o = 0 THEN 'request' ELSE job_key END AS job_key, status, CASE WHEN status = 'completed' THEN 'keep' WHEN status = 'in_progress' THEN 'wait' WHEN codes = 'a' AND o = 0 THEN 'retire' ELSE 'fail' END AS action FROM (SELECT *, length(job_key) % 2 AS o FROM k)")
+def job_actions(spark, sf):
+    """What follows for each of many jobs, by a join with the transitions."""
+    d = derived(spark, sf, _JOBS).withColumn("job_key", F.when(F.length("job_key") % 2 == 0, "request").otherwise(F.col("job_key")))
+    codes = F.transform(F.split("codes", ","), lambda c: F.when(c == "a", jobs.OVERSIZED).otherwise(c))
+    return jobs.job_actions(d.withColumn("error_codes", codes)).select("job_key", "status", "action")
+
+
+@query("one_row_report", f"WITH {_SOFT}, f AS (SELECT input_format, count(*) AS n, avg((predicted_verdict = gold_verdict)::INT) AS a FROM y GROUP BY 1), c AS (SELECT count(*) FILTER (gold_verdict = 1 AND predicted_verdict = 1)::DOUBLE AS tp, count(*) FILTER (gold_verdict = 0 AND predicted_verdict = 1)::DOUBLE AS fp, count(*) FILTER (gold_verdict = 1 AND predicted_verdict = 0)::DOUBLE AS fn FROM y) SELECT (SELECT count(*) FROM y) AS records, (SELECT round(avg((predicted_verdict = gold_verdict)::INT), 9) FROM y) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 9) AS f1_of_1, CAST(tp + fn AS BIGINT) AS support_of_1, (SELECT n FROM f WHERE input_format = 'request') AS requests, (SELECT round(a, 9) FROM f WHERE input_format = 'duty_role') AS duty_role_accuracy FROM c")
+def one_row_report(spark, sf):
+    """The whole summary as one row, with maps of the metrics by label and format."""
+    r = A.report(predictions(spark, sf), (), R.FORMATS)
+    of = lambda c, k: F.element_at(c, F.lit(k))
+    return r.select("records", F.round("accuracy", 9).alias("accuracy"), F.round(of("per_label", 1)["f1"], 9).alias("f1_of_1"), of("per_label", 1)["support"].alias("support_of_1"), of("by_input_format", "request")["records"].alias("requests"), F.round(of("by_input_format", "duty_role")["accuracy"], 9).alias("duty_role_accuracy"))
+
+
+@query("completed_rollup", "WITH d AS (SELECT lang, toxic FROM documents LEFT JOIN labels USING (doc_id)) SELECT lang, CAST(grouping(lang) AS INTEGER) AS overall, count(*) AS total, count(toxic) AS completed, count(*) FILTER (toxic = 0) AS correct FROM d GROUP BY ROLLUP (lang)")
+def completed_rollup(spark, sf):
+    """Rows without a label stay in the totals: a left join before the aggregation."""
+    l = table(spark, sf, "labels").select("doc_id", "toxic")  # noqa: E741
+    d = table(spark, sf, "documents").select("doc_id", "lang").join(l, "doc_id", "left").withColumn("completed", F.col("toxic").isNotNull()).withColumn("prediction", F.col("toxic"))
+    d = A.accuracy_rollup(d.withColumn("correct", F.coalesce(F.col("toxic") == 0, F.lit(False))), "lang")
+    return d.select("lang", "overall", "total", "completed", "correct")
+
+
+@query("batch_result_violations", f"WITH k AS ({_JOBS}) SELECT job_key AS key, CASE WHEN status = 'in_progress' THEN 'missing' ELSE 'duplicate_right' END AS problem FROM k WHERE status IN ('in_progress', 'expired')")
+def batch_result_violations(spark, sf):
+    d = derived(spark, sf, _JOBS).select(F.col("job_key").alias("custom_id"), "status")
+    output = d.where("status <> 'in_progress'").unionByName(d.where("status = 'expired'")).select("custom_id", F.lit(1).alias("answer"))
+    return J.batch_results(d, output)[1]
+
+
+@query("seed_bank_problems", f"SELECT 's' || o_orderkey AS seed_id, CASE o_orderkey % 4 WHEN 1 THEN 'wrong_format' WHEN 2 THEN 'empty_input' ELSE 'not_assess' END AS problem FROM orders WHERE o_orderkey % 4 > 0 UNION ALL SELECT count(*) || ' rows', 'wrong_size' FROM orders")
+def seed_bank_problems(spark, sf):
+    m = F.col("o_orderkey") % 4
+    seeds = table(spark, sf, "orders").select(F.concat(F.lit("s"), F.col("o_orderkey")).alias("seed_id"), F.when(m == 1, "duty_role").otherwise("request").alias("input_format"), F.lit("s").alias("scenario"), F.when(m == 2, " ").otherwise("e").alias("excuse"), F.when(m == 3, "Weigh it").otherwise("Assess it").alias("skill_description"))
+    return C.seed_bank(seeds, "request", 16)
+
+
 @query("format_failures", f"WITH k AS ({SKILLS}), b AS (SELECT source_idx FROM k WHERE source_idx % 6 NOT IN (0, 4)) SELECT source_idx, (SELECT count(*) FROM b) AS failures FROM b")
 def format_failures(spark, sf):
     d = derived(spark, sf, SKILLS).withColumn("c", X.skill_checks(X.clean_skill(F.col("raw")))).withColumn("ok", F.col("c.starts_with_assess") & F.col("c.word_count_in_range") & F.col("c.single_line"))
@@ -603,6 +677,17 @@ def idempotent_diff(spark, sf):
     return J.relation_diff(t.withColumn("toxic", F.when(F.col("doc_id") % 9 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))), t)
 
 
+@query("ordered_diff", "WITH o AS (SELECT doc_id, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS k, row_number() OVER (ORDER BY CASE WHEN doc_id % 10 = 3 THEN doc_id + 1 WHEN doc_id % 10 = 4 THEN doc_id - 1 ELSE doc_id END) - 1 AS m FROM labels) SELECT a.k AS ordinal, a.doc_id AS left_id, b.doc_id AS right_id FROM o a JOIN o b ON a.k = b.m WHERE a.doc_id <> b.doc_id OR a.toxic IS DISTINCT FROM b.toxic")
+def ordered_diff(spark, sf):
+    """The same rows in another order: every place at which the two lists differ."""
+    t = table(spark, sf, "labels").select("doc_id", "toxic")
+    m = F.col("doc_id") % 10
+    moved = O.with_ordinal(t.withColumn("_o", F.when(m == 3, F.col("doc_id") + 1).when(m == 4, F.col("doc_id") - 1).otherwise(F.col("doc_id"))), "_o", name="ordinal").drop("_o")
+    d = J.ordered_diff(O.with_ordinal(t, "doc_id", name="ordinal"), moved)
+    id_of = lambda c: F.get_json_object(c, "$.doc_id").cast("long")
+    return d.select("ordinal", id_of("left").alias("left_id"), id_of("right").alias("right_id"))
+
+
 @query("audit_quota", f"WITH {_SIGNALS}, n AS (SELECT count(*) AS total, count(*) FILTER (input_format = 'request') AS r FROM f WHERE input_format <> 'ambiguous'), s AS (SELECT *, least(100, total) AS t, least(100, total) * r / total::DOUBLE AS x FROM n) SELECT 'request' AS input_format, r AS n, CAST(round_even(x, 0) AS BIGINT) AS quota FROM s UNION ALL SELECT 'duty_role', total - r, CAST(t - round_even(x, 0) AS BIGINT) FROM s")
 def audit_quota(spark, sf):
     return O.audit_quota(split_public(spark, sf), 100)
@@ -613,10 +698,18 @@ def audit_sample(spark, sf):
     return O.audit_sample(split_public(spark, sf).select("source_idx", "input_format"), 100, 3)
 
 
+@query("exact_draws", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS place, true AS in_range FROM documents")
+def exact_draws(spark, sf):
+    """One generator's draws for all rows in order, made by tasks that go on from noted states; the draws themselves are
+    tested against a plain loop."""
+    t = O.with_ordinal(table(spark, sf, "documents").select("doc_id"), "doc_id", name="place")
+    tied = O.exact_ties(t, 11, "doc_id", "place")
+    return t.join(tied, "doc_id").select("doc_id", "place", F.col("tie").between(0, 1).alias("in_range"))
+
+
 @query("experiment_grid", "SELECT CAST(row_number() OVER (ORDER BY m, c, n_name) - 1 AS INTEGER) AS task, m AS model, c AS condition, n_name AS site FROM (VALUES ('m1'), ('m2')) a(m), (VALUES ('direct_verdict'), ('rationale_verdict')) b(c), nation")
 def experiment_grid(spark, sf):
-    sites = sorted(r[0] for r in table(spark, sf, "nation").select("n_name").collect())  # 25 rows by definition
-    return J.grid(spark, model=["m1", "m2"], condition=["direct_verdict", "rationale_verdict"], site=sites)
+    return J.grid(spark, model=["m1", "m2"], condition=["direct_verdict", "rationale_verdict"], site=table(spark, sf, "nation").select("n_name"))
 
 
 # ---- scoring with a deterministic stand-in
@@ -726,6 +819,26 @@ def idempotent_write(spark, sf):
     return spark.read.parquet(path).withColumn("written_again", F.lit(again))
 
 
+@query("file_sha256", "SELECT CAST(octet_length(encode(b)) AS BIGINT) AS size, sha256(b) AS sha256 FROM (SELECT string_agg(doc_id || ',' || quality || ',' || toxic || chr(10), '' ORDER BY doc_id) AS b FROM labels)")
+def file_sha256(spark, sf):
+    """The digest of a written file, read back in blocks."""
+    path = fresh_path(spark, "digest")
+    table(spark, sf, "labels").select("doc_id", "quality", "toxic").coalesce(1).sortWithinPartitions("doc_id").write.csv(path)
+    return readers.file_digests(spark, path).where("path LIKE '%.csv'").select("size", "sha256")
+
+
+@query("streamed_word_counts", "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+')) AS INTEGER) AS n_words FROM documents")
+def streamed_word_counts(spark, sf):
+    """Texts that arrive in files, half of them twice, measured by a stream that looks at no result it has written."""
+    source, d = fresh_path(spark, "arriving"), table(spark, sf, "documents").select("doc_id", "text")
+    d.repartition(4).write.parquet(source)
+    d.where("doc_id % 2 = 0").repartition(2).write.mode("append").parquet(source)
+    measure = lambda b: b.select("doc_id", X.count_words(F.col("text")).alias("n_words"))
+    path = fresh_path(spark, "measured")
+    stream_scores(spark, source, d.schema, fresh_path(spark, "stream"), path, "doc_id", measure, files_per_batch=3)
+    return readers.read_completed(spark, path, "doc_id")
+
+
 @query("manifest_counts", "SELECT 'documents' AS name, (SELECT count(*) FROM documents) AS rows UNION ALL SELECT 'labels', (SELECT count(*) FROM labels)")
 def manifest_counts(spark, sf):
     m = writers.manifest({n: table(spark, sf, n) for n in ("documents", "labels")})

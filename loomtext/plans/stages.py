@@ -5,7 +5,6 @@ Stages write only where a path is given. Constraints are enforced before anythin
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable, Mapping
 
@@ -27,12 +26,13 @@ from loomtext.operators import selection as O
 from loomtext.operators import validators as V
 from loomtext.plans import jobs
 from loomtext.sources import writers as W
-from loomtext.sources.scratch import materialized
+from loomtext.sources.scratch import fresh_path, materialized
 from loomtext.streaming.resume import run_pending
 
 
-def curate_cases(raw: DataFrame, prefix: str = "H", expected_rows: int = 0, out: str | None = None, overwrite: bool = False, allow_ambiguous: bool = False) -> dict[str, DataFrame]:
-    """Raw cases (source_idx, scenario, excuse, label) -> public views by format, private labels, audit, counts."""
+def curate_cases(raw: DataFrame, prefix: str = "H", expected_rows: int = 0, out: str | None = None, overwrite: bool = False, allow_ambiguous: bool = False, inputs: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Raw cases (source_idx, scenario, excuse, label) -> public views by format, private labels, audit, counts. The summary
+    beside the written views holds their digests and those of the files of ``inputs`` (path by name)."""
     n = raw.count()
     if expected_rows and n != expected_rows:
         raise C.ConstraintError(f"row count: {[(expected_rows, n)]}")
@@ -47,8 +47,8 @@ def curate_cases(raw: DataFrame, prefix: str = "H", expected_rows: int = 0, out:
     views["duplicates"] = A.duplicate_stats(cases, "scenario", "scenario", "excuse")
     if out:
         for name, df in views.items():
-            W.write_jsonl(df, os.path.join(out, name), "overwrite" if overwrite else "errorifexists")
-        W.write_document(W.manifest({k: views[k] for k in (*R.FORMATS, "ambiguous", "private")}, prefix=prefix, rows=n), os.path.join(out, "summary.json"))
+            W.write_jsonl(df, f"{out}/{name}", "overwrite" if overwrite else "errorifexists")
+        W.write_document(W.manifest({k: views[k] for k in (*R.FORMATS, "ambiguous", "private")}, inputs, prefix=prefix, rows=n), f"{out}/summary.json")
         W.fail_on_ambiguous(views["ambiguous"].select("target_id"), allow_ambiguous)
     return views
 
@@ -89,7 +89,11 @@ class _Shards(Mapping):
     """The request lines of each shard in order; only those asked for are on the driver, a shard at a time."""
 
     def __init__(self, requests: DataFrame):
-        self.requests, self.names = requests, [r[0] for r in requests.select("shard").distinct().orderBy("shard").collect()]
+        # Written by shard, so that asking for one reads its own piece.
+        path = fresh_path(requests.sparkSession, "requests")
+        requests.select("shard", "order", "request").repartition("shard").write.partitionBy("shard").parquet(path)
+        self.requests = requests.sparkSession.read.schema("order long, request string, shard string").parquet(path)
+        self.names = [r[0] for r in self.requests.select("shard").distinct().orderBy("shard").collect()]
 
     def __getitem__(self, name: str) -> list[str]:
         return [r[0] for r in self.requests.where(F.col("shard") == name).orderBy("order").select("request").collect()]
@@ -108,7 +112,7 @@ def send_requests(requests: DataFrame, client: jobs.BatchClient, path: str, stat
     written are not fetched again. ``save`` gets it after every step. With ``single_step`` one look and at most one
     submission are made, and None is returned until all is complete.
     """
-    spark, shards, state = requests.sparkSession, _Shards(materialized(requests.select("shard", "order", "request"), "requests")), state if state is not None else {}
+    spark, shards, state = requests.sparkSession, _Shards(requests.withColumn("order", F.col("order").cast("long"))), state if state is not None else {}
     state.setdefault("batches", {})
     while True:
         did = jobs.step(state, client, shards)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +17,11 @@ from loomtext.operators.constraints import ConstraintError, duplicates, enforce
 from loomtext.operators.routing import route_folded
 from loomtext.operators.selection import with_ordinal
 from loomtext.sources import csvblocks
-from loomtext.sources.scratch import materialized, path_exists
+from loomtext.sources.scratch import materialized, path_exists, read_text
 
 
+#: The batch that a completed row was written with.
+BATCH = "ledger_batch"
 #: Where a row stands: its file, the start of the part of the file it was read with, and its place in the task that read it.
 PLACE = "_place"
 
@@ -138,9 +142,8 @@ def read_overrides(spark: SparkSession, path: str | None, domain: list[str]) ->
 
 
 def load_document(path: str) -> dict:
-    """A small JSON document on the driver (a manifest or a state)."""
-    with open(path, encoding="utf-8") as f:
-        out = json.load(f)
+    """A small JSON document (a manifest or a state) from any file system that Spark knows."""
+    out = json.loads(read_text(SparkSession.active(), path))
     if not isinstance(out, dict):
         raise ConstraintError(f"{path} holds no JSON object")
     return out
@@ -157,8 +160,9 @@ def check_overrides(overrides: DataFrame, domain: list[str]) -> DataFrame:
 
 
 def read_completed(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The checkpoint table of a resumed run; a key that stands twice is an error."""
+    """The completed rows of all batches; a key that stands twice is an error."""
     df = spark.read.parquet(path)
+    df = df.drop(BATCH) if BATCH in df.columns else df
     enforce(duplicates(df, key), "completed keys given twice")
     return df
 
@@ -189,6 +193,46 @@ def read_cases(spark: SparkSession, path: str, source_format: str, prefix: str,
     return text.withColumn("input_format", r["input_format"]).withColumn("scenario_group_id", group_id(F.col("scenario")))
 
 
+def in_stored_order(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet relation with ``ordinal``: the place of each row in the order of its files by name and of the rows in each."""
+    rows = spark.read.parquet(path)
+    return with_ordinal(rows.select(*rows.columns, _place()), f"{PLACE}.file", f"{PLACE}.block", f"{PLACE}.at", name="ordinal").drop(PLACE)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (path, size, line) in the order of files and places -> (path, size, sha256)."""
+    now = digest = None
+    held = size = 0
+
+    def done() -> pa.RecordBatch:
+        if held < size:
+            digest.update(b"\n")  # the file ends with a line feed
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([size]), pa.array([digest.hexdigest()])], ["path", "size", "sha256"])
+
+    for b in batches:
+        for path, total, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if path != now:
+                if now is not None:
+                    yield done()
+                now, digest, held, size = path, hashlib.sha256(), -1, total
+            else:
+                digest.update(b"\n")
+            buffer = line.as_buffer()
+            digest.update(buffer)
+            held += 1 + buffer.size
+    if now is not None:
+        yield done()
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256) of each file under ``path``; the bytes stay on the executors."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, sha256) of each file under ``path``, stored. Files are read in blocks by many tasks; the lines of a file
+    meet in one task, in order, as SHA-256 asks for, which holds a line at a time."""
+    source = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    lines = source.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"), _place())
+    dealt = lines.repartition("path").sortWithinPartitions("path", f"{PLACE}.block", f"{PLACE}.at").select("path", "size", "line")
+    hashed = materialized(dealt.mapInArrow(_hashed, "path string, size long, sha256 string"), "file-digests")
+    # A scan passes over empty files; their names are in the listing that it was planned from.
+    same = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    names = spark.createDataFrame([(f,) for f in source.inputFiles()], "name string")
+    empty = names.join(hashed.select(same(F.col("path")).alias("_p")), same(F.col("name")) == F.col("_p"), "left_anti")
+    return hashed.unionByName(empty.select(F.col("name").alias("path"), F.lit(0).cast("long").alias("size"), F.lit(hashlib.sha256().hexdigest()).alias("sha256")))

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,6 +46,50 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written beside its place and renamed there, by the path's own file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    fs.mkdirs(target.getParent())
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+    finally:
+        out.close()
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        context.rename(beside, target, how)
+    except Py4JJavaError as e:
+        if "UnsupportedFileSystemException" not in str(e.java_exception):
+            raise
+        fs.delete(target, False)  # a store without renames that replace
+        fs.rename(beside, target)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read by the path's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders right under a folder, none if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def widened(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if its scan has fewer tasks than there are; a table of many files stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
