@@ -24,9 +24,12 @@ which then is as large as that text. Columns other than id and text are not read
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -41,25 +44,34 @@ from loomtext.llm.textvec import chunks, utf8
 
 END_ID = 1
 #: Ids of a shard, at least, where there are so many.
-SHARD = 1 << 20
+SHARD = 1 << 18
 #: A pair is frequent from here on; candidates a round; a round must save this share of the symbols for another to follow.
-LEAST, CANDIDATES, SAVES = 16, 16384, 1 / 64
+LEAST, CANDIDATES, SAVES = 16, 32768, 1 / 16
 SAMPLE = 256
+#: Bytes of text that are split into words at once.
+SLICE = 1 << 20
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4s6I")
-#: Words and bytes of words that an encoder keeps.
-MOST_WORDS, MOST_WORD_BYTES = 400_000, 16 << 20
+#: Words, bytes of words, and runs of letters or punctuation that an encoder keeps.
+MOST_WORDS, MOST_WORD_BYTES, MOST_PARTS = 1_000_000, 32 << 20, 400_000
 
 
 # ---- ids of texts
 
+#: Punctuation but apostrophes and the "<" of special tokens, Latin letters without combining marks, punctuation.
+_PUNCT = r"([!-&(-/:;=-@\[-`{-~]*)"
+_STOPS = b".,;:!?"
+_PLAIN = re.compile(_PUNCT + "([A-Za-zÀ-ÖØ-öø-ÿ]+)" + _PUNCT).fullmatch
+
 
 class Encoder:
     """Ids of whole texts, each followed by the end id.
 
     ``by_word`` asks the tokenizer once for each distinct run of bytes between ASCII white space and puts the answers
     together. That is the same for tokenizers whose pre-tokenizer drops white space and never looks across it, such as
-    the ``word_bpe`` vocabulary; others take whole texts.
+    the ``word_bpe`` vocabulary; others take whole texts. New words of Latin letters, with or without punctuation around
+    them, are split here and go straight to the tokenizer's model, if that gives the tokenizer's own answers on a few
+    probes; all others go through the whole tokenizer. Of the words known when there are too many, those used most stay.
     """
 
     def __init__(self, path: str, by_word: bool, end_id: int = END_ID):
@@ -67,36 +79,101 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.end_id = Tokenizer.from_file(path), by_word, end_id
-        self._forget()
-
-    def _forget(self) -> None:
+        self.letters = None
         self.known: dict[bytes | None, int] = {None: 0}
-        self.flat, self.starts, self.sizes = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.flat, self.starts, self.sizes, self.uses = np.array([end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
         self.bytes = 0
+        if by_word:
+            from tokenizers import pre_tokenizers
+
+            self.letters, self.model, self.parts = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), self.tokenizer.model, {}
+            probes = ["word", "Wörter", "ÉTÉ", "(as)", "no!?", "--Ñandú;", "a", "ÿ...", "Encyclopædia", "\"Straße\","]
+            if self._ids_of_words([w.encode() for w in probes]) != self._encode(probes):
+                self.letters = None
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed: bytes are nothing that Python's collector has to look through."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        """Keeps the half of the words that was used most, and the end id."""
+        words = list(self.known)
+        at = np.sort(1 + np.argsort(-self.uses[1:], kind="stable")[: len(words) // 2])
+        at = at[self.uses[at] > 1]
+        at = np.concatenate([[0], at[np.cumsum([len(words[k]) for k in at.tolist()]) <= MOST_WORD_BYTES // 2] if len(at) else at]).astype(np.int64)
+        self.known = {words[k]: n for n, k in enumerate(at.tolist())}
+        self.bytes = sum(len(w) for w in self.known if w)
+        sizes = self.sizes[at]
+        self.flat = _gather(self.flat, self.starts[at], sizes)
+        self.starts, self.sizes, self.uses = np.cumsum(sizes) - sizes, sizes, self.uses[at] // 2
+
+    def _part(self, run: bytes) -> bytes:
+        """Ids of a run of lower-case letters or of punctuation."""
+        out = self.parts.get(run)
+        if out is None:
+            if len(self.parts) > MOST_PARTS:
+                self.parts.clear()
+            text = run.decode()
+            mapped = text if run.isascii() else "".join(x for x, _ in self.letters.pre_tokenize_str(text))
+            out = self.parts[run] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return out
+
+    def _ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        if self.letters is None:
+            return self._encode([w.decode() for w in words])
+        out: list = []
+        other, part = [], self._part
+        for k, w in enumerate(words):
+            if w.isalpha():  # of bytes: ASCII letters only
+                out.append(part(w.lower()))
+            elif w[-1] in _STOPS and w[:-1].isalpha():
+                out.append(part(w[:-1].lower()) + part(w[-1:]))
+            elif m := _PLAIN(w.decode()):
+                out.append(b"".join([part(x.encode()) for x in (m[1], m[2].lower(), m[3]) if x]))
+            else:
+                other.append(k)
+                out.append(b"")
+        for k in range(0, len(other), 4096):
+            few = other[k : k + 4096]
+            for at, ids in zip(few, self._encode([words[x].decode() for x in few]), strict=True):
+                out[at] = ids
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = self._encode([w.decode() for w in words])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = self._ids_of_words(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.bytes += sum(map(len, words))
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, how many each has)."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many each has) of a column of strings; null is empty."""
+        texts = texts.fill_null("") if texts.null_count else texts
         if not self.by_word:
-            out = [x + [self.end_id] for x in self._encode([t.decode() for t in texts])]
-            return np.fromiter((i for x in out for i in x), np.uint32, sum(map(len, out))), np.fromiter(map(len, out), np.int64, len(out))
+            end = array("I", [self.end_id]).tobytes()
+            out = [x + end for x in self._encode(texts.to_pylist())]
+            return np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out)) // 4
+        collects = gc.isenabled()
+        gc.disable()  # millions of small objects and no cycle among them
+        try:
+            return self._by_word(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MOST_WORDS or self.bytes > MOST_WORD_BYTES:
             self._forget()
+        offsets, data = utf8(texts)
         words: list[bytes | None] = []
         upto = np.zeros(len(texts) + 1, np.int64)
-        for k, t in enumerate(texts):
-            words += t.split()
+        for k in range(len(texts)):
+            own = data[offsets[k] : offsets[k + 1]].tobytes()
+            # Capitals are lowered by the tokenizer; here it saves words. A special token is told by its case.
+            words += (own if self.letters is None or b"<|" in own else own.lower()).split()
             words.append(None)
             upto[k + 1] = len(words)
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
@@ -104,6 +181,7 @@ class Encoder:
         if len(unknown):
             self._learn(list(dict.fromkeys(words[k] for k in unknown.tolist())))
             at[unknown] = np.fromiter((self.known[words[k]] for k in unknown.tolist()), np.int64, len(unknown))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.sizes[at]
         before = np.concatenate([[0], np.cumsum(sizes)])
         return _gather(self.flat, self.starts[at], sizes), np.diff(before[upto])
@@ -296,9 +374,9 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "first", "n_ids", "doc_ids", "data"])
 
         for b in batches:
-            offsets, data = utf8(b.column(1))
-            for i, j in chunks(offsets, shard):
-                own, n = encode([data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, j)])
+            offsets, _ = utf8(b.column(1))
+            for i, j in chunks(offsets, min(SLICE, 4 * shard)):
+                own, n = encode(b.column(1).slice(i, j - i))
                 names.append(b.column(0).slice(i, j - i))
                 ids.append(own)
                 sizes.append(n)
