@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from loomtext.sources.scratch import fresh_path
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage ends there."""
+def stored(df: DataFrame, name: str, compression: str = "zstd", **options: str) -> DataFrame:
+    """``df`` written as Parquet (with the writer's ``options``) in the shared folder and read back: lineage ends there."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -54,6 +54,19 @@ def test_resampling():
     assert len(media.resample(np.zeros(0, np.int16), 3, 2)) == 0
 
 
+@pytest.mark.parametrize(("up", "down"), [(1, 2), (2, 3), (441, 800)])
+def test_tones_above_the_new_half_rate_go_and_those_below_stay(up, down):
+    n = np.arange(40_000)
+    size = lambda f: np.abs(media.resample(np.rint(20_000 * np.sin(2 * np.pi * f * n)).astype(np.int16), up, down)[200:-200].astype(float)).max()
+    half = up / down / 2
+    for above in (1.15 * half, 0.5 * (half + 0.5), 0.49):
+        assert size(above) < 60, (above, size(above))
+    assert abs(size(0.25 * half) / 20_000 - 1) < 0.05
+    flat = media.resample(np.full(999, -1234, np.int16), up, down)
+    assert set(flat.tolist()) == {-1234} and len(flat) == (999 * up + down // 2) // down
+    assert media.resample(np.array([32767, -32768] * 50, np.int16), 1, 1).tolist() == [32767, -32768] * 50
+
+
 def plain_pcm(codec, payload):
     """A sample at a time, by the codecs' definitions."""
     if codec == media.IMA:
@@ -83,7 +96,7 @@ def test_text_audio_round_trip(spark):
     docs = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
     files = media.store_text_audio(docs)
     stored = {r.doc_id: r.media for r in files.collect()}
-    for rate, plain in ((4000, lambda x: x[::2]), (16000, lambda x: [v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, (a + b) >> 1)])):
+    for rate, plain in ((8000, lambda x: x), (16000, lambda x: [v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, (a + b) >> 1)])):
         decoded = media.decode(files, ["doc_id", "n_bytes"], to_rate=rate)
         pcm = {r.doc_id: r.pcm for r in decoded.select("doc_id", "pcm").collect()}
         out = {r.doc_id: r for r in media.described(decoded).collect()}
@@ -110,7 +123,7 @@ def test_media_query_on_a_whole_table(spark):
         codec = media.CODECS[zlib.crc32(payload) % 3]
         r = out[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert r.feature == plain_feature(codec, media.QUERY_RATE, plain_pcm(codec, payload)[::2])
+        assert r.feature == plain_feature(codec, 8000, plain_pcm(codec, payload))
 
 
 def test_broken_media_is_told_apart(spark):
