@@ -5,7 +5,7 @@ Lines are the pieces of a text between line feeds, compared after trimming ASCII
 that hold it are merged by partial and final aggregation; a hot line is two sketches of fixed size in every task. Lines
 whose estimates are far above ``min_sites`` and ``min_texts`` are boilerplate, those far below either are not, and lines
 near a threshold get exact distinct counts. Texts whose lines, as compared and in order, are equal count as one, so the
-copies of a document alone do not make its lines boilerplate. Boilerplate lines of at least ``min_chars`` characters
+copies of a document alone do not make its lines boilerplate; ``classes`` can say so of near copies too. Boilerplate lines of at least ``min_chars`` characters
 are removed from every text that has them; the other lines stay as they are, in order. The exchange that decides
 carries hashes only. With ``spare_copies`` (off unless asked for) texts whose lines are those of another row too stay
 whole, so that removing near duplicates afterwards still sees them.
@@ -38,11 +38,15 @@ def key(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
 
 
-def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_table(docs: DataFrame, min_chars: int = MIN_CHARS, classes: DataFrame | None = None) -> DataFrame:
     """(id, text_hash, pos, a, b, site, body) of each line that is long enough; lines by hash only, written once."""
     keys = F.transform(F.split("text", "\n"), key)
     # Hashes of whole texts are made below the explosion, once a text and not once a line.
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.xxhash64(keys).alias("body"), keys.alias("keys"))
+    if classes is not None:
+        c = small_side(classes.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class"))
+        texts = texts.join(c, texts["id"].eqNullSafe(c["_id"]) & (texts["text_hash"] == c["_hash"]), "left")
+        texts = texts.select("id", "text_hash", "site", F.coalesce("class", "body").alias("body"), "keys")
     lines = texts.select("id", "text_hash", "site", "body", F.posexplode("keys").alias("pos", "line"))
     lines = lines.where(F.length("line") >= max(1, min_chars))
     return stored(lines.select("id", "text_hash", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), "site", "body"), "line-table")
@@ -65,24 +69,31 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TE
     return est.where(far).select("a", "b").unionByName(exact.where(" AND ".join(f"{c} >= {n}" for c, n in least.items())).select("a", "b"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, min_chars: int = MIN_CHARS, spare_copies: bool = False) -> DataFrame:
-    """``docs`` with ``text`` cut and n_lines, n_removed added; all rows and columns are kept, the two replace columns of their names."""
-    lines = line_table(docs, min_chars)
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, min_chars: int = MIN_CHARS, spare_copies: bool = False, classes: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``text`` cut and n_lines, n_removed added; all rows and columns are kept, whatever their names, but the
+    two replace columns of theirs.
+
+    ``classes`` (doc_id, text_hash, class; stored, a row a text) names texts that count as one though their lines differ, such
+    as near duplicates.
+    """
+    # The caller's columns travel as one, so that no name of theirs meets one of these.
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "doc_id", "source", "text")
+    lines = line_table(d, min_chars, classes)
     boiler = small_side(stored(spread(lines, min_sites, min_texts), "boilerplate"))
-    cut = lines.join(boiler, ["a", "b"]).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__t")).agg(F.collect_set("pos").alias("__cut"))
+    cut = lines.join(boiler, ["a", "b"]).groupBy(F.col("id").alias("cut_id"), F.col("text_hash").alias("cut_hash")).agg(F.collect_set("pos").alias("cut"))
     # Lines travel through the join as an array, so that what stays is taken from it by place, in time linear in the lines.
-    d = docs.withColumn("__xt", F.xxhash64("text")).withColumn("__lines", F.split("text", "\n")).drop("text")
-    out = d.join(cut, d["doc_id"].eqNullSafe(cut["__id"]) & (d["__xt"] == cut["__t"]), "left")
+    d = d.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+    out = d.join(cut, d["doc_id"].eqNullSafe(cut["cut_id"]) & (d["text_hash"] == cut["cut_hash"]), "left").select("row", "lines", "cut")
     if spare_copies:
-        whole = docs.select(F.xxhash64(F.transform(F.split("text", "\n"), key)).alias("__w")).where("__w IS NOT NULL")
-        copies = small_side(stored(whole.groupBy("__w").count().where("count > 1").select("__w", F.lit(True).alias("__copy")), "line-copies"))
-        out = out.withColumn("__w", F.xxhash64(F.transform("__lines", key))).join(copies, "__w", "left").withColumn("__cut", F.when(F.col("__copy").isNull(), F.col("__cut")))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__cut", F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(stays, lambda i: F.get("__lines", i)), "\n")
-    out = out.withColumn("n_lines", F.greatest(F.size("__lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__cut"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("__lines").isNotNull(), kept))
+        body = F.xxhash64(F.transform("lines", key)).alias("body")
+        whole = d.select(body, "lines").where("lines IS NOT NULL")
+        copies = small_side(stored(whole.groupBy("body").count().where("count > 1").select(F.col("body").alias("copied")), "line-copies"))
+        out = out.withColumn("body", body).join(copies, F.col("body") == F.col("copied"), "left").withColumn("cut", F.when(F.col("copied").isNull(), F.col("cut")))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("cut", F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(stays, lambda i: F.get("lines", i)), "\n")
+    made = {"text": F.when(F.col("lines").isNotNull(), kept), "n_lines": F.greatest(F.size("lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("cut"), F.lit(0)).cast("long")}
     order = [*docs.columns, *(c for c in ("n_lines", "n_removed") if c not in docs.columns)]
-    return out.select(*(F.col(f"`{c}`") for c in order))
+    return out.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in order))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

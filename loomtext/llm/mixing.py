@@ -13,7 +13,8 @@ whichever is nearer. So taken words come within half a slot of the target, nothi
 agree. Copies of one doc_id stand in one slot and are taken alike.
 
 Defined results: null or empty texts have size 0; null sources are a source of their own, sorted last; a null doc_id
-is hashed as ''; an empty table gives no rows.
+is hashed as ''; repeated rows count each; a text of any length is one document; an empty table gives no rows; the
+caller's columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,16 +82,17 @@ def plan_mix(sized: DataFrame, weights=cyclic_weights, share: float = 1.5, max_e
 
 
 def mix(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max_epochs: float = 2.0, seed: str = SEED) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken (size * copies); no row is dropped,
-    and the five replace columns of their names."""
-    d = docs.withColumn("size", n_words(F.col("text"))).withColumn("__slot", slot(F.col("doc_id"), seed))
-    plan = plan_mix(d.select("source", F.col("__slot").alias("slot"), "size"), weights, share, max_epochs)
-    plan = plan.select(F.col("source").alias("__s"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("last_slot").alias("__last"))
-    plan = small_side(stored(plan, "mix-plan"))
-    out = d.join(plan, d["source"].eqNullSafe(plan["__s"])).drop("__s")
-    copies = F.col("__whole") + F.when(F.col("__slot") <= F.col("__last"), 1).otherwise(0)
-    out = out.withColumn("source_size", F.col("__size")).withColumn("target", F.col("__target"))
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).drop("__slot", "__size", "__target", "__whole", "__last")
+    """``docs`` with size, source_size, target, copies and taken (size * copies); no row is dropped and all columns are kept,
+    whatever their names, but the five replace columns of theirs."""
+    # The caller's columns travel as one, so that no name of theirs meets one of these.
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", n_words(F.col("text")).alias("size"), slot(F.col("doc_id"), seed).alias("slot"))
+    plan = plan_mix(d.select("source", "slot", "size"), weights, share, max_epochs)
+    plan = small_side(stored(plan.withColumnRenamed("source", "of"), "mix-plan"))
+    out = d.join(plan, d["source"].eqNullSafe(plan["of"]))
+    copies = (F.col("whole") + F.when(F.col("slot") <= F.col("last_slot"), 1).otherwise(0)).cast("long")
+    made = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": (F.col("size") * copies).cast("long")}
+    order = [*docs.columns, *(c for c in made if c not in docs.columns)]
+    return out.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in order))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

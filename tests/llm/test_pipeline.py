@@ -15,7 +15,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 def test_each_operator_has_one_query():
     names = sorted(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark):
@@ -65,7 +65,7 @@ def test_line_stage_cuts_short_pages_and_keeps_mirrors(spark):
     assert {r.doc_id: r.text for r in out} == {d: f"Own {d}." if d < 9 else t for d, t, _ in rows}
 
 
-CLASHING = ["score", "predicted", "n_words", "contaminated", "hit_spans", "size", "target", "copies", "source_size", "n_lines", "n_removed", "n_bytes", "kept", "id", "_id", "_t", "pos", "site", "text_hash", "gid", "n", "kind", "a", "b", "component_id", "host", "spans", "t"]
+CLASHING = ["score", "predicted", "n_words", "contaminated", "hit_spans", "size", "target", "copies", "source_size", "n_lines", "n_removed", "n_bytes", "kept", "id", "_id", "_t", "pos", "site", "text_hash", "gid", "n", "kind", "a", "b", "component_id", "host", "spans", "t", "row", "cut", "lines", "body", "slot", "of", "whole", "last_slot", "taken", "class", "__cut", "__xt", "__lines", "__w", "__t", "__id", "__copy", "__slot", "__s", "__size", "__target", "__whole", "__last"]
 
 
 def test_stages_take_clashing_columns(spark):
@@ -89,8 +89,11 @@ def test_operators_take_clashing_columns(spark):
     assert toxicity.score_texts(wide, model, keep=["doc_id", *CLASHING]).where("score > 1").isEmpty()
     assert decontam.decontaminate(wide, spark.read.parquet(f"{SF}/benchmark.parquet"), keep=["doc_id", *CLASHING]).where("n_words < 0").isEmpty()
     assert suffixdedup.remove_repeats(wide, keep=["doc_id", *CLASHING]).where("n_removed > n_bytes").isEmpty()
-    assert linededup.remove_boilerplate(wide).where("n_removed > n_lines").isEmpty()
-    assert mixing.mix(wide).where("taken <> size * copies OR target < 0").isEmpty()
+    lines, mixed = linededup.remove_boilerplate(wide, spare_copies=True), mixing.mix(wide)
+    assert lines.where("n_removed > n_lines").isEmpty() and mixed.where("taken <> size * copies OR target < 0").isEmpty()
+    for out, made in ((lines, {"n_lines", "n_removed"}), (mixed, {"size", "source_size", "target", "copies", "taken"})):
+        assert set(out.columns) == set(wide.columns) | made and out.count() == 40
+        assert out.where(" OR ".join(f"`{c}` <> 'x' OR `{c}` IS NULL" for c in CLASHING if c not in made)).isEmpty()
     assert jaccard.near_duplicates(wide, k=3).count() == media.store_text_audio(wide).count() == 40
     pages = spark.read.parquet(f"{SF}/pages.parquet").limit(20).select("*", *(F.lit("x").alias(c) for c in [*CLASHING, "rule", "verdict", "path", "key"]))
     assert urlfilter.match(pages, urlfilter.rule_table(spark)).where("verdict NOT IN ('allow', 'block')").isEmpty()
@@ -113,7 +116,13 @@ def plain_pipeline(docs, items, model):
 
     rows = [(d, t, s) for d, t, s in docs if not toxic(t)]
     source = {d: s for d, _, s in rows}
-    rows = [(d, t, source[d]) for d, t, *_ in brute_lines(rows, 8, 4, True)]
+    component, texts = brute_components(rows, 5, 80, 100), {}
+    for d, t, _ in rows:
+        texts.setdefault(component[d][1], set()).add(t)
+    classes = {t: ("class", component[d][1]) for d, t, _ in rows if t is not None and len(texts[component[d][1]]) > 1}
+    cut = brute_lines(rows, 4, 4, classes=classes)
+    assert sum(n for *_, n in cut) > 20
+    rows = [(d, t, source[d]) for d, t, *_ in cut]
     component = brute_components(rows, 5, 80, 100)
     rows = [r for r in rows if component[r[0]][1] == r[0]]
     rows = [r for r in rows if not brute_hits(r[1], items, 10)[4]]

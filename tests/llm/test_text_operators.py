@@ -67,6 +67,20 @@ def test_decontamination_spans_map_to_the_original(spark):
     assert [text[s.start : s.stop] for s in out.hit_spans] == ["Foo--BAR  (baz", "foo bar baz"]
 
 
+def test_items_beyond_the_bound_are_held_in_groups_with_the_same_result(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(9)] + ["É", "a"]
+    rows = [(i % 50, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))), f"k{i}") for i in range(120)] + [(None, None, "n"), (7, "", "e"), (8, "w1 " * 5000, "long")]
+    items = [(i % 30, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 6)))) for i in range(40)] + [(99, None), (None, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    read = lambda: sorted(map(str, decontam.decontaminate(docs, bench, size=3, keep=["doc_id", "row"]).collect()))
+    whole = read()
+    monkeypatch.setattr(decontam, "MOST_BYTES", 200)
+    assert read() == whole and sum("contaminated=True" in r for r in whole) > 20
+    assert decontam.decontaminate(docs.limit(0), bench).collect() == []
+
+
 def test_decontamination_splits_large_automata():
     w = decontam.item_windows([(1, "a b c d e")], 2)
     machines = decontam.automata(w, most=1)
@@ -259,7 +273,7 @@ def test_contexts_own_every_window_once():
 # ---- line dedup
 
 
-def brute_lines(rows, min_sites, min_texts, spare_copies=False):
+def brute_lines(rows, min_sites, min_texts, spare_copies=False, classes=None):
     key = lambda x: x.strip(" \t\n\x0b\f\r").lower()
     body = lambda t: tuple(map(key, t.split("\n")))
     sites, bodies = {}, {}
@@ -267,7 +281,7 @@ def brute_lines(rows, min_sites, min_texts, spare_copies=False):
         for x in t.split("\n") if t is not None else []:
             if key(x):
                 sites.setdefault(key(x), set()).add(s or "")
-                bodies.setdefault(key(x), set()).add(body(t))
+                bodies.setdefault(key(x), set()).add((classes or {}).get(t) or body(t))
     boiler = {x for x, s in sites.items() if len(s) >= min_sites and len(bodies[x]) >= min_texts}
     times = Counter(body(t) for _, t, *_ in rows if t is not None)
     out = []
@@ -296,6 +310,18 @@ def test_line_dedup_matches_brute_force(spark):
         assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out), key=str) == brute_lines(rows, sites, texts, spare)
 
 
+def test_texts_of_one_class_count_once(spark):
+    rows = [(i, f"Shared line\nown {i}\nand more of {i}", f"s{i}") for i in range(6)] + [(10 + i, f"A copied text\nof lines {i}\n{'b' * i}", f"s{i}") for i in range(6)] + [(20, None, "s1"), (None, "Shared line", "s9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    named = {t: "copies" for _, t, _ in rows if t and t.startswith("A copied")}
+    classes = docs.where("text LIKE 'A copied%'").selectExpr("doc_id", "xxhash64(text) AS text_hash", "7L AS class")
+    out = linededup.remove_boilerplate(docs, classes=classes).collect()
+    want = brute_lines(rows, 4, 4, classes=named)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out), key=str) == want
+    assert {r.doc_id: r.n_removed for r in out} == {i: int(i is None or i < 10) for i, _, _ in rows}
+    assert all(r[3] == 1 for r in brute_lines(rows, 4, 4) if r[1] is not None)  # without classes both kinds would be cut
+
+
 def test_line_dedup_takes_texts_of_very_many_lines(spark):
     shared = [f"shared {i}" for i in range(50_000)]
     rows = [(i, "\n".join(x for j, s in enumerate(shared) for x in (s, f"own {i} {j}")), f"s{i}") for i in range(4)]
