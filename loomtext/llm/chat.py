@@ -7,7 +7,9 @@ rendered again with every backslash, ``#`` and ``<`` that could be read as contr
 
 Defined results: a null text is empty; a null role is written as the empty role; any other role string is kept (written
 escaped, in its marker); turns come in the order of turn (null first), then role, then text; repeated rows stay.
-A conversation without rows does not exist; an empty table gives no rows; conversations with a null id form one.
+A conversation without rows does not exist; an empty table gives no rows; conversations with a null id form one; a
+conversation is built whole in one task, however long; rows that tie in turn, role and text are equal, so their order is
+none; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

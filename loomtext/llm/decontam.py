@@ -6,7 +6,9 @@ go into one automaton, with a space on either side so that only whole words matc
 once; normalising keeps byte positions, so every match is mapped back to the original text.
 
 Defined results: a null or wordless text has no words and no hits; items without words (or null) never match; repeated
-items are distinct by item_id; repeated documents each get their row; extra columns are ignored.
+items are distinct by item_id; repeated documents each get their row; a very long text is scanned in one go, in memory that
+grows with it; an empty table gives no rows and an empty benchmark no hits; columns that are not kept are ignored, whatever
+their names, and results replace kept columns of theirs.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import table
+from loomtext.llm.common import stored, table
 from loomtext.llm.textvec import utf8
 
 SIZE = 10
-#: Windows that one automaton holds; a larger benchmark is cut into several, each text is scanned by each.
-MOST_WINDOWS = 400_000
+#: Bytes of item texts that one automaton is made of; of more items groups of that size are held in turn.
+MOST_BYTES = 1 << 20
 #: Bytes 0-9, a-z and all from 128 on are word bytes.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -38,23 +40,22 @@ SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 
 def item_windows(items: list[tuple[object, str | None]], size: int = SIZE) -> dict[str, tuple[list[str], int]]:
     """{' w1 .. wn ': (item ids, words)}; latin-1 strings, one character a byte."""
-    out: dict[str, tuple[list[str], int]] = {}
+    out: dict[str, tuple[dict[str, None], int]] = {}
     for item, text in items:
         words = (text or "").encode().translate(NORMAL).decode("latin-1").split(" ")
         words = [w for w in words if w]
         for i in range(max(1, len(words) - size + 1) if words else 0):
             w = words[i : i + size]
-            ids, _ = out.setdefault(f" {' '.join(w)} ", ([], len(w)))
-            if str(item) not in ids:
-                ids.append(str(item))
-    return out
+            out.setdefault(f" {' '.join(w)} ", ({}, len(w)))[0][str(item)] = None
+    return {k: (list(ids), n) for k, (ids, n) in out.items()}
 
 
-def automata(windows: dict[str, tuple[list[str], int]], most: int = MOST_WINDOWS) -> list[ahocorasick.Automaton]:
+def automata(windows: dict[str, tuple[list[str], int]], most: int | None = None) -> list[ahocorasick.Automaton]:
+    """One automaton of all windows (none if there is no window), or several of ``most`` windows each."""
     keys, out = sorted(windows), []
-    for i in range(0, len(keys), most):
+    for i in range(0, len(keys), most or max(1, len(keys))):
         a = ahocorasick.Automaton()
-        for k in keys[i : i + most]:
+        for k in keys[i : i + (most or len(keys))]:
             a.add_word(k, windows[k])
         a.make_automaton()
         out.append(a)
@@ -92,37 +93,98 @@ def hit_spans(text: bytes, plain: bytes, hit: np.ndarray) -> list[dict[str, int]
     return [{"start": int(chars[ws[a]]), "stop": int(chars[we[b - 1]])} for a, b in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1), strict=True)]
 
 
+def _machines(key: str, windows) -> list:
+    """The automata of a broadcast, built once a worker."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = automata(windows.value)
+    return _MADE[key]
+
+
+def _described(text: bytes, n: int, hit: np.ndarray | None, ids: list[str], plain: bytes) -> tuple:
+    spans = [] if hit is None else hit_spans(text, plain, hit)
+    return n, 0 if hit is None else int(hit.sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit is not None, spans
+
+
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
+
+
+def _batch(kept: list[pa.Array], keep: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True))], [*keep, *RESULTS])
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The ``keep`` columns (doc_id) of each row with n_words, n_hit, n_items, items_sha256, contaminated and hit spans.
 
-    The spans are offsets of the original text. The item windows are collected: a benchmark is a stated, bounded query
-    set (200 items here), not corpus data. Results replace kept columns of their names.
+    The spans are offsets of the original text. Items whose texts come to ``MOST_BYTES`` at most (they are counted) are one
+    automaton that each text is scanned with once. More items are dealt by hash into groups of about that size, one group
+    is held at a time, and the hits of all groups are united by row. Results replace kept columns of their names.
     """
     keep = [c for c in keep or ["doc_id"] if c not in RESULTS]
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null").toLocalIterator()]
-    windows = docs.sparkSession.sparkContext.broadcast(item_windows(rows, size))
+    named = items.select("item_id", "text").where("item_id IS NOT NULL")
+    total = named.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    if total > MOST_BYTES:
+        return _by_groups(docs, named, -(-total // MOST_BYTES), size, keep, text_col)
+    windows = docs.sparkSession.sparkContext.broadcast(item_windows([tuple(r) for r in named.collect()], size))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MADE:
-            _MADE.clear()
-            _MADE[key] = automata(windows.value)
-        machines = _MADE[key]
-        out_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), out_type]
-        names = [*keep, *RESULTS]
+        machines = _machines(key, windows)
+        for b in batches:
+            offsets, data = utf8(b.column(len(keep)))
+            texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(b.num_rows)]
+            yield _batch(b.columns[: len(keep)], keep, [_described(t, *scan(t, machines)) for t in texts])
+
+    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text_col])).mapInArrow(run, schema)
+
+
+def _by_groups(docs: DataFrame, items: DataFrame, groups: int, size: int, keep: list[str], text_col: str) -> DataFrame:
+    """As ``decontaminate``, with a pass over the texts for each group of items; a pass leaves rows with hits only."""
+    spark = docs.sparkSession
+    names = {c: f"kept_{k}" for k, c in enumerate(keep)}
+    d = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("words_of"), *(F.col(f"`{c}`").alias(n) for c, n in names.items())), "decontam-rows")
+    hits = None
+    for g in range(groups):
+        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(groups)) == g).collect()]
+        windows, key = spark.sparkContext.broadcast(item_windows(own, size)), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], windows=windows, key=key) -> Iterator[pa.RecordBatch]:
+            machines = _machines(key, windows)
+            for b in batches:
+                offsets, data = utf8(b.column(1))
+                rows, flags, found = [], [], []
+                for i in range(b.num_rows):
+                    _, hit, ids, _ = scan(data[offsets[i] : offsets[i + 1]].tobytes(), machines)
+                    if hit is not None:
+                        rows.append(b.column(0)[i].as_py())
+                        flags.append(np.packbits(hit).tobytes())
+                        found.append(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(flags, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["row", "flags", "ids"])
+
+        one = stored(d.select("row", "words_of").mapInArrow(run, "row long, flags binary, ids array<string>"), "decontam-hits")
+        hits = one if hits is None else hits.unionByName(one)
+    # A row's hits: as many bits as its text has words, from each group that has any.
+    united = hits.groupBy("row").agg(F.collect_list("flags").alias("flags"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    both = d.join(united, "row", "left").select(*names.values(), "words_of", "flags", "ids")
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = utf8(b.column(len(keep)))
             rows = []
             for i in range(b.num_rows):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
-                n, hit, ids, plain = scan(text, machines)
-                rows.append((n, 0 if hit is None else int(hit.sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit is not None, [] if hit is None else hit_spans(text, plain, hit)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
-
-    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text_col])).mapInArrow(run, schema)
+                n, _, _, plain = scan(text, [])
+                flags = b.column(len(keep) + 1)[i].as_py()
+                hit = None
+                if flags:
+                    hit = np.unpackbits(np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in flags]), count=n).astype(bool)
+                rows.append(_described(text, n, hit, b.column(len(keep) + 2)[i].as_py() or [], plain))
+            yield _batch(b.columns[: len(keep)], keep, rows)
+
+    return both.mapInArrow(finish, schema)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ common enough to be hot comes last in the order, so it is in a prefix only of se
 
 Defined results: null and wordless texts have the empty set, link with nothing and are components of their own; rows
 with equal doc_id and unequal text are judged each by its text; rows with a null doc_id link like others, their
-component is the smallest doc_id that is not null, or null. Extra columns are ignored.
+component is the smallest doc_id that is not null, or null. Repeated rows are one class and each get their row. A very long
+text is one set, held whole by the task that hashes or verifies it. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ payload's SHA-256 is computed again and compared with its key, and the header's
 
 Of rows with equal payloads of at least ``least`` bytes the one with the largest page_id is the response and the others
 are revisits that name it; smaller payloads are all responses. Equal page_ids among those with the largest one are all
-responses. Null html is an empty payload, a null url an empty target; a null page_id sorts below all others.
+responses. Null html is an empty payload, a null url an empty target; a null page_id sorts below all others. A payload of
+any length is one value; an empty table gives empty archives; other columns are not read, so their names cannot clash.
 
 Copies collapse by partial aggregation of a digest before any exchange of payload bytes; the joins are plain equi-joins
 that Spark can split where one payload has very many rows.
