@@ -46,10 +46,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on eight sites and in four different texts go. Texts that stand on several rows are left whole
-    (``spare_copies``), so that the next stage sees them as copies. Null texts stay null, an empty table stays empty."""
+    """Lines on four sites and in four texts go from every text; near duplicates (as in the next stage) count as one text, so
+    that a document's copies do not make its own lines boilerplate and are still found as copies. Null texts stay null, an
+    empty table stays empty."""
     d, back = apart(docs)
-    out = back(remove_boilerplate(d, min_sites=8, spare_copies=True))
+    found = stored(near_duplicates(d, k=5, num=80, den=100, by_row=True).where("component IS NOT NULL"), "pipeline-classes")
+    # Only classes of several different texts say more than the texts themselves.
+    several = found.groupBy("component").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("component")
+    classes = stored(found.join(several, "component", "left_semi").select("doc_id", "text_hash", F.col("component").alias("class")).distinct(), "pipeline-several")
+    out = back(remove_boilerplate(d, classes=classes))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
