@@ -78,9 +78,8 @@ FOLDED_OUTCOMES = [
 def _route(scenario: Column, response: Column, outcomes: list[tuple[str, str]], fold: bool) -> Column:
     # One number of the four signals looks the outcome up, so that each signal stands in the plan once.
     code = sum((F.when(s, 1 << k).otherwise(0) for k, s in enumerate(signals(scenario, response, fold))), F.lit(0))
-    rows = [outcomes[TRUTH[c & 3][c >> 2]] for c in range(16)]
-    fmt, reason = (F.get(F.array(*(F.lit(r[i]) for r in rows)), code) for i in (0, 1))
-    return F.struct(fmt.alias("input_format"), reason.alias("routing_reason"))
+    rows = (outcomes[TRUTH[c & 3][c >> 2]] for c in range(16))
+    return F.get(F.array(*(F.struct(F.lit(f).alias("input_format"), F.lit(r).alias("routing_reason")) for f, r in rows)), code)
 
 
 def route(scenario: Column, response: Column, cleaned: bool = False) -> Column:

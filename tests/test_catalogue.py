@@ -39,3 +39,10 @@ def test_queries_without_sql_run(spark):
     assert names == {"seed_cover"}
     for name in names:
         assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize(("name", "text", "times"), [("function_word_counts", "FileScan", 1), ("function_word_counts", "regexp_extract_all", 1), ("keyword_matches", "regexp_extract_all", 1), ("route_rows", "RLIKE", 3), ("split_public", "RLIKE", 0)])
+def test_plans_scan_and_match_once(spark, name, text, times):
+    """Patterns run once a row, and not again for each column or view that is read."""
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(text) == times
