@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -50,6 +52,20 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_ROWS and size <= MOST_BYTES else df
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, after which memory that is free is given back to the system: a worker outlives its task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, as against ``lower``, which also changes other letters."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -124,7 +140,7 @@ def connected(edges: DataFrame, name: str = "cc", rounds: int = 60, most: int =
 
     e = edges.select("a", "b")
     for k in range(rounds):
-        e = stored(e.mapInArrow(_contract(most), "a long, b long"), f"{name}-{k}")
+        e = stored(e.mapInArrow(tidy(_contract(most)), "a long, b long"), f"{name}-{k}")
         if not misplaced(e):
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
         e = small(large(e).where("a <> b")).where("a <> b").distinct()

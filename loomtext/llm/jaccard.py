@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import buckets, connected, small_side, stored, table
+from loomtext.llm.common import buckets, connected, small_side, stored, table, tidy
 from loomtext.llm.packed import bucket_of, split
 from loomtext.llm.textvec import chunks, mix, shingle_sets, utf8
 
@@ -370,12 +370,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"kind byte, bucket int, blob binary, doc_id {id_type}, gid long, n long, emitted long, bits binary"
     d = docs.select("doc_id", "text")
-    pairs = d.withColumn("_t", F.xxhash64("text") if by_row else F.lit(None).cast("long")).mapInArrow(_first(k, num, den, share, pieces), schema).repartition("bucket")
-    counted = pairs.mapInArrow(_count(pieces), schema).repartition("bucket")
-    state = stored(counted.mapInArrow(_prefixes(num, den, pieces), schema), "jaccard-state")
+    pairs = d.withColumn("_t", F.xxhash64("text") if by_row else F.lit(None).cast("long")).mapInArrow(tidy(_first(k, num, den, share, pieces)), schema).repartition("bucket")
+    counted = pairs.mapInArrow(tidy(_count(pieces)), schema).repartition("bucket")
+    state = stored(counted.mapInArrow(tidy(_prefixes(num, den, pieces)), schema), "jaccard-state")
     members = state.where(F.col("kind") == DOC).select("doc_id", "gid", "n", "emitted")
     lists = state.where(F.col("kind") == PREFIX)
-    edges = stored(lists.repartition("bucket").mapInArrow(_edges(num, den), "a long, b long").distinct(), "jaccard-edges")
+    edges = stored(lists.repartition("bucket").mapInArrow(tidy(_edges(num, den)), "a long, b long").distinct(), "jaccard-edges")
 
     def ends(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("gid")).unionByName(e.select(F.col("b").alias("gid"))).distinct()
@@ -384,7 +384,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     def verified(e: DataFrame, name: str) -> DataFrame:
         want = small_side(stored(reps.join(ends(e), "gid"), f"{name}-ends"))
-        sets = d.join(want, d["doc_id"].eqNullSafe(want["_id"])).select("text", "gid").mapInArrow(_sets(k), "gid long, elements array<long>")
+        sets = d.join(want, d["doc_id"].eqNullSafe(want["_id"])).select("text", "gid").mapInArrow(tidy(_sets(k)), "gid long, elements array<long>")
         sets = stored(sets.dropDuplicates(["gid"]) if d.schema["doc_id"].nullable and _repeated(want, d) else sets, f"{name}-sets")
         both = e.join(sets.select(F.col("gid").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("gid").alias("a"), F.col("elements").alias("x")), "a")
         # Whole sets are compared in the JVM, a pair at a time: no batch of wide rows is built.
@@ -395,13 +395,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     links = done.where("ok").select("a", "b")
     if not done.where("NOT ok").isEmpty():
         known = stored(ends(edges), "jaccard-known")
-        rows = lists.mapInArrow(_unpack, "token long, gid long, group long, n long, rank long, rest long, bits binary").join(known, "gid", "left_semi")
+        rows = lists.mapInArrow(tidy(_unpack), "token long, gid long, group long, n long, rank long, rest long, bits binary").join(known, "gid", "left_semi")
         # First what is nearest, which joins most of what belongs together; then all that is still apart.
         for step in (2, 3):
             comp = connected(links, f"jaccard-cc{step}")
             own = known.join(comp, F.col("gid") == comp["node"], "left").select("gid", F.coalesce("component", "gid").alias("component"))
             apart = rows.join(own, "gid").select("token", "gid", "group", "n", "rank", "rest", "bits", "component").repartition("token")
-            cross = apart.mapInArrow(_cross(num, den, nearest=step == 2), "a long, b long").distinct()
+            cross = apart.mapInArrow(tidy(_cross(num, den, nearest=step == 2)), "a long, b long").distinct()
             cross = stored(cross.join(done.select("a", "b"), ["a", "b"], "left_anti"), f"jaccard-cross{step}")
             if not cross.isEmpty():
                 done = done.unionByName(verified(cross, f"jaccard-{step}"))

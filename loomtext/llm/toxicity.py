@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import table
+from loomtext.llm.common import table, tidy
 
 DECAY, SPAN = 0.55, 7
 PER_CLASS = 700
@@ -473,7 +473,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, te
             p = m.probability(raw)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text_col])).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text_col])).mapInArrow(tidy(run), schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
