@@ -6,8 +6,8 @@ falls, and stored as 16-bit little-endian PCM.
 
 ``store_text_audio`` stores a text's UTF-8 bytes (null: empty), padded with bytes 255 to a positive multiple of 576, as
 the data chunk of a WAV file whose codec follows from the payload's CRC-32, so equal texts give equal files. ``decode``
-reads files back: digests of the payload and the resampled PCM, which the query writes to a table of its own; ``described``
-computes features from PCM read back from there.
+reads files back: digests of the payload and the resampled PCM, which the query writes to a table of its own, in two columns that
+pack well (``parted``); ``described`` computes features from PCM read back from there.
 
 Defined results: null and empty texts are one unit of padding; files of another kind, truncated or null files give
 ``ok = false`` with null fields, never an exception, and a null feature; repeated rows each get their file; a very long
@@ -34,9 +34,6 @@ from loomtext.llm.textvec import chunks, utf8
 UNIT = 576
 RATE = 8000
 TO_RATE = 16000
-#: The rate of the query's stored PCM: the source's own, so that no sample is lost and none is made up. At 16 kHz the PCM
-#: alone takes 1.56 times the input.
-QUERY_RATE = RATE
 #: How the query's tables are packed: files and PCM together take 1.54 times the input at level 9 and pages of 1 MB.
 PACKED = {"parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20)}
 #: Zero crossings of the low-pass filter on either side, and where it cuts as a share of the new half rate.
@@ -126,9 +123,7 @@ def resample(pcm: np.ndarray, up: int, down: int) -> np.ndarray:
         return pcm
     if up == 2 and down == 1:
         wide = np.empty(n, np.int16)
-        wide[::2] = pcm
-        after = np.concatenate([pcm[1:], pcm[-1:]]).astype(np.int32)
-        wide[1::2] = (pcm + after) >> 1
+        wide[::2], wide[1::2] = pcm, _between(pcm)
         return wide
     p = low_pass(pcm, up, down) if down > up else pcm.astype(np.int64)
     at = np.minimum(np.arange(n, dtype=np.int64) * down, (len(pcm) - 1) * up)
@@ -136,6 +131,26 @@ def resample(pcm: np.ndarray, up: int, down: int) -> np.ndarray:
     return ((p[i] * (up - f) + p[np.minimum(i + 1, len(p) - 1)] * f) // up).astype(np.int16)
 
 
+def parted(pcm: np.ndarray) -> tuple[bytes, bytes]:
+    """The even samples, and the odd ones less the mean of their neighbours (modulo 2**16): every sample of any signal, in a
+    form that packs well where the odd ones were interpolated."""
+    even, odd = pcm[::2].astype("<i2"), pcm[1::2].astype("<i2")
+    return even.tobytes(), (odd - _between(even)[: len(odd)]).astype("<i2").tobytes()
+
+
+def joined(even: bytes, odd: bytes) -> np.ndarray:
+    """The signal that ``parted`` took apart."""
+    e, o = np.frombuffer(even, "<i2"), np.frombuffer(odd, "<i2")
+    out = np.empty(len(e) + len(o), "<i2")
+    out[::2], out[1::2] = e, o + _between(e)[: len(o)]
+    return out
+
+
+def _between(pcm: np.ndarray) -> np.ndarray:
+    """The mean of each sample and the next, rounded down; the last goes on with its own value."""
+    return ((pcm.astype(np.int32) + np.concatenate([pcm[1:], pcm[-1:]])) >> 1).astype(np.int16)
+
+
 def wav(payload: bytes, codec: int) -> bytes:
     block, bits = (BLOCK, 4) if codec == IMA else (1, 8)
     per = 1 + 2 * (BLOCK - 4) if codec == IMA else 1
@@ -207,15 +222,18 @@ def store_text_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
-_OUT = [("ok", pa.bool_()), ("codec", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("rate", pa.int32()), ("pcm", pa.binary())]
+_OUT = [("ok", pa.bool_()), ("codec", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("rate", pa.int32())]
 
 
-def decode(media: DataFrame, keep: list[str], media_col: str = "media", to_rate: int = TO_RATE) -> DataFrame:
-    """Reads stored files back: codec, digests of payload and file, and the 16-bit PCM resampled to ``to_rate``.
+def decode(media: DataFrame, keep: list[str], media_col: str = "media", to_rate: int = TO_RATE, apart: bool = False) -> DataFrame:
+    """Reads stored files back: codec, digests of payload and file, and the 16-bit PCM resampled to ``to_rate``: ``pcm``, or
+    ``apart`` as ``pcm_even`` and ``pcm_odd``.
 
     ADPCM blocks of all files of a slice (bounded in bytes) decode together.
     """
-    schema = ", ".join([*(f"{c} {media.schema[c].dataType.simpleString()}" for c in keep), "ok boolean, codec int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate int, pcm binary"])
+    signal = ["pcm_even", "pcm_odd"] if apart else ["pcm"]
+    schema = ", ".join([*(f"{c} {media.schema[c].dataType.simpleString()}" for c in keep), "ok boolean, codec int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate int", *(f"{c} binary" for c in signal)])
+    out = [*_OUT, *((c, pa.binary()) for c in signal)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,38 +253,54 @@ def decode(media: DataFrame, keep: list[str], media_col: str = "media", to_rate:
                 for k, (f, p) in enumerate(zip(files, parsed, strict=True)):
                     x = pcm.get(k) if k in pcm else None if p is None else expand(p[0], arrays[k], p[2])
                     if x is None:
-                        rows.append((False, None, None, None, None, None if f is None else len(f), None if f is None else hashlib.sha256(f).hexdigest(), None, None))
+                        rows.append((False, None, None, None, None, None if f is None else len(f), None if f is None else hashlib.sha256(f).hexdigest(), None, *[None] * len(signal)))
                         continue
                     common = math.gcd(to_rate, p[1])
-                    stored_pcm = resample(x, to_rate // common, p[1] // common).astype("<i2", copy=False).tobytes()
-                    rows.append((True, p[0], len(p[3]), hashlib.sha256(p[3]).hexdigest(), zlib.crc32(p[3][-32:]), len(f), hashlib.sha256(f).hexdigest(), to_rate, stored_pcm))
+                    wide = resample(x, to_rate // common, p[1] // common).astype("<i2", copy=False)
+                    rows.append((True, p[0], len(p[3]), hashlib.sha256(p[3]).hexdigest(), zlib.crc32(p[3][-32:]), len(f), hashlib.sha256(f).hexdigest(), to_rate, *(parted(wide) if apart else [wide.tobytes()])))
                 cols = list(zip(*rows, strict=True))
-                arrays_out = [*(b.column(c).slice(i, j - i) for c in range(len(keep))), *(pa.array(c, t) for c, (_, t) in zip(cols, _OUT, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays_out, [*keep, *(n for n, _ in _OUT)])
+                arrays_out = [*(b.column(c).slice(i, j - i) for c in range(len(keep))), *(pa.array(c, t) for c, (_, t) in zip(cols, out, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays_out, [*keep, *(n for n, _ in out)])
 
     return media.select(*keep, media_col).mapInArrow(run, schema)
 
 
-def described(decoded: DataFrame) -> DataFrame:
-    """Rows of ``decode`` as stored, with ``feature`` in place of the PCM it is computed from."""
-    keep = [c for c in decoded.columns if c not in ("pcm", "feature")]
-    schema = ", ".join([*(f"`{c}` {decoded.schema[c].dataType.simpleString()}" for c in keep), "feature string"])
+def described(decoded: DataFrame, source_rate: int | None = None) -> DataFrame:
+    """Rows of ``decode`` as stored, with ``feature`` in place of the PCM it is computed from.
+
+    With ``source_rate``, of which the stored rate is a multiple, ``resampled_feature`` is that of all samples, and
+    ``feature`` that of the source's own: interpolation leaves them, each at the multiple's place.
+    """
+    signal = [c for c in ("pcm", "pcm_even", "pcm_odd") if c in decoded.columns]
+    named = ["feature"] if source_rate is None else ["feature", "resampled_feature"]
+    keep = [c for c in decoded.columns if c not in (*signal, *named)]
+    schema = ", ".join([*(f"`{c}` {decoded.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} string" for c in named)])
+
+    def said(codec: int, rate: int, parts: list) -> list[str | None]:
+        if not parts[0].is_valid:
+            return [None] * len(named)
+        parts = [x.as_buffer() for x in parts]
+        pcm = joined(*parts) if len(parts) == 2 else np.frombuffer(parts[0], "<i2")
+        if source_rate is None:
+            return [features(codec, rate, pcm)]
+        return [features(codec, source_rate, np.ascontiguousarray(pcm[:: rate // source_rate])), features(codec, rate, pcm)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, rate = keep.index("codec"), keep.index("rate")
         for b in batches:
-            said = [None if x is None else features(c, r, np.frombuffer(x, "<i2")) for c, r, x in zip(b.column(codec).to_pylist(), b.column(rate).to_pylist(), (x.as_buffer() if x.is_valid else None for x in b.column(len(keep))), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), pa.array(said, pa.string())], [*keep, "feature"])
+            parts = zip(*(b.column(len(keep) + k) for k in range(len(signal))), strict=True)
+            rows = [said(c, r, p) for c, r, p in zip(b.column(codec).to_pylist(), b.column(rate).to_pylist(), parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), *(pa.array([x[k] for x in rows], pa.string()) for k in range(len(named)))], [*keep, *named])
 
-    return decoded.select(*(F.col(f"`{c}`") for c in keep), "pcm").mapInArrow(run, schema)
+    return decoded.select(*(F.col(f"`{c}`") for c in keep), *signal).mapInArrow(run, schema)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files are written to the shared folder as a Parquet media column, decoded from there, and their resampled PCM is
-    written as a column too; features come from that, read back."""
+    """Files are written to the shared folder as a Parquet media column, decoded from there, and their PCM, resampled to twice
+    the source's rate, is written too; features of the source's samples and of all come from that, read back."""
     kept = stored(store_text_audio(table(spark, sf_dir, "documents")), "media", **PACKED)
-    out = described(stored(decode(kept, ["doc_id", "n_bytes"], to_rate=QUERY_RATE), "media-pcm", **PACKED))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = described(stored(decode(kept, ["doc_id", "n_bytes"], apart=True), "media-pcm", **PACKED), RATE)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "resampled_feature")
 
 
 QUERIES = {"op5_media_columns": op5_media_columns}

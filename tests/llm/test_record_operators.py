@@ -126,6 +126,31 @@ def test_media_query_on_a_whole_table(spark):
         assert r.feature == plain_feature(codec, 8000, plain_pcm(codec, payload))
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 1000])
+def test_a_signal_in_two_parts_comes_back_whole(n):
+    x = np.random.default_rng(n).integers(-32768, 32768, n).astype(np.int16)
+    even, odd = media.parted(x)
+    assert media.joined(even, odd).tolist() == x.tolist() and len(even) + len(odd) == 2 * n
+    assert not any(media.parted(media.resample(x, 2, 1))[1])  # what was interpolated needs no room
+
+
+def test_media_query_stores_and_describes_the_resampled_signal(spark, tmp_path, monkeypatch):
+    kept, own = {}, media.stored
+    monkeypatch.setattr(media, "stored", lambda d, name, **k: kept.setdefault(name, own(d, name, **k)))
+    texts = [None, "a", "ä" * 288, "b" * 577, *(f"text {i}" * i for i in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in media.op5_media_columns(spark, str(tmp_path)).collect()}
+    rows = {r.doc_id: r for r in kept["media-pcm"].collect()}
+    assert set(out) == set(rows) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        payload = media.pad((t or "").encode())
+        codec = media.CODECS[zlib.crc32(payload) % 3]
+        x = plain_pcm(codec, payload)
+        wide = [v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, (a + b) >> 1)]
+        assert rows[i].rate == 16000 and media.joined(rows[i].pcm_even, rows[i].pcm_odd).tolist() == wide
+        assert (out[i].feature, out[i].resampled_feature) == (plain_feature(codec, 8000, x), plain_feature(codec, 16000, wide))
+
+
 def test_broken_media_is_told_apart(spark):
     good = media.wav(b"\xff" * 576, media.MULAW)
     rows = [(1, good), (2, None), (3, b""), (4, good[:-1]), (5, b"RIFF" + good[4:8] + b"JUNK" + good[12:]), (6, media.wav(b"x" * 100, 1))]
