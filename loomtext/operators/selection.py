@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,26 +14,29 @@ from loomtext.operators.draws import draws
 from loomtext.operators.lexicon import DESCRIPTIONS
 from loomtext.sources.scratch import materialized
 
+#: Groups of a partition, over all partitions, that may be broadcast.
+MOST_GROUPS = 100_000
+
 
 def with_ordinal(df: DataFrame, *order: str, name: str = "source_idx", by: tuple[str, ...] = (), start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of a unique key, globally or within ``by``.
 
-    Globally: rows are range-partitioned and sorted by the key; a partition's rows are numbered within it, the counts
-    of the partitions before it (one row a partition) are added. No single task sees all rows.
+    Rows are range-partitioned and sorted by group and key, and written with their place in the partition. A group's first
+    place there, and what it has in the partitions before, make the place its number: one row for each partition and group. No
+    single task sees all rows, nor all of a group.
     """
-    if by:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") + F.lit(start - 1))
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = materialized(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ordinal")
-    counts = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}
-    before, total = {}, start
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
-    offset = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("_p")) if before else F.lit(0)
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.withColumn(name, offset.cast("long") + own - 1).drop("_p")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("_id", F.monotonically_increasing_id())
+    # The identifier is the partition above 33 bits and the place below.
+    parts = materialized(parts, "ordinal").withColumn("_p", F.shiftright("_id", 33))
+    keys = [("_p", "_q"), *((c, f"_by{k}") for k, c in enumerate(by))]
+    groups = parts.groupBy("_p", *by).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("_less", F.col("_first") - F.coalesce(before, F.lit(0)) - start)
+    groups = materialized(groups.select(*(F.col(c).alias(a) for c, a in keys), "_less"), "ordinal-groups")
+    few = F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
+    out = parts.join(few, reduce(and_, (F.col(c).eqNullSafe(F.col(a)) for c, a in keys)))
+    return out.withColumn(name, F.col("_id") - F.col("_less")).drop("_p", "_id", "_less", *(a for _, a in keys))
 
 
 def shard_of(ordinal: Column, size: int) -> Column:

@@ -109,6 +109,16 @@ def test_ordinals_shards_and_samples(spark):
     assert [r.s for r in got] == [1, 1, 2, 2, 3]
 
 
+def test_a_group_is_numbered_by_many_tasks(spark):
+    d = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("k"), F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 10 == 1, "a").otherwise("b").alias("g"))
+    numbered = O.with_ordinal(d, "k", name="n", by=("g",), start=1)
+    plan, out = numbered._jdf.queryExecution().executedPlan().toString(), numbered.collect()
+    for g in (None, "a", "b"):
+        assert [r.n for r in sorted((r for r in out if r.g == g), key=lambda r: r.k)] == list(range(1, sum(r.g == g for r in out) + 1))
+    assert len(out) == 4000 and "Window" not in plan
+    assert O.with_ordinal(d.limit(0), "k", by=("g",)).collect() == []
+
+
 def test_metrics(spark):
     rows = [(g, p) for g, p, n in ((0, 0, 5), (0, 1, 2), (1, 0, 1), (1, 1, 4)) for _ in range(n)]
     d = spark.createDataFrame(rows, "gold_verdict int, predicted_verdict int")
