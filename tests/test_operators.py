@@ -109,6 +109,17 @@ def test_ordinals_shards_and_samples(spark):
     assert [r.s for r in got] == [1, 1, 2, 2, 3]
 
 
+def test_rows_are_fanned_out_unsorted(spark, tmp_path):
+    d = spark.range(2000).select("id", (F.col("id") % 100).alias("c"))  # more values than one task holds files open
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    writers.fan_out(d.coalesce(1), str(tmp_path / "f"), "c")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    assert "Sort" not in runs.apply(runs.size() - 1).physicalPlanDescription() and spark.conf.get(key) == before
+    assert sorted((r.id, r.c) for r in spark.read.json(str(tmp_path / "f")).collect()) == [(i, i % 100) for i in range(2000)]
+
+
 def test_a_group_is_numbered_by_many_tasks(spark):
     d = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("k"), F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 10 == 1, "a").otherwise("b").alias("g"))
     numbered = O.with_ordinal(d, "k", name="n", by=("g",), start=1)
