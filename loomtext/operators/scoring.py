@@ -10,6 +10,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -58,6 +59,12 @@ def enough_sentences(text: str, most: int) -> bool:
     return len(re.findall(SENTENCE_END, text)) >= most
 
 
+@lru_cache(1 << 12)
+def ends_in(word: str) -> int:
+    """The sentences that end in one word: those of words with spaces between add up."""
+    return len(re.findall(SENTENCE_END, word))
+
+
 class Deterministic:
     """Scores and texts that follow from a digest of the input."""
 
@@ -80,8 +87,10 @@ class Deterministic:
             tokens = render(system, p).split()
             h = hashlib.sha256(f"{p}\0{seed}".encode()).digest()
             words: list[str] = []
-            while len(words) < self.max_new and not enough_sentences(" ".join(words), self.max_sentences):
+            ends = 0
+            while len(words) < self.max_new and ends < self.max_sentences:
                 words.append(f"w{h[len(words) % 32] % 10}" + ("." if len(words) % 9 == 8 else ""))
+                ends += ends_in(words[-1])
             text = " ".join(words) + f" Final answer: {h[0] % 2}"
             out.append(Generation(text, min(len(tokens), self.max_input), len(words), len(tokens) > self.max_input, len(words) >= self.max_new))
         return out
