@@ -760,20 +760,24 @@ def generated_and_parsed(spark, sf):
 # ---- sources, sinks, resume
 
 
+#: White space at the ends of a text is part of it; the writer would take it off.
+AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 @query("csv_roundtrip", "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents")
 def csv_roundtrip(spark, sf):
     """Texts with line feeds, quotes and backslashes written as CSV and read back."""
     path = fresh_path(spark, "csv")
-    table(spark, sf, "documents").select("doc_id", "lang", "text").write.csv(path, header=True, escape='"', quoteAll=True)
+    table(spark, sf, "documents").select("doc_id", "lang", "text").write.csv(path, header=True, escape='"', quoteAll=True, **AS_IS)
     d = readers.read_csv(spark, path, ("doc_id", "text"))
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
 
 
 @query("csv_in_blocks", ORACLES["csv_roundtrip"])
 def csv_in_blocks(spark, sf):
-    """One file of all texts, quoted only where they must be, read in parts of 64 KB, most of which begin inside quotes."""
+    """A file of each task's texts, quoted only where they must be, read in parts of 64 KB, most of which begin inside quotes."""
     path = fresh_path(spark, "csv-one")
-    table(spark, sf, "documents").select("doc_id", "lang", "text").coalesce(1).write.csv(path, header=True, escape='"', emptyValue="")
+    table(spark, sf, "documents").select("doc_id", "lang", "text").write.csv(path, header=True, escape='"', emptyValue="", **AS_IS)
     d = readers.read_csv(spark, path, ("doc_id", "text"), split=1 << 16)
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
 

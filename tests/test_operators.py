@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from loomtext.operators import metrics as A
 from loomtext.operators import normalize
 from loomtext.operators import scoring as S
 from loomtext.operators import selection as O
-from loomtext.plans import jobs
+from loomtext.plans import catalogue, jobs
 from loomtext.sources import readers, writers
 from loomtext.streaming import resume
 
@@ -120,6 +121,38 @@ def test_rows_are_fanned_out_unsorted(spark, tmp_path):
     assert sorted((r.id, r.c) for r in spark.read.json(str(tmp_path / "f")).collect()) == [(i, i % 100) for i in range(2000)]
 
 
+@pytest.mark.parametrize(("most", "sentences"), [(128, 4), (128, 1), (20, 4), (5, 4), (0, 4), (128, 0)])
+def test_generated_texts_stop_at_the_first_place_and_are_scanned_once(monkeypatch, most, sentences):
+    model, scanned, find = S.Deterministic(max_new=most, max_sentences=sentences), [], S.re.findall
+    monkeypatch.setattr(S.re, "findall", lambda p, t: scanned.append(len(t)) or find(p, t))
+    got = model.generate("system", ["some prompt", "another"], [1, 2])
+    assert sum(scanned) <= sum(len(g.text) for g in got)
+    for g in got:
+        words = g.text.split(" Final answer: ")[0].split()
+        assert g.generated_tokens == len(words) and g.hit_limit == (len(words) >= most)
+        assert all(not S.enough_sentences(" ".join(words[:k]), sentences) for k in range(len(words)))
+        assert len(words) == most or S.enough_sentences(" ".join(words), sentences)
+
+
+@pytest.mark.parametrize(("name", "query", "files"), [("csv-one", "csv_in_blocks", 16), ("arriving", "streamed_word_counts", 24)])
+def test_no_task_writes_more_than_its_share(spark, tmp_path, monkeypatch, name, query, files):
+    texts = [(i, 'a "b"\n,c ' * (i % 5) or None, "en") for i in range(160)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(16).write.parquet(str(tmp_path / "documents.parquet"))
+    made, own, key = {}, catalogue.fresh_path, "spark.sql.files.maxPartitionBytes"
+    monkeypatch.setattr(catalogue, "fresh_path", lambda s, n: made.setdefault(n, own(s, n)))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    try:
+        out = catalogue.queries()[query](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(list(Path(made[name].removeprefix("file:")).glob("part-*"))) == files
+    if query == "csv_in_blocks":
+        assert sorted((r.doc_id, r.lang, r.text) for r in out) == [(i, lang, t or "") for i, t, lang in texts]
+    else:
+        assert sorted((r.doc_id, r.n_words) for r in out) == [(i, len((t or "").split())) for i, t, _ in texts]
+
+
 def test_a_group_is_numbered_by_many_tasks(spark):
     d = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("k"), F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 10 == 1, "a").otherwise("b").alias("g"))
     numbered = O.with_ordinal(d, "k", name="n", by=("g",), start=1)
