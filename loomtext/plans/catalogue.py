@@ -835,11 +835,12 @@ def file_sha256(spark, sf):
 def streamed_word_counts(spark, sf):
     """Texts that arrive in files, half of them twice, measured by a stream that looks at no result it has written."""
     source, d = fresh_path(spark, "arriving"), table(spark, sf, "documents").select("doc_id", "text")
-    d.repartition(4).write.parquet(source)
-    d.where("doc_id % 2 = 0").repartition(2).write.mode("append").parquet(source)
+    n = max(4, d.rdd.getNumPartitions())  # a file holds no more than a task of the scan reads
+    d.repartition(n).write.parquet(source)
+    d.where("doc_id % 2 = 0").repartition(n // 2).write.mode("append").parquet(source)
     measure = lambda b: b.select("doc_id", X.count_words(F.col("text")).alias("n_words"))
     path = fresh_path(spark, "measured")
-    stream_scores(spark, source, d.schema, fresh_path(spark, "stream"), path, "doc_id", measure, files_per_batch=3)
+    stream_scores(spark, source, d.schema, fresh_path(spark, "stream"), path, "doc_id", measure, files_per_batch=n * 3 // 4)
     return readers.read_completed(spark, path, "doc_id")
 
 
