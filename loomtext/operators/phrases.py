@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: The largest lexicon that is a literal of the plan.
 MOST_PHRASES, MOST_CHARS = 20_000, 1 << 20
+#: The largest lexicon that is sent to all executors; the words of texts are exchanged only for a larger one.
+MOST_SENT, MOST_SENT_CHARS = 500_000, 16 << 20
 PIECES = r"(?U)\w+|\W+"
 #: Characters outside ASCII that count as ASCII letters where case does not matter: fixed values.
 ALIKE = ("ſKİı", "skii")
@@ -144,6 +146,9 @@ def _by_join(d: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """(key, _matches) of rows that have any, by a join on first words."""
     entries = _entries(lexicon)
     longest = entries.agg(F.max(F.size("pieces"))).first()[0] or 1
+    n, size = lexicon.agg(F.count("*"), F.sum(F.length("phrase") + F.length("category"))).first()
+    if n <= MOST_SENT and size <= MOST_SENT_CHARS:
+        entries = F.broadcast(entries)
     w = _once(d.select(key, "_pieces"), "_folded", F.transform("_pieces", fold))
     tails = F.transform("_folded", lambda w, i: F.struct(i.alias("at"), w.alias("first"), F.slice("_folded", i + 1, longest).alias("tail")))
     w = w.select(F.col(key), F.explode(F.filter(tails, lambda x: x["first"].rlike(r"(?U)^\w"))).alias("x")).select(key, "x.*")

@@ -63,3 +63,22 @@ def test_a_lexicon_can_be_a_table_of_the_caller(spark):
     own = spark.createDataFrame([("colour", "blue", 0), ("thing", "blue sky", 0), ("thing", "sky", 1)], "category string, phrase string, rank int")
     got = L.categorized(rows, lexicon=own).first()
     assert got.matched_keywords == {"colour": ["blue"], "thing": ["blue sky"]} and got.moral_categories == ["colour", "thing"]
+
+
+def test_words_of_texts_are_not_exchanged_for_a_lexicon_that_can_be_sent(spark, monkeypatch):
+    monkeypatch.setattr(H, "MOST_PHRASES", 1)
+    texts = spark.createDataFrame([(1, "the cat and the dog"), (2, None), (3, "a dog's life, and the end")], "k int, text string")
+    lexicon = H.table_of(spark, {"x": ["the", "dog"], "y": ["and the"]})
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    got = []
+    try:
+        for most in (H.MOST_SENT, 0):
+            monkeypatch.setattr(H, "MOST_SENT", most)
+            d = H.counts_by_category(H.matched(texts, F.col("text"), lexicon, key="k"))
+            sent = "BroadcastHashJoin [first" in d._jdf.queryExecution().executedPlan().toString()
+            got.append((sent, sorted(map(tuple, d.collect()))))
+    finally:
+        spark.conf.set(key, before)
+    assert got == [(True, [("x", 2, 5), ("y", 2, 2)]), (False, [("x", 2, 5), ("y", 2, 2)])]
